@@ -601,3 +601,7 @@ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\\S+'),
 def q_tokenize_ws(spark, sf_dir):
     tok = tokenize.tokenize(read_table(spark, sf_dir, "documents"), "text", keys=["doc_id"], vocab_size=VOCAB)
     return tok.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"))
+
+
+# part 2 (sources, sinks, batch-function jobs, stream) registers into the same catalog
+from prefspark.plans import catalog_jobs  # noqa: E402,F401
