@@ -37,11 +37,13 @@ def words(c) -> Column:
 
 
 def parse_preference(c) -> Column:
-    """X4 + F3: keep the decimal digits of the answer; exactly '0' or '1' becomes 0/1, else NULL.
+    r"""X4 + F3: keep the decimal digits of the answer; exactly '0' or '1' becomes 0/1, else NULL.
 
     ``"Response 1 ... 0"`` keeps ``"10"`` and therefore yields NULL, as does an empty answer.
+    Python's ``str.isdigit`` also accepts digit-like signs such as superscripts ('²0' -> NULL), so
+    other numbers (``\p{No}``) are kept too; unlike Python, vulgar fractions are kept as well.
     """
-    digits = F.regexp_replace(as_col(c), r"[^\p{Nd}]", "")
+    digits = F.regexp_replace(as_col(c), r"[^\p{Nd}\p{No}]", "")
     return F.when(digits.isin("0", "1"), digits.cast("int")).otherwise(F.lit(None).cast("int"))
 
 

@@ -97,18 +97,24 @@ def map_batches(df: DataFrame, text_col: str, out_col: str, out_type: str, backe
         models: dict[str, Callable] = {}
         for pdf in batches:
             groups = pdf.groupby(model_col, sort=False) if model_col else [(default_model, pdf)]
+            pieces = []
             for model, part in groups:
                 fn = models.get(model)
                 if fn is None:
                     fn = models[model] = factory(model)
-                for start in range(0, len(part), batch_size):
-                    chunk = part.iloc[start:start + batch_size]
-                    result = list(fn(chunk[text_col].tolist()))
+                texts = part[text_col].tolist()
+                results: list = []
+                for start in range(0, len(texts), batch_size):
+                    chunk = texts[start:start + batch_size]
+                    result = list(fn(chunk))
                     if len(result) != len(chunk):
                         raise ValueError(f"backend returned {len(result)} outputs for {len(chunk)} inputs")
-                    out = chunk[carry].copy()
-                    out[out_col] = pd.Series(result, index=chunk.index)
-                    yield out
+                    results.extend(result)
+                out = part[carry].copy()
+                out[out_col] = pd.Series(results, index=part.index)
+                pieces.append(out)
+            if pieces:  # one output frame per Arrow batch
+                yield pieces[0] if len(pieces) == 1 else pd.concat(pieces)
 
     return in_df.mapInPandas(run, out_schema)
 

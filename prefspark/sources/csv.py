@@ -17,9 +17,11 @@ NULL_TOKEN = "\\N"  # written for NULL by our sink, so that '' and NULL survive
 REFERENCE_LAYOUT = r"/(\d+)/(\d+)_(\d+)\.csv$"
 
 
-def _reader(spark: SparkSession, schema: str, null_token: str | None, header: bool = True):
+def _reader(spark: SparkSession, schema: str, null_token: str | None, header: bool = True,
+            recursive: bool = False):
     r = (spark.read.schema(schema)
          .option("header", header).option("multiLine", True)
+         .option("recursiveFileLookup", recursive)
          .option("quote", '"').option("escape", '"')
          .option("mode", "PERMISSIVE"))
     if null_token is not None:
@@ -28,15 +30,17 @@ def _reader(spark: SparkSession, schema: str, null_token: str | None, header: bo
 
 
 def read_preferences(spark: SparkSession, path: str, schema: str = PREFERENCE_SCHEMA,
-                     null_token: str | None = NULL_TOKEN) -> DataFrame:
-    """Every CSV file under ``path`` (recursively, partition folders discovered), unioned.
+                     null_token: str | None = NULL_TOKEN, recursive: bool = False) -> DataFrame:
+    """Every CSV file of ``path`` unioned (``key=value`` folders become columns; with
+    ``recursive`` all files below ``path``, without partition columns).
 
     A cell holding the words NA / null / None stays that text (unlike pandas)."""
-    return _reader(spark, schema, null_token).csv(path)
+    return _reader(spark, schema, null_token, recursive=recursive).csv(path)
 
 
 def read_preferences_tolerant(spark: SparkSession, path: str, schema: str = PREFERENCE_SCHEMA,
-                              null_token: str | None = NULL_TOKEN, header: bool = True):
+                              null_token: str | None = NULL_TOKEN, header: bool = True,
+                              recursive: bool = False):
     """Read all files; a file with any row holding more fields than the header is rejected
     as a whole (the reference's parser raises on such a file and skips it).
 
@@ -45,7 +49,7 @@ def read_preferences_tolerant(spark: SparkSession, path: str, schema: str = PREF
     read schema) and leaves ``_extra`` NULL; a 4-field row leaves ``_corrupt`` NULL.
     """
     wide = f"{schema}, _extra string, _corrupt string"
-    raw = (_reader(spark, wide, null_token, header).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    raw = (_reader(spark, wide, null_token, header, recursive).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
            .withColumn("file_path", F.col("_metadata.file_path")))
     too_many = F.col("_corrupt").isNull() | F.col("_extra").isNotNull()
     flagged = raw.withColumn("_too_many", too_many)

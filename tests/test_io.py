@@ -1,0 +1,107 @@
+"""Sources and sinks: CSV round trip with hostile cells, tolerant scan, lineage, constitutions."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from prefspark.sinks import writers
+from prefspark.sources import csv as csv_src
+from prefspark.sources.datasets import read_dataset
+from prefspark.sources.text import read_constitutions
+
+NASTY = [
+    ("plain", "Response 1: fine", "Response 2: bad"),
+    ('he said "hi", then left', "a,b,c", "line1\nline2\r\nline3"),
+    ("NA", "null", "None"),
+    ("", "  padded  ", "\ttab\t"),
+    ("back\\slash", None, "Response 2:"),
+    ("ünïcödé", "é", "x"),
+]
+
+
+def test_csv_round_trip(spark, tmp_dir):
+    df = spark.createDataFrame(NASTY, csv_src.PREFERENCE_SCHEMA)
+    path = os.path.join(tmp_dir, "prefs")
+    writers.write_csv(df, path)
+    back = sorted(map(tuple, csv_src.read_preferences(spark, path).collect()), key=str)
+    assert back == sorted(NASTY, key=str)
+
+
+def test_write_preferences_strips_labels(spark, tmp_dir):
+    df = spark.createDataFrame(NASTY, csv_src.PREFERENCE_SCHEMA)
+    path = os.path.join(tmp_dir, "prefs")
+    writers.write_preferences(df, path)
+    back = {r["prompt"]: r for r in csv_src.read_preferences(spark, path).collect()}
+    assert back["plain"]["response_1"] == "fine" and back["plain"]["response_2"] == "bad"
+    assert back["back\\slash"]["response_2"] == "" and back["back\\slash"]["response_1"] is None
+    assert back[""]["response_1"] == "padded" and back[""]["response_2"] == "tab"
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+
+
+def test_tolerant_scan_rejects_whole_files(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "drop", "1")
+    header = "prompt,response_1,response_2\n"
+    _write(os.path.join(root, "1_0.csv"), header + '"a","b","c"\n"d","e","f"\n')
+    _write(os.path.join(root, "1_1.csv"), header + '"g","h","i"\n"j","k","l","m"\n')   # too many fields
+    _write(os.path.join(root, "2_0.csv"), header + '"n","o"\n')                        # too few: NULL tail
+    _write(os.path.join(root, "2_1.csv"), header + '"he said "hi"","p","q"\n')         # unescaped quotes
+    good, bad = csv_src.read_preferences_tolerant(spark, root, null_token=None)
+    rows = sorted((r["prompt"], r["response_1"], r["response_2"]) for r in good.collect())
+    assert ("a", "b", "c") in rows and ("d", "e", "f") in rows and ("n", "o", None) in rows
+    assert not any(r[0] in ("g", "j") for r in rows)
+    assert [os.path.basename(r["file_path"]) for r in bad.collect()] == ["1_1.csv"]
+    assert len(rows) == 4
+
+
+def test_lineage_from_reference_layout(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "prefs")
+    header = "prompt,response_1,response_2\n"
+    _write(os.path.join(root, "2", "1_0.csv"), header + '"a","b","c"\n')
+    _write(os.path.join(root, "2", "10_199.csv"), header + '"d","e","f"\n')
+    df = csv_src.with_lineage(csv_src.read_preferences(spark, root, null_token=None, recursive=True))
+    got = sorted((r["prompt"], r["constitution_id"], r["context_id"], r["run_id"]) for r in df.collect())
+    assert got == [("a", 2, 1, 0), ("d", 2, 10, 199)]
+
+
+def test_constitutions_whole_text(spark, tmp_dir):
+    text = "Rule one.\n\nRule two, with a comma.\n"
+    _write(os.path.join(tmp_dir, "c", "constitution_1.txt"), text)
+    _write(os.path.join(tmp_dir, "c", "constitution_2.txt"), "Only rule")
+    got = {r["constitution_id"]: r["text"] for r in read_constitutions(spark, os.path.join(tmp_dir, "c")).collect()}
+    assert got == {1: text, 2: "Only rule"}
+
+
+def test_split_scan_prunes_partitions(spark, tmp_dir):
+    df = spark.createDataFrame([(i, "test" if i % 3 == 0 else "train") for i in range(30)], "id long, split string")
+    path = os.path.join(tmp_dir, "ds")
+    writers.write_parquet(df, path, partition_by=["split"])
+    test = read_dataset(spark, path, "test")
+    assert sorted(r["id"] for r in test.collect()) == list(range(0, 30, 3))
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
+    assert read_dataset(spark, path).count() == 30
+
+
+def test_partitioned_overwrite_is_dynamic(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "outs")
+    a = spark.createDataFrame([("org/m1", "d/1", 1, "x"), ("org/m2", "d/1", 1, "y")],
+                              "model string, dataset string, row_id long, generated_text string")
+    writers.write_outputs(a, path)
+    writers.write_outputs(spark.createDataFrame([("org/m1", "d/1", 2, "z")], a.schema), path)
+    back = spark.read.parquet(path)
+    assert sorted(d for d in os.listdir(path) if d.startswith("model_dir=")) == ["model_dir=org_m1", "model_dir=org_m2"]
+    assert sorted((r["model"], r["row_id"]) for r in back.collect()) == [("org/m1", 2), ("org/m2", 1)]
+
+
+def test_metrics_sink(spark, tmp_dir):
+    df = spark.createDataFrame([(0.5, 1.25)], "accuracy double, loss double")
+    path = os.path.join(tmp_dir, "m")
+    writers.write_metrics(writers.metrics_long(df), path)
+    got = {r["metric"]: r["value"] for r in spark.read.json(path).collect()}
+    assert got == {"accuracy": 0.5, "loss": 1.25}
+    assert F is not None
