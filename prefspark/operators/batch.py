@@ -149,13 +149,17 @@ def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generat
 
 
 def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend = "stub-policy",
-                     batch_size: int = 256, salt: int = 8) -> DataFrame:
+                     batch_size: int = 256, num_partitions: int | None = None) -> DataFrame:
     """M3: outputs of every model on the prompts of each dataset it is evaluated on (J2 grid).
 
     ``prompts``: (dataset, row_id, prompt); ``grid``: (model, dataset) - small, broadcast.
+    Work is range-partitioned on (model, row_id): partitions hold similar row counts (bounds from a
+    sample), a model's rows are contiguous, so a task loads one or two models, and a model with a
+    third of all rows is still spread over a third of the tasks.
     """
     work = prompts.join(F.broadcast(grid.select("model", "dataset").distinct()), "dataset")
-    work = work.repartition(F.col("model"), F.pmod(F.col("row_id"), F.lit(salt)))
+    work = (work.repartitionByRange(num_partitions, "model", "dataset", "row_id") if num_partitions
+            else work.repartitionByRange("model", "dataset", "row_id"))
     return map_batches(work, "prompt", "generated_text", "string", backend, batch_size,
                        carry=["model", "dataset", "row_id", "prompt"], model_col="model")
 

@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Tables whose rows carry whole texts: per-row work on them (regex, hashing, tokenising) is CPU-bound.
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` (default: the cluster's parallelism)
+    when its scan yields fewer splits - e.g. one large file with a single row group. A scan of
+    a large dataset already has more splits than cores, and is left alone (no extra shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; column pruning and filters reach the parquet scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
