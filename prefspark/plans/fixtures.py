@@ -32,16 +32,30 @@ def task_config(n_tasks: int = N_TASKS) -> list[dict]:
 # --------------------------------------------------------------------------------- Spark side
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, prompt, response_1, response_2): a user turn, the assistant's answer, and the
-    answer at the same turn of the next conversation. Unique key (conv_id, turn)."""
-    conv = read_table(spark, sf_dir, "conversations")
-    user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    answer = conv.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    qa = user.join(answer, ["conv_id", "turn"])
-    other = qa.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("answer").alias("response_2"))
-    return (qa.join(other, ["conv_id", "turn"])
-              .select("conv_id", "turn", "prompt", F.col("answer").alias("response_1"), "response_2"))
+    """(conv_id, turn, prompt, response_1, response_2): a user turn (c, t), the assistant's answer
+    (c, t+1), and the answer (c+1, t+1) to the user turn (c+1, t) of the next conversation.
+    Unique key (conv_id, turn).
+
+    Plan: one scan, one shuffle. Every turn emits the (at most two) pair cells it belongs to -
+    a user turn is the prompt of (c, t) and the partner question of (c-1, t); an answer is
+    response_1 of (c, t-1) and response_2 of (c-1, t-1) - and one aggregation per cell (at most
+    four rows, so no key can be hot) keeps the cells that have all four parts.
+    """
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    c, t, txt = F.col("conv_id"), F.col("turn"), F.col("text")
+    part = lambda cid, turn, tag, text: F.struct(cid.alias("c"), turn.alias("t"), F.lit(tag).alias("tag"),
+                                                 text.alias("text"))
+    user = F.array(part(c, t, "prompt", txt), part(c - 1, t, "question_2", F.lit(None).cast("string")))
+    answer = F.array(part(c, t - 1, "response_1", txt), part(c - 1, t - 1, "response_2", txt))
+    cells = conv.select(F.explode(F.when(F.col("role") == "user", user).otherwise(answer)).alias("x")).select("x.*")
+    has = lambda tag: F.max(F.col("tag") == tag)
+    text_of = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("text")))
+    grouped = cells.groupBy("c", "t").agg(
+        has("prompt").alias("_p"), has("response_1").alias("_r1"), has("question_2").alias("_q2"),
+        has("response_2").alias("_r2"), text_of("prompt").alias("prompt"),
+        text_of("response_1").alias("response_1"), text_of("response_2").alias("response_2"))
+    return (grouped.where(F.col("_p") & F.col("_r1") & F.col("_q2") & F.col("_r2"))
+                   .select(F.col("c").alias("conv_id"), F.col("t").alias("turn"), "prompt", "response_1", "response_2"))
 
 
 def constitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
