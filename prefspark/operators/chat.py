@@ -31,6 +31,16 @@ def render_turn(template: str) -> Column:
     raise ValueError(f"unknown chat template {template!r}; choose 'simple' or 'chatml'")
 
 
+def render_chat_segments(df: DataFrame, template: str = "simple", conv: str = "conv_id", turn: str = "turn",
+                         name: str = "segment") -> DataFrame:
+    """The rendered text of every turn, one row each (a narrow projection, no grouping).
+
+    Concatenating a conversation's segments in ``turn`` order gives ``render_chat``'s text; use this
+    form when a single conversation may be too large to hold as one value.
+    """
+    return df.select(conv, turn, render_turn(template).alias(name))
+
+
 def render_chat(df: DataFrame, template: str = "simple", add_generation_prompt: bool = False,
                 conv: str = "conv_id", turn: str = "turn", name: str = "chat") -> DataFrame:
     """One row per conversation: its turns in ``turn`` order rendered with ``template``."""

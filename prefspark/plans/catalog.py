@@ -73,7 +73,7 @@ _FLIP_SQL = fx.with_sql(["pairs"], f"""
                CASE WHEN rk <= floor({FLIP_RATIO}::DOUBLE * n) THEN rejected ELSE chosen END AS chosen,
                CASE WHEN rk <= floor({FLIP_RATIO}::DOUBLE * n) THEN chosen ELSE rejected END AS rejected,
                rk <= floor({FLIP_RATIO}::DOUBLE * n) AS flipped FROM r)
-""".replace("\n, h AS", ", h AS", 1))
+""")
 
 
 def _flip_body(select: str) -> str:
@@ -122,7 +122,7 @@ def q_flip_exact(spark, sf_dir):
         FROM pairs)
 SELECT conv_id, turn, prompt, CASE WHEN flipped THEN response_2 ELSE response_1 END AS chosen,
        CASE WHEN flipped THEN response_1 ELSE response_2 END AS rejected, flipped FROM g"""
-       .replace("\n, g AS", ", g AS", 1)))
+       ))
 def q_flip_approx(spark, sf_dir):
     return _flipped_pairs(spark, sf_dir, exact=False)
 
@@ -180,7 +180,7 @@ GEN_ROWS = 20  # FIXED VALUE: rows asked for per generation run
 , d AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{d}')" for i, d in enumerate(T.DOMAINS))}) AS t(context_id, domain))
 SELECT c.constitution_id, d.context_id,
        {T.render_sql(T.GENERATOR_TEMPLATE, constitution='c.text', domain='d.domain', n=str(GEN_ROWS))} AS generator_prompt
-FROM constitutions c CROSS JOIN d""".replace("\n, d AS", ", d AS", 1)))
+FROM constitutions c CROSS JOIN d"""))
 def q_generator_prompt(spark, sf_dir):
     grid = preferences.generation_grid(fx.constitutions(spark, sf_dir), runs=1)
     return grid.select("constitution_id", "context_id",
@@ -190,7 +190,7 @@ def q_generator_prompt(spark, sf_dir):
 @query("domain_lookup", fx.with_sql(["pairs"], f"""
 , d AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{d}')" for i, d in enumerate(T.DOMAINS))}) AS t(context_id, domain))
 SELECT p.conv_id, p.turn, CAST(p.conv_id % 12 + 1 AS INTEGER) AS context_id, d.domain
-FROM pairs p LEFT JOIN d ON d.context_id = p.conv_id % 12 + 1""".replace("\n, d AS", ", d AS", 1)))
+FROM pairs p LEFT JOIN d ON d.context_id = p.conv_id % 12 + 1"""))
 def q_domain_lookup(spark, sf_dir):
     p = fx.pairs(spark, sf_dir).select("conv_id", "turn", (F.pmod("conv_id", F.lit(12)) + 1).cast("int").alias("context_id"))
     return preferences.with_domain(p)
@@ -223,7 +223,7 @@ def q_reward_input(spark, sf_dir):
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS INTEGER) AS row_no,
        prompt, response_1, response_2, run
 FROM p
-QUALIFY {sql_unit32(sql_hash('json', 'conv_id', 'run'))} >= 429496729""".replace("\n, p AS", ", p AS", 1)))
+QUALIFY {sql_unit32(sql_hash('json', 'conv_id', 'run'))} >= 429496729"""))
 def q_json_rows_explode(spark, sf_dir):
     rows, _rejects = preferences.explode_generated(fx.generated_json(spark, sf_dir), keep=("conv_id", "run"))
     return rows
@@ -232,7 +232,7 @@ def q_json_rows_explode(spark, sf_dir):
 @query("json_rejects", fx.with_sql(["pairs"], f"""
 , p AS (SELECT DISTINCT conv_id, turn // 4 AS run FROM pairs)
 SELECT conv_id, run FROM p WHERE {sql_unit32(sql_hash('json', 'conv_id', 'run'))} < 429496729"""
-       .replace("\n, p AS", ", p AS", 1)))
+       ))
 def q_json_rejects(spark, sf_dir):
     _rows, rejects = preferences.explode_generated(fx.generated_json(spark, sf_dir), keep=("conv_id", "run"))
     return rejects.select("conv_id", "run")
@@ -266,7 +266,7 @@ def q_total_words(spark, sf_dir):
 SELECT n_rows, input_words, output_words, round(input_tokens, 6) AS input_tokens, round(output_tokens, 6) AS output_tokens,
        round(input_tokens * 0.15::DOUBLE / 1e6, 6) AS input_cost, round(output_tokens * 0.6::DOUBLE / 1e6, 6) AS output_cost,
        round(input_tokens * 0.15::DOUBLE / 1e6 + output_tokens * 0.6::DOUBLE / 1e6, 6) AS total_cost FROM t"""
-       .replace("\n, w AS", ", w AS", 1)))
+       ))
 def q_cost_report(spark, sf_dir):
     rep = metrics.cost_report(fx.pairs(spark, sf_dir), ["prompt"], ["response_1", "response_2"])
     return rep.select("n_rows", "input_words", "output_words",
@@ -291,7 +291,7 @@ SELECT count(*) AS n_pairs, round(avg(cr), 6) AS rewards_chosen, round(avg(rr),
        round(avg(CASE WHEN cr > rr THEN 1.0 ELSE 0.0 END), 6) AS rewards_accuracy,
        round(avg(cr - rr), 6) AS rewards_margin,
        round(avg(greatest(-(cr - rr), 0.0) + ln(1 + exp(-abs(cr - rr)))), 6) AS loss
-FROM r""".replace("\n, r AS", ", r AS", 1)))
+FROM r"""))
 def q_dpo_eval_metrics(spark, sf_dir):
     m = metrics.dpo_eval_metrics(fx.dpo_logps(spark, sf_dir))
     return m.select("n_pairs", *[r6(c).alias(c) for c in
@@ -323,7 +323,7 @@ JUDGE_BATCH = 8  # FIXED VALUE: judge batch size
 @query("batch_assign", fx.with_sql(["pairs"], f"""
 , i AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx, count(*) OVER () AS n FROM pairs)
 SELECT conv_id, turn, row_idx, CAST(row_idx // {JUDGE_BATCH} AS BIGINT) AS batch_id,
-       CAST(ceil(n / {JUDGE_BATCH}.0) AS BIGINT) AS n_batches FROM i""".replace("\n, i AS", ", i AS", 1)))
+       CAST(ceil(n / {JUDGE_BATCH}.0) AS BIGINT) AS n_batches FROM i"""))
 def q_batch_assign(spark, sf_dir):
     return ranking.assign_batches(fx.pairs(spark, sf_dir).select("conv_id", "turn"), ["conv_id", "turn"], JUDGE_BATCH)
 
@@ -341,7 +341,7 @@ def q_chunk_split(spark, sf_dir):
 , l AS (SELECT conv_id, turn, prompt, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx FROM pairs)
 , r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents)
 SELECT l.row_idx, l.conv_id, l.turn, l.prompt, r.doc_id, r.lang FROM l JOIN r ON l.row_idx = r.row_idx"""
-       .replace("\n, l AS", ", l AS", 1)))
+       ))
 def q_zip_join(spark, sf_dir):
     left = fx.pairs(spark, sf_dir).select("conv_id", "turn", "prompt")
     right = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -537,7 +537,7 @@ EVAL_BATCH = 256  # FIXED VALUE: evaluation batch size
 , m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS batch_len FROM b)
 SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_len AS INTEGER) AS batch_len,
        array_to_string(list_concat(list_transform(range(batch_len - len(ids)), lambda x: 0), ids), ',') AS padded
-FROM m""".replace("\n, t AS", ", t AS", 1)))
+FROM m"""))
 def q_pad_to_longest(spark, sf_dir):
     t = fx.token_ids(spark, sf_dir).select("doc_id", A.truncate_right("ids", MAX_LEN).alias("ids"))
     p = evaluation.pad_to_longest(t, "ids", ["doc_id"], EVAL_BATCH, fx.PAD_ID)
@@ -592,6 +592,13 @@ def q_chat_chatml(spark, sf_dir):
     return chat.render_chat(read_table(spark, sf_dir, "conversations"), "chatml", add_generation_prompt=False)
 
 
+@query("chat_segments", """
+SELECT conv_id, turn, upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text || chr(10) || chr(10) AS segment
+FROM conversations""")
+def q_chat_segments(spark, sf_dir):
+    return chat.render_chat_segments(read_table(spark, sf_dir, "conversations"), "simple")
+
+
 VOCAB = 32_000
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions import templates as T
-from prefspark.functions.text import hash_hex, hash_unit32, word_count
+from prefspark.functions.text import hash_hex, hash_unit32
 from prefspark.operators import batch, evaluation, metrics, reward_model, tokenize
 from prefspark.plans import fixtures as fx
-from prefspark.plans.catalog import (ORACLE, _eval_sql, _grid_sql, _tasks, query, r6, sql_hash, sql_strip,
-                                     sql_unit32, sql_wc)
+from prefspark.plans.catalog import (ORACLE, _grid_sql, _tasks, query, r6, sql_hash, sql_strip, sql_unit32,
+                                     sql_wc)
 from prefspark.session import scratch_path
 from prefspark.sinks import writers
 from prefspark.sources import csv as csv_src
@@ -49,6 +49,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("conv_id", "turn", "prompt", "response_1", "response_2")
 
 
+@query("csv_scan", fx.with_sql(["pairs"], "SELECT conv_id, turn, prompt, response_1, response_2 FROM pairs"))
+def q_csv_scan(spark, sf_dir):
+    """K2 -> S1: plain CSV sink (quoted, escaped, no trimming) read back exactly."""
+    path = scratch_path(spark, "csv-scan")
+    src = fx.pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    writers.write_csv(src.repartition("file_key"), path, partition_by=["file_key"])
+    return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
+        "conv_id", "turn", "prompt", "response_1", "response_2")
+
+
 @query("csv_lineage", fx.with_sql(["pairs"], f"SELECT conv_id, turn, CAST(conv_id % {N_FILES} AS INTEGER) AS file_key FROM pairs"))
 def q_csv_lineage(spark, sf_dir):
     """Keys carried by the file path, not by the rows (partition discovery + ``_metadata``)."""
