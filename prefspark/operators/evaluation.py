@@ -48,7 +48,7 @@ def normalize_rewards(scores: DataFrame, by: Sequence[str] = ("model", "dataset"
     """
     stats = group_reward_stats(scores, by, reward).select(*by, "min_reward", "max_reward")
     spread = F.col("max_reward") - F.col("min_reward")
-    return (scores.join(small_side(stats), list(by))
+    return (scores.join(small_side(stats, reuse=True), list(by))
                   .withColumn(name, F.try_divide(F.col(reward) - F.col("min_reward"), spread))
                   .drop("min_reward", "max_reward"))
 
@@ -65,7 +65,8 @@ def avg_normalized_reward(scores: DataFrame, by: Sequence[str] = ("model", "data
 def continual_matrix(grid: DataFrame, averages: DataFrame) -> DataFrame:
     """The grid with the average reward of each (model, eval dataset); NULL when outputs are missing."""
     avg = averages.select(F.col("model").alias("_m"), F.col("dataset").alias("_d"), "avg_reward")
-    joined = grid.join(small_side(avg), (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")), "left")
+    joined = grid.join(small_side(avg, reuse=True), (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")),
+                       "left")
     return joined.select("task_idx", "task", "model", "eval_idx", "eval_task", "avg_reward")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,20 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
-def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, reuse: bool = False) -> DataFrame:
     """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
     The check reads at most ``max_rows + 1`` rows, so it stays cheap when the side is large;
     beyond the bound Catalyst/AQE pick the join (sort-merge, or broadcast from runtime stats).
+    With ``reuse`` (for sides that are expensive to compute, e.g. aggregates over model outputs)
+    the side is persisted while it is checked, so the join reads the checked rows instead of
+    computing them again; a side found too large is released again.
     """
+    if reuse:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n <= max_rows:
+        return F.broadcast(df)
+    if reuse:
+        df.unpersist()
+    return df

@@ -12,7 +12,8 @@ from prefspark.sources.literal import tasks_df
 def test_constitution_and_domain_joins_broadcast(spark):
     judged = preferences.with_constitution(fx.pairs_with_constitution(spark, SF_SMALL), fx.constitutions(spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan_text(judged)
-    dom = preferences.with_domain(fx.pairs(spark, SF_SMALL).withColumn("context_id", fx.F.lit(3)))
+    ctx = (fx.F.pmod("conv_id", fx.F.lit(12)) + 1).cast("int")
+    dom = preferences.with_domain(fx.pairs(spark, SF_SMALL).withColumn("context_id", ctx))
     assert "BroadcastHashJoin" in plan_text(dom)
 
 
