@@ -1,9 +1,10 @@
 """Order-dependent operators without a single-partition window over data.
 
 * ``with_row_index`` (W5): a global 0-based index. The data is range-partitioned on the *full*
-  (unique) order key, so a hot leading value is split across tasks by the later keys; the sorted
-  partitions are fixed with a reliable ``checkpoint()``; rows per partition are counted (one row
-  per partition), turned into running offsets and broadcast back. Only the offset table - one row
+  (unique) order key, so a hot leading value is split across tasks by the later keys; each row's
+  sorted partition and position are stamped and written once to a table in the shared checkpoint
+  folder (lineage cut, survives lost executors); rows per partition are counted (one row per
+  partition), turned into running offsets and broadcast back. Only the offset table - one row
   per partition - ever sits in one task.
 * ``tail_split`` (W6) needs only the n-th largest key: a bounded top-n, no global index.
 * ``flip_preferences`` (G1) needs only the k-th smallest hash: it is found by a radix selection on
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import hash_hex, hash_unit32
-from prefspark.session import checkpoint_root
+from prefspark.session import scratch_path
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | record number
 
@@ -38,14 +39,17 @@ def _check_keys(df: DataFrame, order_by: Sequence[str]) -> list[str]:
 def indexed_with_total(df: DataFrame, order_by: Sequence[str], name: str = "row_idx"):
     """(df + 0-based ``name``, one-row DataFrame ``_n_total``); see module doc for the plan."""
     keys = _check_keys(df, order_by)
-    checkpoint_root(df.sparkSession)
-    # Range exchange on the full key + sort; reliable checkpoint pins partition contents and order,
-    # so the counts and the index below see exactly the same partitions (also after a lost executor).
-    pinned = df.orderBy(*keys).checkpoint(eager=True)
-    mono = pinned.withColumn("_mono", F.monotonically_increasing_id())
-    tagged = (mono.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
-                  .withColumn("_local", F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-                  .drop("_mono"))
+    spark = df.sparkSession
+    # Range exchange on the full key + sort, then each row's (sorted partition, position) is
+    # stamped and written ONCE to a table in the shared checkpoint folder. The stamps travel with
+    # the rows, so counting and indexing read the same facts however the table is split on read,
+    # and a retried write task re-sorts the same shuffle block into the same stamps.
+    path = scratch_path(spark, "row-index")
+    df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id()).write.parquet(path)
+    pinned = spark.read.parquet(path)
+    tagged = (pinned.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
+                    .withColumn("_local", F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+                    .drop("_mono"))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_part",
