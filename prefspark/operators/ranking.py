@@ -44,8 +44,14 @@ def indexed_with_total(df: DataFrame, order_by: Sequence[str], name: str = "row_
     # stamped and written ONCE to a table in the shared checkpoint folder. The stamps travel with
     # the rows, so counting and indexing read the same facts however the table is split on read,
     # and a retried write task re-sorts the same shuffle block into the same stamps.
+    # Tiebreakers after the keys: a hash of the whole row splits rows that share a key, a seeded
+    # salt splits exact copies (interchangeable, so the result is the same as a multiset); a key
+    # holding a third of all rows is then spread over many range partitions like any other.
+    tie = [F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie"), F.rand(seed=7).alias("_salt")]
     path = scratch_path(spark, "row-index")
-    df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id()).write.parquet(path)
+    (df.select("*", *tie).orderBy(*keys, "_tie", "_salt")
+       .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie", "_salt")
+       .write.parquet(path))
     pinned = spark.read.parquet(path)
     tagged = (pinned.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
                     .withColumn("_local", F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
@@ -135,10 +141,18 @@ def _kth_smallest(hashed: DataFrame, keys: list[str], k: int, digits: int = 4,
                    .first())
         hist = None
         prefix, remaining = row["_b"], remaining - row["_before"]
-        if row["_n"] <= leaf_rows or width >= 32:
+        if row["_n"] <= leaf_rows:
             break
+        if width >= 32:  # one full hash on more than leaf_rows rows: copies of one key
+            raise ValueError(f"{row['_n']} rows share one key; the flip needs a unique key - add a tiebreaker column")
     leaf = hashed.where(F.col("_h").startswith(prefix)).select(F.struct("_h", *keys).alias("_k"))
-    return leaf.orderBy("_k").limit(remaining).agg(F.max("_k")).first()[0]
+    # The k-th and (k+1)-th rows of the (bounded) leaf: equal ones mean a duplicated key at the cut.
+    top = leaf.orderBy("_k").limit(remaining + 1)
+    edge = (top.withColumn("_rn", F.row_number().over(Window.orderBy("_k")))
+               .where(F.col("_rn") >= remaining).orderBy("_rn").select("_k").collect())
+    if len(edge) > 1 and edge[0][0] == edge[1][0]:
+        raise ValueError("the key is not unique at the flip threshold; add a tiebreaker column")
+    return edge[0][0]
 
 
 def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int = 42,

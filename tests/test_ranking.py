@@ -104,3 +104,19 @@ def test_no_single_partition_exchange_on_data(spark):
     for d in (ranking.with_row_index(df, ["k", "i"]), ranking.tail_split(df, ["k", "i"], 10),
               ranking.assign_batches(df, ["k", "i"], 8), ranking.split_chunks(df, ["k", "i"], 3)):
         assert_no_raw_rows_in_one_partition(d)
+
+
+def test_row_index_with_copies_of_one_key(spark):
+    """A third of the rows are exact copies: still a dense, complete 0..n-1 index."""
+    rows = [(0, 0, "same", "c", "r")] * 200 + [(i, i, f"p{i}", "c", "r") for i in range(1, 401)]
+    df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string").repartition(7)
+    out = ranking.with_row_index(df, ["k", "i"]).collect()
+    assert sorted(r["row_idx"] for r in out) == list(range(600))
+    assert sorted(r["row_idx"] for r in out if r["k"] == 0) == list(range(200))
+
+
+def test_flip_refuses_duplicated_keys(spark):
+    rows = [(1, 1, "p", "c", "r")] * 50
+    df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string")
+    with pytest.raises(ValueError, match="unique"):
+        ranking.flip_preferences(df, 0.5, ["k", "i"])
