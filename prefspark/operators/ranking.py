@@ -101,6 +101,12 @@ def split_chunks(df: DataFrame, order_by: Sequence[str], k: int, name: str = "ch
             .drop("_n_total"))
 
 
+def _key_literal(values, keys: list[str], df: DataFrame):
+    """A struct literal of ``values`` typed like ``df``'s ``keys`` (for lexicographic comparison)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, c in zip(values, keys)])
+
+
 def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str = "split",
                tail_label: str = "eval", head_label: str = "train") -> DataFrame:
     """The last ``n`` rows in key order are ``tail_label``, the rest ``head_label``.
@@ -109,12 +115,17 @@ def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str =
     """
     keys = _check_keys(df, order_by)
     key = F.struct(*[F.col(c) for c in keys])
-    # Bounded top-n (per-partition top-n, then one merge of n x partitions rows), then its minimum.
-    threshold = (df.select(key.alias("_k")).orderBy(F.col("_k").desc()).limit(n)
-                   .agg(F.min("_k").alias("_thr")))
-    return (df.crossJoin(F.broadcast(threshold))
-              .withColumn(name, F.when(key >= F.col("_thr"), F.lit(tail_label)).otherwise(F.lit(head_label)))
-              .drop("_thr"))
+    # Bounded top-(n+1) (per-partition top-k, then one merge of (n+1) x partitions rows): its n-th
+    # row is the threshold; an equal (n+1)-th row would mean a duplicated key at the cut.
+    top = df.select(key.alias("_k")).orderBy(F.col("_k").desc()).limit(n + 1)
+    edge = (top.withColumn("_rn", F.row_number().over(Window.orderBy(F.col("_k").desc())))
+               .where(F.col("_rn") >= n).orderBy("_rn").select("_k").collect())
+    if not edge:  # fewer than n rows: all in the tail
+        return df.withColumn(name, F.lit(tail_label))
+    if len(edge) > 1 and edge[0][0] == edge[1][0]:
+        raise ValueError("the order key is not unique at the hold-out boundary; add a tiebreaker column")
+    thr = _key_literal(list(edge[0][0]), keys, df)
+    return df.withColumn(name, F.when(key >= thr, F.lit(tail_label)).otherwise(F.lit(head_label)))
 
 
 def _kth_smallest(hashed: DataFrame, keys: list[str], k: int, digits: int = 4,
@@ -179,10 +190,7 @@ def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int
         else:
             thr = _kth_smallest(hashed, keys, k, first_hist=hist)
             hist.unpersist()
-            types = {f.name: f.dataType for f in hashed.schema.fields}
-            thr_col = F.struct(F.lit(thr[0]).alias("_h"),
-                               *[F.lit(thr[i + 1]).cast(types[c]).alias(c) for i, c in enumerate(keys)])
-            cond = F.struct("_h", *keys) <= thr_col
+            cond = F.struct("_h", *keys) <= _key_literal(list(thr), ["_h", *keys], hashed)
     else:
         cond = hash_unit32(F.col("_h")).cast("double") < F.lit(float(ratio) * 4294967296.0)
     c, r = F.col(chosen), F.col(rejected)

@@ -90,7 +90,7 @@ def test_chunks_equal_array_split(spark, n, k):
     assert sizes == [len(a) for a in np.array_split(np.arange(n), k)]
 
 
-@pytest.mark.parametrize("n", [99, 100, 101])
+@pytest.mark.parametrize("n", [0, 1, 99, 100, 101])
 def test_tail_split(spark, n):
     out = ranking.tail_split(_pairs(spark, n), ["k", "i"], 100).collect()
     evals = sorted(r["i"] for r in out if r["split"] == "eval")
@@ -120,3 +120,11 @@ def test_flip_refuses_duplicated_keys(spark):
     df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string")
     with pytest.raises(ValueError, match="unique"):
         ranking.flip_preferences(df, 0.5, ["k", "i"])
+
+
+def test_tail_split_refuses_tie_at_boundary(spark):
+    rows = [(1, 1, "p", "c", "r")] * 3 + [(i, i, "p", "c", "r") for i in range(2, 10)]
+    df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string")
+    with pytest.raises(ValueError, match="not unique"):
+        ranking.tail_split(df, ["k", "i"], 9)
+    assert ranking.tail_split(df, ["k", "i"], 8).where("split = 'eval'").count() == 8

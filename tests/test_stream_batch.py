@@ -67,3 +67,14 @@ def test_pairwise_reward_model_separable(spark):
     model = reward_model.fit_pairwise_reward(pairs, num_features=64)
     acc = reward_model.pairwise_accuracy(model, pairs).first()
     assert acc["n_pairs"] == 16 and acc["accuracy"] > 0.5
+
+
+def test_generation_partitions_balanced_with_dominant_model(spark):
+    """One model owns a third of the work: range partitioning still balances rows per task."""
+    prompts = spark.createDataFrame([("d1", i, f"p{i}") for i in range(3000)], "dataset string, row_id long, prompt string")
+    grid = spark.createDataFrame([("big", "d1")] + [(f"m{j}", "d1") for j in range(2)], "model string, dataset string")
+    out = batch.generate_outputs(prompts, grid, backend="stub-policy", num_partitions=6)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / 6
+    models_per_task = out.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("model").alias("m")).collect()
+    assert max(r["m"] for r in models_per_task) <= 2
