@@ -128,3 +128,14 @@ def test_tail_split_refuses_tie_at_boundary(spark):
     with pytest.raises(ValueError, match="not unique"):
         ranking.tail_split(df, ["k", "i"], 9)
     assert ranking.tail_split(df, ["k", "i"], 8).where("split = 'eval'").count() == 8
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_tail_and_chunks_partition_invariant(spark, parts):
+    df = _pairs(spark, 120, parts=parts)
+    tail = sorted(r["i"] for r in ranking.tail_split(df, ["k", "i"], 30).where("split = 'eval'").collect())
+    assert tail == list(range(90, 120))
+    chunks = {r["i"]: r["chunk"] for r in ranking.split_chunks(df, ["k", "i"], 7).collect()}
+    sizes = [len(a) for a in np.array_split(np.arange(120), 7)]
+    bounds = np.cumsum([0] + sizes)
+    assert all(chunks[i] == int(np.searchsorted(bounds, i, side="right")) for i in range(120))

@@ -78,3 +78,22 @@ def test_unknown_template_lists_choices():
         assert "v1" in str(ex)
     else:
         raise AssertionError("expected ValueError")
+
+
+ARRAYS = st.lists(st.lists(st.integers(0, 50), max_size=12), min_size=1, max_size=15)
+
+
+@settings(max_examples=10, deadline=None)
+@given(ARRAYS, st.integers(1, 8))
+def test_truncate_and_pad_like_python(spark, arrays, n):
+    from prefspark.functions import arrays as A
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
+    out = df.select("i", A.truncate_right("a", n).alias("r"), A.truncate_left("a", n).alias("l"),
+                    A.pad_left("a", n, 0).alias("p"), A.eos_penalty(F.lit(1.0), "a", 7, 1.0).alias("e"),
+                    A.mean_logit(F.array(F.col("a").cast("array<double>"))).alias("m")).orderBy("i").collect()
+    for row, a in zip(out, arrays):
+        assert row["r"] == a[:n]
+        assert row["l"] == a[-n:] if a else row["l"] == []
+        assert row["p"] == [0] * max(n - len(a), 0) + a
+        assert row["e"] == (1.0 if 7 in a else 0.0)
+        assert (row["m"] is None) if not a else abs(row["m"] - sum(a) / len(a)) < 1e-9
