@@ -149,12 +149,29 @@ def q_judge_job(spark, sf_dir):
                                    backend="stub-judge", template="v1", batch_size=8)
 
 
-@query("generation_job")
+GEN_RUNS = 2  # runs per (constitution, context) in the generation job query
+
+
+def _generation_sql() -> str:
+    domains = ", ".join(f"({i + 1}, '{d}')" for i, d in enumerate(T.DOMAINS))
+    prompt = T.render_sql(T.GENERATOR_TEMPLATE, constitution="c.text", domain="d.domain", n="20")
+    return fx.with_sql(["constitutions"], f"""
+, d AS (SELECT * FROM (VALUES {domains}) AS t(context_id, domain))
+, g AS (SELECT c.constitution_id, d.context_id, CAST(r.run AS INTEGER) AS run_id, {prompt} AS gp
+        FROM constitutions c CROSS JOIN d CROSS JOIN range(0, {GEN_RUNS}) AS r(run))
+, x AS (SELECT constitution_id, context_id, run_id, substr(md5(gp), 1, 8) AS h, 1 + length(gp) % 3 AS n FROM g)
+SELECT constitution_id, CAST(context_id AS INTEGER) AS context_id, run_id, CAST(i.i AS INTEGER) AS row_no,
+       'Scenario ' || h || '-' || CAST(i.i AS VARCHAR) AS prompt,
+       'fair answer ' || CAST(i.i AS VARCHAR) AS response_1, 'unfair answer ' || CAST(i.i AS VARCHAR) AS response_2
+FROM x CROSS JOIN range(0, 3) AS i(i) WHERE i.i < x.n""")
+
+
+@query("generation_job", _generation_sql())
 def q_generation_job(spark, sf_dir):
     """M2: generation grid (J7) -> generator prompt (X6) -> backend JSON -> rows (X14, P5) -> X1."""
-    grid = fx.constitutions(spark, sf_dir)
     from prefspark.operators.preferences import generation_grid
-    rows, _rejects = batch.generate_preferences(generation_grid(grid, runs=2), backend="stub-generator")
+    grid = generation_grid(fx.constitutions(spark, sf_dir), runs=GEN_RUNS)
+    rows, _rejects = batch.generate_preferences(grid, backend="stub-generator")
     return rows
 
 

@@ -33,7 +33,7 @@ def test_rows_only_query_runs(results, name):
 
 def test_every_query_has_oracle_or_is_rows_only():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(ROWS_ONLY) == {"generation_job", "pairwise_reward_model"}
+    assert set(ROWS_ONLY) == {"pairwise_reward_model"}
 
 
 def test_entry_smoke(spark):
