@@ -139,10 +139,20 @@ def judge_preferences(df: DataFrame, constitutions: DataFrame, backend: str | Ba
 
 
 def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generator", n: int = 20,
-                         batch_size: int = 1, keys: Sequence[str] = ("constitution_id", "context_id", "run_id")):
+                         batch_size: int = 16, keys: Sequence[str] = ("constitution_id", "context_id", "run_id"),
+                         num_partitions: int | None = None):
     """M2: one generator call per (constitution, context, run); JSON -> rows (X14/P5) -> labels
-    stripped (X1). Returns ``(rows, rejects)``."""
-    prompts = grid.withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n)))
+    stripped (X1). Returns ``(rows, rejects)``.
+
+    Each grid cell is one generator request; a backend receives up to ``batch_size`` requests at
+    once (and may send them concurrently). The grid has few rows but every row is an expensive
+    call, and it inherits the partitioning of
+    the (usually tiny) constitution table; its cells are therefore hash-spread over
+    ``num_partitions`` (default: the cluster's parallelism) before the backend runs.
+    """
+    parts = num_partitions or grid.sparkSession.sparkContext.defaultParallelism
+    prompts = (grid.repartition(parts, *keys)
+                   .withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n))))
     raw = map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=list(keys))
     rows, rejects = explode_generated(raw, "raw", keep=list(keys))
     return strip_response_labels(rows), rejects

@@ -149,7 +149,7 @@ def q_judge_job(spark, sf_dir):
                                    backend="stub-judge", template="v1", batch_size=8)
 
 
-GEN_RUNS = 2  # runs per (constitution, context) in the generation job query
+GEN_RUNS = 200  # FIXED VALUE: runs per (constitution, context), as in the generation grid
 
 
 def _generation_sql() -> str:
