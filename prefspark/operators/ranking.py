@@ -44,13 +44,13 @@ def indexed_with_total(df: DataFrame, order_by: Sequence[str], name: str = "row_
     # stamped and written ONCE to a table in the shared checkpoint folder. The stamps travel with
     # the rows, so counting and indexing read the same facts however the table is split on read,
     # and a retried write task re-sorts the same shuffle block into the same stamps.
-    # Tiebreakers after the keys: a hash of the whole row splits rows that share a key, a seeded
-    # salt splits exact copies (interchangeable, so the result is the same as a multiset); a key
-    # holding a third of all rows is then spread over many range partitions like any other.
-    tie = [F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie"), F.rand(seed=7).alias("_salt")]
+    # Tiebreaker after the keys: a hash of the whole row, so rows sharing a key value are still
+    # split over range partitions by their content. Deterministic on purpose (a random salt could
+    # move rows between partitions when a lost map task is recomputed after others committed).
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
     path = scratch_path(spark, "row-index")
-    (df.select("*", *tie).orderBy(*keys, "_tie", "_salt")
-       .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie", "_salt")
+    (df.select("*", tie).orderBy(*keys, "_tie")
+       .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie")
        .write.parquet(path))
     pinned = spark.read.parquet(path)
     tagged = (pinned.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
