@@ -6,9 +6,9 @@ partition and model (model loading happens there, never on the driver). Rows arr
 batches through ``mapInPandas`` and are re-sliced to ``batch_size``. Prompts are rendered and
 answers parsed with Spark expressions outside Python; only the model call is Python.
 
-Several models: rows are first hash-partitioned on (model, salt) so that a task sees few models
-and one model's rows still spread over ``salt`` tasks; never ``groupBy(model).applyInPandas``
-(a whole model's rows in one task).
+Several models: rows are first range-partitioned on (model, dataset, row_id) so that a task sees
+one or two models while every task gets a similar share of rows, even for a dominant model; never
+``groupBy(model).applyInPandas`` (a whole model's rows in one task).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql.types import StructField, StructType
 from prefspark.functions import templates as T
 from prefspark.functions.text import parse_preference, reward_input
 from prefspark.operators.preferences import explode_generated, strip_response_labels, with_constitution
+from prefspark.session import default_parallelism
 
 Backend = Callable[[str], Callable[[list[str]], list]]
 
@@ -150,7 +151,7 @@ def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generat
     the (usually tiny) constitution table; its cells are therefore hash-spread over
     ``num_partitions`` (default: the cluster's parallelism) before the backend runs.
     """
-    parts = num_partitions or grid.sparkSession.sparkContext.defaultParallelism
+    parts = num_partitions or default_parallelism(grid.sparkSession)
     prompts = (grid.repartition(parts, *keys)
                    .withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n))))
     raw = map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=list(keys))

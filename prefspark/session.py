@@ -28,25 +28,46 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     )
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (e.g. a remote session)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (falls back to the shuffle partition count)."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder used for reliable checkpoints and scratch tables.
+    """The shared folder used for checkpoints and scratch tables.
 
     Reads ``spark.checkpoint.dir`` (or the directory already set on the context). Only when
     neither is set *and* the master is local (tests) a private temporary folder is created;
     on a cluster a machine-local folder would be lost with its executor, so we refuse.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir() or conf_dir
-    if sc.master.startswith("local"):
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
+            return sc.getCheckpointDir() or conf_dir
+        return conf_dir
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if master.startswith("local"):
         local_dir = tempfile.mkdtemp(prefix="prefspark-ckpt-")
-        sc.setCheckpointDir(local_dir)
-        return sc.getCheckpointDir() or local_dir
+        if sc is not None:
+            sc.setCheckpointDir(local_dir)
+            return sc.getCheckpointDir() or local_dir
+        return local_dir
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 

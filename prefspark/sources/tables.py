@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prefspark.session import default_parallelism
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -17,8 +19,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` (default: the cluster's parallelism)
     when its scan yields fewer splits - e.g. one large file with a single row group. A scan of
     a large dataset already has more splits than cores, and is left alone (no extra shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    target = min_partitions or default_parallelism(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of this session: leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
