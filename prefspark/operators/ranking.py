@@ -168,19 +168,21 @@ def _kth_smallest(hashed: DataFrame, keys: list[str], k: int, digits: int = 4,
 
 def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int = 42,
                      exact: bool = True, chosen: str = "chosen", rejected: str = "rejected",
-                     flag: str = "flipped") -> DataFrame:
+                     flag: str = "flipped", where=None) -> DataFrame:
     """Swap ``chosen``/``rejected`` on a reproducible share of the rows.
 
     exact=True (G1): exactly ``floor(ratio * n)`` rows - those with the smallest
     ``md5(seed:key)`` - are flipped. exact=False (G2): each row flips when the first 32 bits of
-    its hash fall below ``ratio * 2^32`` (no counting at all; streamable).
+    its hash fall below ``ratio * 2^32`` (no counting at all; streamable). With ``where`` (a
+    boolean Column) only matching rows take part - ``n`` counts them - and all rows are returned.
     """
     keys = _check_keys(df, key)
     if not 0.0 <= ratio <= 1.0:
         raise ValueError("ratio must be within [0, 1]")
-    hashed = df.withColumn("_h", hash_hex(seed, *keys))
+    h = hash_hex(seed, *keys)
+    hashed = df.withColumn("_h", h if where is None else F.when(where, h))
     if exact:
-        hist = (hashed.groupBy(F.substring("_h", 1, 4).alias("_b"))
+        hist = (hashed.where(F.col("_h").isNotNull()).groupBy(F.substring("_h", 1, 4).alias("_b"))
                       .agg(F.count(F.lit(1)).alias("_n")).cache())
         n = hist.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         k = math.floor(float(ratio) * float(n))  # int(ratio * n), same double arithmetic as take_count
@@ -193,6 +195,7 @@ def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int
             cond = F.struct("_h", *keys) <= _key_literal(list(thr), ["_h", *keys], hashed)
     else:
         cond = hash_unit32(F.col("_h")).cast("double") < F.lit(float(ratio) * 4294967296.0)
+    cond = F.col("_h").isNotNull() & F.coalesce(cond, F.lit(False))
     c, r = F.col(chosen), F.col(rejected)
     return (hashed.withColumn(flag, cond)
                   .withColumn("_c", F.when(F.col(flag), r).otherwise(c))

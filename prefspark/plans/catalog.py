@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from prefspark.functions import arrays as A
 from prefspark.functions import templates as T
 from prefspark.functions import text as X
-from prefspark.operators import chat, evaluation, metrics, preferences, ranking, tokenize
+from prefspark.operators import chat, evaluation, filters, metrics, preferences, ranking, tokenize
 from prefspark.plans import fixtures as fx
 from prefspark.sources.literal import tasks_df
 from prefspark.sources.tables import read_table
@@ -127,6 +127,27 @@ def q_flip_approx(spark, sf_dir):
     return _flipped_pairs(spark, sf_dir, exact=False)
 
 
+SCOPED_CONSTITUTION = 2  # FIXED VALUE: the reference flips the data of constitution 2 only
+
+
+@query("flip_scoped", fx.with_sql(["cpairs"], f"""
+, h AS (SELECT conv_id, turn, prompt, response_1 AS chosen, response_2 AS rejected, constitution_id,
+               CASE WHEN constitution_id = {SCOPED_CONSTITUTION} THEN {sql_hash(str(FLIP_SEED), 'conv_id', 'turn')} END AS h
+        FROM cpairs)
+, r AS (SELECT *, CASE WHEN h IS NOT NULL THEN row_number() OVER (PARTITION BY h IS NULL ORDER BY h, conv_id, turn) END AS rk,
+               count(h) OVER () AS n FROM h)
+, f AS (SELECT conv_id, turn, constitution_id, prompt, coalesce(rk <= floor({FLIP_RATIO}::DOUBLE * n), false) AS flipped,
+               chosen AS c0, rejected AS r0 FROM r)
+SELECT conv_id, turn, constitution_id, prompt, CASE WHEN flipped THEN r0 ELSE c0 END AS chosen,
+       CASE WHEN flipped THEN c0 ELSE r0 END AS rejected, flipped FROM f"""))
+def q_flip_scoped(spark, sf_dir):
+    """G1 limited to one constitution's rows (exact count within the scope); all rows returned."""
+    pref = preferences.to_chosen_rejected(fx.pairs_with_constitution(spark, sf_dir),
+                                          keep=("conv_id", "turn", "constitution_id"))
+    return ranking.flip_preferences(pref, FLIP_RATIO, ["conv_id", "turn"], seed=FLIP_SEED,
+                                    where=F.col("constitution_id") == SCOPED_CONSTITUTION)
+
+
 @query("drop_columns", fx.with_sql(["pairs"], "SELECT conv_id, turn, response_1, response_2 FROM pairs"))
 def q_drop_columns(spark, sf_dir):
     return preferences.drop_columns(fx.pairs(spark, sf_dir), "prompt", strict=True)
@@ -517,15 +538,19 @@ MAX_LEN = 512  # FIXED VALUE: evaluation max length
 SELECT doc_id,
   array_to_string(ids[1:{MAX_LEN}], ',') AS right_trunc,
   array_to_string(CASE WHEN len(ids) > {MAX_LEN} THEN ids[len(ids) - {MAX_LEN} + 1:] ELSE ids END, ',') AS left_trunc,
-  array_to_string(list_concat(list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda x: 0), ids[1:{MAX_LEN}]), ',') AS left_padded
+  array_to_string(list_concat(list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda x: 0), ids[1:{MAX_LEN}]), ',') AS left_padded,
+  array_to_string(list_concat(list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda x: {fx.EOS_ID}), ids[1:{MAX_LEN}]), ',') AS left_padded_eos
 FROM token_ids"""))
 def q_truncate_pad(spark, sf_dir):
+    """X11: right/left truncation to 512 and left padding; without a pad id the EOS id pads."""
     t = fx.token_ids(spark, sf_dir)
     right = A.truncate_right("ids", MAX_LEN)
+    no_pad = F.lit(None).cast("int")
     return t.select("doc_id",
                     F.array_join(right, ",").alias("right_trunc"),
                     F.array_join(A.truncate_left("ids", MAX_LEN), ",").alias("left_trunc"),
-                    F.array_join(A.pad_left(right, MAX_LEN, fx.PAD_ID), ",").alias("left_padded"))
+                    F.array_join(A.pad_left(right, MAX_LEN, fx.PAD_ID), ",").alias("left_padded"),
+                    F.array_join(A.pad_left(right, MAX_LEN, A.pad_token(no_pad, fx.EOS_ID)), ",").alias("left_padded_eos"))
 
 
 EVAL_BATCH = 256  # FIXED VALUE: evaluation batch size
@@ -558,17 +583,11 @@ def q_length_filter(spark, sf_dir):
     c = tok.select(F.col("doc_id").alias("chosen_id"), F.col("input_ids").alias("chosen_ids"))
     r = tok.select(F.col("doc_id").alias("rejected_id"), F.col("input_ids").alias("rejected_ids"))
     pairs = c.join(r, F.col("rejected_id") == F.col("chosen_id") + 1)
-    kept = preferences_filter_max_length(pairs, TRAIN_MAX_LEN)
+    kept = filters.filter_max_length(pairs, TRAIN_MAX_LEN)
     return kept.select("chosen_id", "rejected_id", F.size("chosen_ids").cast("long").alias("chosen_len"),
                        F.size("rejected_ids").cast("long").alias("rejected_len"))
 
 
-def preferences_filter_max_length(df: DataFrame, n: int, chosen: str = "chosen_ids",
-                                  rejected: str = "rejected_ids") -> DataFrame:
-    from prefspark.operators.filters import filter_max_length
-    return filter_max_length(df, n, chosen, rejected)
-
-
 @query("eos_penalty", fx.with_sql(["token_ids"], f"""
 SELECT doc_id, round(CASE WHEN list_contains(ids, {fx.EOS_ID}) THEN n_chars / 1000.0 ELSE n_chars / 1000.0 - 1.0 END, 6) AS reward
 FROM token_ids"""))

@@ -139,3 +139,13 @@ def test_tail_and_chunks_partition_invariant(spark, parts):
     sizes = [len(a) for a in np.array_split(np.arange(120), 7)]
     bounds = np.cumsum([0] + sizes)
     assert all(chunks[i] == int(np.searchsorted(bounds, i, side="right")) for i in range(120))
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_scoped_flip(spark, exact):
+    df = _pairs(spark, 300).withColumn("c2", F.col("i") % 3 == 0)
+    out = ranking.flip_preferences(df, 0.6, ["k", "i"], exact=exact, where=F.col("c2")).collect()
+    assert not any(r["flipped"] for r in out if not r["c2"])
+    assert all(r["flipped"] is not None for r in out)
+    if exact:
+        assert sum(r["flipped"] for r in out) == math.floor(0.6 * 100)
