@@ -73,7 +73,8 @@ def continual_matrix(grid: DataFrame, averages: DataFrame) -> DataFrame:
 def missing_outputs(grid: DataFrame, scores: DataFrame) -> DataFrame:
     """J4 (anti): grid cells whose (model, dataset) has no output at all."""
     have = scores.select(F.col("model").alias("_m"), F.col("dataset").alias("_d")).distinct()
-    return grid.join(have, (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")), "left_anti")
+    return grid.join(small_side(have, reuse=True),
+                     (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")), "left_anti")
 
 
 def results_map(matrix: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from prefspark.functions import templates as T
 from prefspark.functions import text as X
 from prefspark.operators import chat, evaluation, filters, metrics, preferences, ranking, tokenize
 from prefspark.plans import fixtures as fx
+from prefspark.plans.broadcast import small_side
 from prefspark.sources.literal import tasks_df
 from prefspark.sources.tables import read_table
 
@@ -419,7 +420,8 @@ def q_continual_grid(spark, sf_dir):
     grid = evaluation.continual_grid(_tasks(spark))
     stats = evaluation.group_reward_stats(fx.scores(spark, sf_dir)).select(
         F.col("model").alias("_m"), F.col("dataset").alias("_d"), "n_scores")
-    j = grid.join(stats, (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")), "left")
+    j = grid.join(small_side(stats, reuse=True), (F.col("model") == F.col("_m")) & (F.col("eval_dataset") == F.col("_d")),
+                  "left")
     return j.select("task_idx", "task", "model", "eval_idx", "eval_task", "eval_dataset",
                     F.coalesce("n_scores", F.lit(0)).cast("long").alias("n_scores"))
 
