@@ -59,6 +59,24 @@ def q_csv_scan(spark, sf_dir):
         "conv_id", "turn", "prompt", "response_1", "response_2")
 
 
+@query("csv_sink", fx.with_sql(["pairs"], f"""
+SELECT conv_id, turn, prompt,
+       CASE WHEN conv_id % {N_FILES} < {N_FILES // 2} THEN 'v2:' ELSE '' END || {sql_strip("response_1")} AS response_1,
+       {sql_strip("response_2")} AS response_2
+FROM pairs"""))
+def q_csv_sink(spark, sf_dir):
+    """K1 + K5: all pairs written per file partition, then half of the partitions written again
+    with new values; the dynamic overwrite replaces exactly those partitions."""
+    path = scratch_path(spark, "csv-sink")
+    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    writers.write_preferences(src.repartition("file_key"), path, partition_by=["file_key"])
+    second = (src.where(F.col("file_key") < N_FILES // 2)
+                 .withColumn("response_1", F.concat(F.lit("Response 1: v2:"), F.expr("substring(response_1, 13)"))))
+    writers.write_preferences(second.repartition("file_key"), path, mode="overwrite", partition_by=["file_key"])
+    return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
+        "conv_id", "turn", "prompt", "response_1", "response_2")
+
+
 @query("csv_lineage", fx.with_sql(["pairs"], f"SELECT conv_id, turn, CAST(conv_id % {N_FILES} AS INTEGER) AS file_key FROM pairs"))
 def q_csv_lineage(spark, sf_dir):
     """Keys carried by the file path, not by the rows (partition discovery + ``_metadata``)."""
