@@ -160,10 +160,12 @@ def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generat
 
 
 def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend = "stub-policy",
-                     batch_size: int = 256, num_partitions: int | None = None) -> DataFrame:
+                     batch_size: int = 256, num_partitions: int | None = None,
+                     include_prompt: bool = True) -> DataFrame:
     """M3: outputs of every model on the prompts of each dataset it is evaluated on (J2 grid).
 
     ``prompts``: (dataset, row_id, prompt); ``grid``: (model, dataset) - small, broadcast.
+    ``include_prompt=False`` removes the prompt from the front of each output.
     Work is range-partitioned on (model, row_id): partitions hold similar row counts (bounds from a
     sample), a model's rows are contiguous, so a task loads one or two models, and a model with a
     third of all rows is still spread over a third of the tasks.
@@ -171,8 +173,13 @@ def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend
     work = prompts.join(F.broadcast(grid.select("model", "dataset").distinct()), "dataset")
     work = (work.repartitionByRange(num_partitions, "model", "dataset", "row_id") if num_partitions
             else work.repartitionByRange("model", "dataset", "row_id"))
-    return map_batches(work, "prompt", "generated_text", "string", backend, batch_size,
-                       carry=["model", "dataset", "row_id", "prompt"], model_col="model")
+    out = map_batches(work, "prompt", "generated_text", "string", backend, batch_size,
+                      carry=["model", "dataset", "row_id", "prompt"], model_col="model")
+    if include_prompt:  # like a decoded full sequence: the text starts with the prompt
+        return out
+    gen, prompt = F.col("generated_text"), F.col("prompt")
+    return out.withColumn("generated_text", F.when(gen.startswith(prompt),
+                                                   gen.substr(F.length(prompt) + 1, F.length(gen))).otherwise(gen))
 
 
 def score_outputs(outputs: DataFrame, backend: str | Backend = "stub-reward", batch_size: int = 256,

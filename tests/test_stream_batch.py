@@ -78,3 +78,11 @@ def test_generation_partitions_balanced_with_dominant_model(spark):
     assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / 6
     models_per_task = out.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("model").alias("m")).collect()
     assert max(r["m"] for r in models_per_task) <= 2
+
+
+def test_generate_outputs_include_prompt(spark):
+    prompts = spark.createDataFrame([("d1", 1, "Hello there")], "dataset string, row_id long, prompt string")
+    grid = spark.createDataFrame([("m", "d1")], "model string, dataset string")
+    full = batch.generate_outputs(prompts, grid).first()["generated_text"]
+    tail = batch.generate_outputs(prompts, grid, include_prompt=False).first()["generated_text"]
+    assert full == "Hello there -> m answer of 2 words" and tail == " -> m answer of 2 words"
