@@ -60,12 +60,14 @@ def read_preferences_tolerant(spark: SparkSession, path: str, schema: str = PREF
     return good, bad
 
 
-def with_lineage(df: DataFrame, pattern: str = REFERENCE_LAYOUT) -> DataFrame:
+def with_lineage(df: DataFrame, pattern: str = REFERENCE_LAYOUT, path_col: str = "file_path") -> DataFrame:
     """(constitution_id, context_id, run_id) from the file path ``{c}/{context}_{run}.csv``.
 
-    Context ids in file names start at 1, runs at 0. Rows from other paths get NULL keys.
+    Context ids in file names start at 1, runs at 0. Rows from other paths get NULL keys. The
+    path is ``path_col`` when the frame carries it (e.g. the tolerant reader's output), else the
+    scan's ``_metadata.file_path``.
     """
-    path = F.col("_metadata.file_path")
+    path = F.col(path_col) if path_col in df.columns else F.col("_metadata.file_path")
     def part(i):
         v = F.regexp_extract(path, pattern, i)
         return F.when(v != "", v.cast("int"))
