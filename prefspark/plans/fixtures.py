@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import hash_hex, hash_unit32, words
-from prefspark.plans.broadcast import small_side
 from prefspark.sources.tables import read_table
 
 N_TASKS = 5

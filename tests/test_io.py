@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from prefspark.sinks import writers
 from prefspark.sources import csv as csv_src
 from prefspark.sources.datasets import read_dataset
@@ -104,4 +102,3 @@ def test_metrics_sink(spark, tmp_dir):
     writers.write_metrics(writers.metrics_long(df), path)
     got = {r["metric"]: r["value"] for r in spark.read.json(path).collect()}
     assert got == {"accuracy": 0.5, "loss": 1.25}
-    assert F is not None
