@@ -86,3 +86,17 @@ def test_generate_outputs_include_prompt(spark):
     full = batch.generate_outputs(prompts, grid).first()["generated_text"]
     tail = batch.generate_outputs(prompts, grid, include_prompt=False).first()["generated_text"]
     assert full == "Hello there -> m answer of 2 words" and tail == " -> m answer of 2 words"
+
+
+def test_stream_with_hash_flip_equals_batch(spark, tmp_dir):
+    from prefspark.operators.ranking import flip_preferences
+    drop, out, ckpt = (os.path.join(tmp_dir, x) for x in ("drop", "out", "ckpt"))
+    rows = [(f"p{i}", f"Response 1: good {i}", f"Response 2: bad {i}") for i in range(40)]
+    _drop(spark, drop, rows[:25])
+    _drop(spark, drop, rows[25:])
+    ingest_preferences_stream(spark, drop, out, ckpt, flip_ratio=0.6, flip_key=("prompt",), max_files_per_trigger=1)
+    streamed = sorted(tuple(r) for r in spark.read.parquet(out).select("prompt", "chosen", "rejected", "flipped").collect())
+    base = clean_preferences(csv_src.read_preferences(spark, drop).withColumn("source_file", F.lit("")))
+    batch_rows = flip_preferences(base, 0.6, ["prompt"], exact=False).select("prompt", "chosen", "rejected", "flipped")
+    assert streamed == sorted(tuple(r) for r in batch_rows.collect())
+    assert 0 < sum(r[3] for r in streamed) < 40
