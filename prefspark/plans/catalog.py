@@ -59,6 +59,7 @@ def sql_strip(x: str) -> str:
 
 
 FLIP_SEED, FLIP_RATIO = 42, 0.6
+JUDGE_BATCH = 8  # FIXED VALUE: judge batch size
 
 
 def _flipped_pairs(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
@@ -339,9 +340,6 @@ def q_tail_split(spark, sf_dir):
     return ranking.tail_split(docs, ["doc_id"], TAIL_N)
 
 
-JUDGE_BATCH = 8  # FIXED VALUE: judge batch size
-
-
 @query("batch_assign", fx.with_sql(["pairs"], f"""
 , i AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx, count(*) OVER () AS n FROM pairs)
 SELECT conv_id, turn, row_idx, CAST(row_idx // {JUDGE_BATCH} AS BIGINT) AS batch_id,
@@ -499,6 +497,32 @@ def q_first_and_drop(spark, sf_dir):
     return out.select("prefix", "first_model", r6("first_reward").alias("first_reward"), r6("drop_point").alias("drop_point"))
 
 
+@query("reward_stats", _eval_sql(
+       "SELECT model, dataset, n_scores, round(mn, 6) AS min_reward, round(mx, 6) AS max_reward, round(av, 6) AS mean_reward FROM stats"))
+def q_reward_stats(spark, sf_dir):
+    """A2: min / max / mean (and count) of the rewards per (model, dataset) in one aggregation."""
+    st = evaluation.group_reward_stats(fx.scores(spark, sf_dir))
+    return st.select("model", "dataset", "n_scores", r6("min_reward").alias("min_reward"),
+                     r6("max_reward").alias("max_reward"), r6("mean_reward").alias("mean_reward"))
+
+
+@query("sort_single", _eval_sql("SELECT model, eval_task, round(avg_reward, 6) AS avg_reward FROM matrix ORDER BY model"))
+def q_sort_single(spark, sf_dir):
+    """O1: sort by one column."""
+    return _matrix(spark, sf_dir).select("model", "eval_task", r6("avg_reward").alias("avg_reward")).orderBy("model")
+
+
+@query("count_math", fx.with_sql(["cpairs"], f"""
+SELECT constitution_id, count(*) AS n_rows, CAST(ceil(count(*) / {JUDGE_BATCH}.0) AS BIGINT) AS n_batches,
+       CAST(floor({FLIP_RATIO}::DOUBLE * count(*)) AS BIGINT) AS n_flips
+FROM cpairs GROUP BY constitution_id"""))
+def q_count_math(spark, sf_dir):
+    """X15 + A3: per constitution, rows, judge batches (ceil division) and rows to flip (int(ratio * n))."""
+    counts = fx.pairs_with_constitution(spark, sf_dir).groupBy("constitution_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.select("constitution_id", "n_rows", X.ceil_div("n_rows", F.lit(JUDGE_BATCH)).alias("n_batches"),
+                         X.take_count(FLIP_RATIO, F.col("n_rows")).alias("n_flips"))
+
+
 @query("equality_filter", _eval_sql(
        "SELECT model, eval_task, round(avg_reward, 6) AS avg_reward FROM matrix WHERE eval_task = 'Constitution 1'"))
 def q_equality_filter(spark, sf_dir):
