@@ -5,24 +5,46 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
-# Dimension tables above this many rows are joined with a shuffle instead of a broadcast.
+# A side is broadcast only when it has at most this many rows AND this many (estimated) bytes.
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, reuse: bool = False) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+def _row_bytes(df: DataFrame):
+    """Estimated bytes of one row: text/binary lengths, 8 bytes per element or scalar otherwise."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType)):
+            parts.append(F.coalesce(F.size(c), F.lit(0)) * F.lit(8))
+        else:
+            parts.append(F.lit(8))
+    total = F.lit(0)
+    for p in parts:
+        total = total + p
+    return total.cast("long")
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap when the side is large;
-    beyond the bound Catalyst/AQE pick the join (sort-merge, or broadcast from runtime stats).
-    With ``reuse`` (for sides that are expensive to compute, e.g. aggregates over model outputs)
-    the side is persisted while it is checked, so the join reads the checked rows instead of
-    computing them again; a side found too large is released again.
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, reuse: bool = False,
+               max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and ``max_bytes``
+    estimated bytes, else ``df`` unchanged.
+
+    The check reads at most ``max_rows + 1`` rows in one job, so it stays cheap when the side is
+    large; beyond the bounds Catalyst/AQE pick the join (sort-merge, or broadcast from runtime
+    stats). With ``reuse`` (for sides that are expensive to compute, e.g. aggregates over model
+    outputs) the side is persisted while it is checked, so the join reads the checked rows instead
+    of computing them again; a side found too large is released again.
     """
     if reuse:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    probe = df.limit(max_rows + 1)
+    n, nbytes = probe.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    if n <= max_rows and (nbytes or 0) <= max_bytes:
         return F.broadcast(df)
     if reuse:
         df.unpersist()

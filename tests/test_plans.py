@@ -43,3 +43,16 @@ def test_flagship_has_no_shuffle_of_pairs_for_the_flip(spark):
     pairs_plan = plan_text(fx.pairs(spark, SF_SMALL))
     flip_plan = plan_text(catalog._flipped_pairs(spark, SF_SMALL))
     assert flip_plan.count("Exchange") == pairs_plan.count("Exchange")
+
+
+def test_small_side_bounds_rows_and_bytes(spark):
+    from prefspark.plans.broadcast import small_side
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "id long, text string")
+    assert "BroadcastHashJoin" in plan_text(df.join(small_side(df.select("id")), "id"))
+    # 50 rows of ~1 KB: too many bytes for a 10 KB bound, too many rows for a 10-row bound
+    assert "BroadcastHashJoin" not in plan_text(spark.range(100).join(small_side(df, max_bytes=10_000), "id"))
+    assert "BroadcastHashJoin" not in plan_text(spark.range(100).join(small_side(df, max_rows=10), "id"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
