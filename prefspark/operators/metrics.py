@@ -79,17 +79,27 @@ def neg_log_sigmoid(d: Column) -> Column:
 
 
 def reward_eval_metrics(df: DataFrame, chosen="r_chosen", rejected="r_rejected",
-                        center: float = REWARD_CENTER_COEF) -> DataFrame:
+                        center: float = REWARD_CENTER_COEF, ties: str = "wrong") -> DataFrame:
     """Pairwise reward-model metrics in one pass.
 
-    accuracy = mean(r_c > r_r); margin = mean(r_c - r_r);
+    accuracy = share of pairs with r_c > r_r; margin = mean(r_c - r_r);
     loss = mean(-log sigmoid(r_c - r_r)) + center * mean((r_c + r_r)^2).
+    ``ties`` (r_c == r_r): "wrong" counts them as misses (default), "correct" as hits (an argmax
+    over [r_c, r_r] picks the first), "exclude" leaves them out of the accuracy.
     """
     rc, rr = as_col(chosen).cast("double"), as_col(rejected).cast("double")
     d = rc - rr
+    if ties == "wrong":
+        hit = F.when(d > 0, 1.0).otherwise(0.0)
+    elif ties == "correct":
+        hit = F.when(d >= 0, 1.0).otherwise(0.0)
+    elif ties == "exclude":
+        hit = F.when(d > 0, 1.0).when(d < 0, 0.0)  # NULL for ties: avg ignores them
+    else:
+        raise ValueError("ties must be 'wrong', 'correct' or 'exclude'")
     return df.agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        F.avg(F.when(d > 0, 1.0).otherwise(0.0)).alias("accuracy"),
+        F.avg(hit).alias("accuracy"),
         F.avg(d).alias("mean_margin"),
         (F.avg(neg_log_sigmoid(d)) + F.lit(float(center)) * F.avg((rc + rr) * (rc + rr))).alias("loss"),
     )

@@ -97,3 +97,10 @@ def test_pad_to_longest(spark, size):
         longest = min(b + size, 5)
         for k in range(b, min(b + size, 5)):
             assert len(out[k]) == longest and out[k][-(k + 1):] == list(range(k + 1))
+
+
+def test_reward_metrics_tie_conventions(spark):
+    from prefspark.operators.metrics import reward_eval_metrics
+    df = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (0.5, 0.5), (2.0, 1.0)], "r_chosen double, r_rejected double")
+    acc = {t: reward_eval_metrics(df, ties=t).first()["accuracy"] for t in ("wrong", "correct", "exclude")}
+    assert acc == {"wrong": 0.5, "correct": 0.75, "exclude": 2 / 3}
