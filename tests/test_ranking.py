@@ -149,3 +149,9 @@ def test_scoped_flip(spark, exact):
     assert all(r["flipped"] is not None for r in out)
     if exact:
         assert sum(r["flipped"] for r in out) == math.floor(0.6 * 100)
+
+
+@pytest.mark.parametrize("ratio", [0.0, 1.0])
+def test_flip_ratio_edges(spark, ratio):
+    out = ranking.flip_preferences(_pairs(spark, 37), ratio, ["k", "i"])
+    assert out.where("flipped").count() == math.floor(ratio * 37)
