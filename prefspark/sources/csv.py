@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefspark.plans.broadcast import small_side
+
 PREFERENCE_SCHEMA = "prompt string, response_1 string, response_2 string"
 NULL_TOKEN = "\\N"  # written for NULL by our sink, so that '' and NULL survive a round trip
 
@@ -55,7 +57,8 @@ def read_preferences_tolerant(spark: SparkSession, path: str, schema: str = PREF
     flagged = raw.withColumn("_too_many", too_many)
     bad = flagged.where("_too_many").groupBy("file_path").agg(F.count(F.lit(1)).alias("bad_rows"))
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    good = (flagged.join(bad.select("file_path"), "file_path", "left_anti")
+    # the bad-file list has one row per file: broadcast it when small, else a shuffle anti join
+    good = (flagged.join(small_side(bad.select("file_path"), reuse=True), "file_path", "left_anti")
                    .select(*names, "file_path"))
     return good, bad
 
