@@ -23,6 +23,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # batch sessions run hundreds of short jobs: keep the status store (kept even without the UI) small
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "200")
+        .config("spark.ui.retainedTasks", "10000")
+        .config("spark.sql.ui.retainedExecutions", "50")
         .config("spark.driver.memory", driver_memory)
         .getOrCreate()
     )
