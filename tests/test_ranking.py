@@ -155,3 +155,14 @@ def test_scoped_flip(spark, exact):
 def test_flip_ratio_edges(spark, ratio):
     out = ranking.flip_preferences(_pairs(spark, 37), ratio, ["k", "i"])
     assert out.where("flipped").count() == math.floor(ratio * 37)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_batches_and_zip_partition_invariant(spark, parts):
+    from prefspark.operators.evaluation import zip_join
+    df = _pairs(spark, 90, parts=parts)
+    batches = {r["i"]: r["batch_id"] for r in ranking.assign_batches(df, ["k", "i"], 8).collect()}
+    assert batches == {i: i // 8 for i in range(90)}
+    right = spark.createDataFrame([(1000 - j, f"g{j}") for j in range(50)], "b long, g string").repartition(parts)
+    pairs = sorted((r["row_idx"], r["i"], r["b"]) for r in zip_join(df, right, ["k", "i"], ["b"]).collect())
+    assert pairs == [(x, x, 951 + x) for x in range(50)]
