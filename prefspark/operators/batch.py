@@ -25,7 +25,7 @@ from pyspark.sql.types import StructField, StructType
 from prefspark.functions import templates as T
 from prefspark.functions.text import parse_preference, reward_input
 from prefspark.operators.preferences import explode_generated, strip_response_labels, with_constitution
-from prefspark.session import default_parallelism
+from prefspark.session import default_parallelism, ship_package
 
 Backend = Callable[[str], Callable[[list[str]], list]]
 
@@ -86,6 +86,7 @@ def map_batches(df: DataFrame, text_col: str, out_col: str, out_type: str, backe
                 default_model: str = "default") -> DataFrame:
     """Run ``backend`` over ``text_col`` in batches; output = ``carry`` columns + ``out_col``."""
     factory = resolve_backend(backend)
+    ship_package(df.sparkSession)
     carry = list(carry)
     if model_col and model_col not in carry:
         carry = [model_col] + carry

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions._util import as_col
 from prefspark.functions.text import hash_unit32, words
+from prefspark.session import ship_package
 
 DEFAULT_VOCAB = 32_000
 
@@ -32,6 +33,7 @@ def tokenize(df: DataFrame, text_col: str, keys: Sequence[str] = (), vocab_size:
     if tokenizer is None:
         return df.select(*keys, whitespace_token_ids(text_col, vocab_size).alias("input_ids"))
 
+    ship_package(df.sparkSession)
     key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
     schema = ", ".join(key_fields + ["input_ids array<int>"])
 

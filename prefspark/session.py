@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +81,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for intermediate tables."""
     root = checkpoint_root(spark)
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (``addPyFile``), once per context.
+
+    Partition-wise Python (``mapInPandas``) unpickles backend factories by module name, so the
+    workers need the package even when only the driver has it on its path (``--py-files`` does the
+    same for jobs submitted with it).
+    """
+    sc = _context(spark)
+    if sc is None:
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    archive = os.path.join(tempfile.mkdtemp(prefix="prefspark-py-"), "prefspark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -100,3 +100,13 @@ def test_stream_with_hash_flip_equals_batch(spark, tmp_dir):
     batch_rows = flip_preferences(base, 0.6, ["prompt"], exact=False).select("prompt", "chosen", "rejected", "flipped")
     assert streamed == sorted(tuple(r) for r in batch_rows.collect())
     assert 0 < sum(r[3] for r in streamed) < 40
+
+
+def test_package_is_shipped_to_workers(spark):
+    """Python workers import the package from the shipped archive, whatever the driver's cwd."""
+    from prefspark.session import ship_package
+    ship_package(spark)
+    ship_package(spark)  # once per context
+    files = spark.sparkContext.listFiles if hasattr(spark.sparkContext, "listFiles") else None
+    if files is not None:
+        assert any(f.endswith("prefspark.zip") for f in files)
