@@ -8,8 +8,10 @@ regression without intercept gives w, and the reward of a text is w . x. Trainin
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUM_FEATURES = 256
+ROWS_PER_TASK = 100_000  # training rows per partition (a 256-dim dense row is about 2 KB)
 
 
 def _featurize(df: DataFrame, text_col: str, out: str, num_features: int) -> DataFrame:
@@ -44,12 +47,20 @@ def fit_pairwise_reward(pairs: DataFrame, chosen: str = "chosen", rejected: str
     fc = _featurize(pairs.select(chosen, rejected), chosen, "_c", num_features)
     both = _featurize(fc, rejected, "_r", num_features)
     d = F.zip_with(vector_to_array("_c"), vector_to_array("_r"), lambda a, b: a - b)
-    diff = both.select(d.alias("d"))
+    # both halves of the mirrored set read the differences: compute them once
+    diff = both.select(d.alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
+    n = diff.count()
     mirrored = (diff.select(array_to_vector("d").alias("features"), F.lit(1.0).alias("label"))
                 .unionByName(diff.select(array_to_vector(F.transform("d", lambda v: -v)).alias("features"),
                                          F.lit(0.0).alias("label"))))
+    # every L-BFGS iteration is one pass over all partitions: size them to the data (never more
+    # partitions than the input has; large inputs keep theirs)
+    target = max(1, math.ceil(2 * n / ROWS_PER_TASK))
+    if mirrored.rdd.getNumPartitions() > target:
+        mirrored = mirrored.coalesce(target)
     lr = LogisticRegression(fitIntercept=False, maxIter=max_iter, regParam=reg, standardization=False)
     model = lr.fit(mirrored)
+    diff.unpersist()
     return PairwiseRewardModel([float(v) for v in model.coefficients.toArray()], num_features)
 
 
