@@ -104,3 +104,19 @@ def test_reward_metrics_tie_conventions(spark):
     df = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (0.5, 0.5), (2.0, 1.0)], "r_chosen double, r_rejected double")
     acc = {t: reward_eval_metrics(df, ties=t).first()["accuracy"] for t in ("wrong", "correct", "exclude")}
     assert acc == {"wrong": 0.5, "correct": 0.75, "exclude": 2 / 3}
+
+
+def test_empty_inputs(spark):
+    from prefspark.operators import chat, metrics
+    empty_scores = _scores(spark, [])
+    assert evaluation.avg_normalized_reward(empty_scores).count() == 0
+    grid = evaluation.continual_grid(tasks_df(spark, fx.task_config(2)))
+    matrix = evaluation.continual_matrix(grid, evaluation.avg_normalized_reward(empty_scores))
+    assert matrix.count() == grid.count() and matrix.where(F.col("avg_reward").isNotNull()).count() == 0
+    assert evaluation.missing_outputs(grid, empty_scores).count() == grid.count()
+    conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.render_chat(conv).count() == 0
+    prof = {r["column_name"]: (r["non_null"], r["n_rows"]) for r in metrics.profile(conv).collect()}
+    assert prof == {"conv_id": (0, 0), "turn": (0, 0), "role": (0, 0), "text": (0, 0)}
+    m = metrics.reward_eval_metrics(spark.createDataFrame([], "r_chosen double, r_rejected double")).first()
+    assert m["n_pairs"] == 0 and m["accuracy"] is None
