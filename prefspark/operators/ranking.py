@@ -114,6 +114,8 @@ def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str =
     With fewer than ``n`` rows every row is in the tail (the reference would fail there).
     """
     keys = _check_keys(df, order_by)
+    if n <= 0:  # an empty tail
+        return df.withColumn(name, F.lit(head_label))
     key = F.struct(*[F.col(c) for c in keys])
     # Bounded top-(n+1) (per-partition top-k, then one merge of (n+1) x partitions rows): its n-th
     # row is the threshold; an equal (n+1)-th row would mean a duplicated key at the cut.

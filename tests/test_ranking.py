@@ -166,3 +166,8 @@ def test_batches_and_zip_partition_invariant(spark, parts):
     right = spark.createDataFrame([(1000 - j, f"g{j}") for j in range(50)], "b long, g string").repartition(parts)
     pairs = sorted((r["row_idx"], r["i"], r["b"]) for r in zip_join(df, right, ["k", "i"], ["b"]).collect())
     assert pairs == [(x, x, 951 + x) for x in range(50)]
+
+
+def test_tail_split_zero(spark):
+    out = ranking.tail_split(_pairs(spark, 10), ["k", "i"], 0)
+    assert out.where("split = 'eval'").count() == 0 and out.count() == 10
