@@ -56,3 +56,21 @@ def test_small_side_bounds_rows_and_bytes(spark):
     assert "BroadcastHashJoin" not in plan_text(spark.range(100).join(small_side(df, max_rows=10), "id"))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_hot_group_normalisation_and_judge(spark):
+    from prefspark.operators import batch, evaluation
+    rows = [("hot", "d", i, float(i % 7)) for i in range(300)] + \
+           [(f"m{i % 20}", f"d{i % 3}", i, float(i % 5)) for i in range(600)]
+    scores = spark.createDataFrame(rows, "model string, dataset string, row_id long, reward double")
+    norm = evaluation.normalize_rewards(scores)
+    text = plan_text(norm)
+    assert "BroadcastHashJoin" in text and "Window" not in text
+    hot = [r["norm_reward"] for r in norm.where("model = 'hot'").collect()]
+    assert len(hot) == 300 and min(hot) == 0.0 and max(hot) == 1.0
+    pairs = spark.createDataFrame([(i, 0 if i < 100 else i % 7, f"p{i}", "a", "b") for i in range(300)],
+                                  "conv_id long, constitution_id long, prompt string, response_1 string, response_2 string")
+    consts = spark.createDataFrame([(j, f"rule {j}") for j in range(7)], "constitution_id long, text string")
+    judged = batch.judge_preferences(pairs, consts, batch_size=8)
+    assert "BroadcastHashJoin" in plan_text(judged) and "SortMergeJoin" not in plan_text(judged)
+    assert judged.count() == 300
