@@ -11,20 +11,24 @@ from prefspark.session import default_parallelism
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Tables whose rows carry whole texts: per-row work on them (regex, hashing, tokenising) is CPU-bound.
-TEXT_TABLES = ("documents", "pages")
+# Tables whose rows carry whole texts (per-row regex, hashing and tokenising work is CPU-bound),
+# with their unique id.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` (default: the cluster's parallelism)
-    when its scan yields fewer splits - e.g. one large file with a single row group. A scan of
-    a large dataset already has more splits than cores, and is left alone (no extra shuffle)."""
+def spread(df: DataFrame, min_partitions: int | None = None, by: str | None = None) -> DataFrame:
+    """Spread ``df`` over at least ``min_partitions`` (default: the cluster's parallelism) when
+    its scan yields fewer splits - e.g. one large file with a single row group. Hash-partitions on
+    the unique column ``by`` when given (deterministic without sorting the rows), else round-robin.
+    A scan of a large dataset already has more splits than cores and is left alone (no shuffle)."""
     target = min_partitions or default_parallelism(df.sparkSession)
     try:
         splits = df.rdd.getNumPartitions()
     except Exception:  # no RDD view of this session: leave the scan as it is
         return df
-    return df.repartition(target) if splits < target else df
+    if splits >= target:
+        return df
+    return df.repartition(target, by) if by else df.repartition(target)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,4 +36,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, by=TEXT_TABLES[name]) if name in TEXT_TABLES else df
