@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.text import path_name
 from prefspark.operators.preferences import strip_response_labels
-from prefspark.sources.csv import NULL_TOKEN
 
 
 def _writer(df: DataFrame, mode: str, partition_by: Sequence[str] = ()):
@@ -21,12 +20,13 @@ def _writer(df: DataFrame, mode: str, partition_by: Sequence[str] = ()):
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-    """K2: CSV with header and without index. Every cell quoted, quotes escaped by doubling,
-    no trimming, '' and NULL kept apart - an exact round trip through ``read_preferences``."""
+    """K2: CSV with header and without index. Cells are quoted when they hold a quote, the
+    separator or a line break (quotes doubled); no trimming; NULL is an empty unquoted field and
+    '' a quoted empty field - an exact round trip through ``read_preferences`` without any
+    sentinel text that a real cell could collide with."""
     (_writer(df, mode, partition_by)
-     .option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"')
+     .option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("emptyValue", "").option("nullValue", NULL_TOKEN)
      .csv(path))
 
 

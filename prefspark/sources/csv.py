@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from prefspark.plans.broadcast import small_side
 
 PREFERENCE_SCHEMA = "prompt string, response_1 string, response_2 string"
-NULL_TOKEN = "\\N"  # written for NULL by our sink, so that '' and NULL survive a round trip
+# What the parser reports for an UNQUOTED empty field (our sink's NULL); a quoted "" stays ''.
+# The sink never writes this character, so no real text is turned into NULL.
+UNQUOTED_EMPTY = "\u0000"
 
 # FIXED VALUE: layout of the generator's drop directory: {constitution}/{context}_{run}.csv
 REFERENCE_LAYOUT = r"/(\d+)/(\d+)_(\d+)\.csv$"
 
 
-def _reader(spark: SparkSession, schema: str, null_token: str | None, header: bool = True,
+def _reader(spark: SparkSession, schema: str, null_token: str | None = None, header: bool = True,
             recursive: bool = False):
     r = (spark.read.schema(schema)
          .option("header", header).option("multiLine", True)
@@ -32,7 +34,7 @@ def _reader(spark: SparkSession, schema: str, null_token: str | None, header: bo
 
 
 def read_preferences(spark: SparkSession, path: str, schema: str = PREFERENCE_SCHEMA,
-                     null_token: str | None = NULL_TOKEN, recursive: bool = False) -> DataFrame:
+                     null_token: str | None = UNQUOTED_EMPTY, recursive: bool = False) -> DataFrame:
     """Every CSV file of ``path`` unioned (``key=value`` folders become columns; with
     ``recursive`` all files below ``path``, without partition columns).
 
@@ -41,7 +43,7 @@ def read_preferences(spark: SparkSession, path: str, schema: str = PREFERENCE_SC
 
 
 def read_preferences_tolerant(spark: SparkSession, path: str, schema: str = PREFERENCE_SCHEMA,
-                              null_token: str | None = NULL_TOKEN, header: bool = True,
+                              null_token: str | None = UNQUOTED_EMPTY, header: bool = True,
                               recursive: bool = False):
     """Read all files; a file with any row holding more fields than the header is rejected
     as a whole (the reference's parser raises on such a file and skips it).

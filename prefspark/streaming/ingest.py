@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prefspark.operators.preferences import strip_response_labels, to_chosen_rejected
 from prefspark.operators.ranking import flip_preferences
-from prefspark.sources.csv import NULL_TOKEN, PREFERENCE_SCHEMA
+from prefspark.sources.csv import PREFERENCE_SCHEMA, UNQUOTED_EMPTY
 
 
 def clean_preferences(df: DataFrame, keep=("source_file",)) -> DataFrame:
@@ -26,7 +26,7 @@ def preference_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: i
                       schema: str = PREFERENCE_SCHEMA) -> DataFrame:
     reader = (spark.readStream.schema(schema)
               .option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("nullValue", NULL_TOKEN))
+              .option("quote", '"').option("escape", '"').option("nullValue", UNQUOTED_EMPTY))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(in_dir).withColumn("source_file", F.col("_metadata.file_path"))
