@@ -110,3 +110,28 @@ def test_package_is_shipped_to_workers(spark):
     files = spark.sparkContext.listFiles if hasattr(spark.sparkContext, "listFiles") else None
     if files is not None:
         assert any(f.endswith("prefspark.zip") for f in files)
+
+
+def test_pairwise_reward_model_matches_newton_solution(spark):
+    """With L2 regularisation the fit has one optimum: compare Spark's weights with a numpy
+    Newton solve of the same objective on the same hashed difference features."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    good = ["kind helpful honest answer", "respectful fair reply", "helpful and kind", "fair honest help"]
+    bad = ["rude hateful insult", "unfair biased insult", "hateful rude reply", "biased rude answer"]
+    pairs = spark.createDataFrame([(g, b) for g in good for b in bad], "chosen string, rejected string")
+    reg = 0.1
+    model = reward_model.fit_pairwise_reward(pairs, num_features=32, reg=reg, max_iter=200)
+    feats = reward_model._featurize(reward_model._featurize(pairs, "chosen", "_c", 32), "rejected", "_r", 32)
+    rows = feats.select(vector_to_array("_c").alias("c"), vector_to_array("_r").alias("r")).collect()
+    d = np.array([np.array(r["c"]) - np.array(r["r"]) for r in rows])
+    x = np.vstack([d, -d])
+    y = np.concatenate([np.ones(len(d)), -np.ones(len(d))])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton on mean log-loss + reg/2 |w|^2
+        m = y * (x @ w)
+        p = 1.0 / (1.0 + np.exp(m))
+        grad = -(x * (y * p)[:, None]).mean(axis=0) + reg * w
+        hess = (x.T * (p * (1 - p))) @ x / len(y) + reg * np.eye(len(w))
+        w -= np.linalg.solve(hess, grad)
+    assert np.allclose(np.array(model.weights), w, atol=1e-3)
