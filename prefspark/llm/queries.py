@@ -8,15 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import (chunked_bpe, golay_simhash, line_minhash, mcd_quality, mixture_pack,
-                           secret_scan, zstd_langid)
+from prefspark.llm import (chunked_bpe, crf_pii, golay_simhash, line_minhash, mcd_quality,
+                           mixture_pack, nnpu_toxicity, secret_scan, srs_ann, zstd_langid)
 from prefspark.llm.common import read_documents
 
 
+def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.scan_pii(read_documents(spark, sf_dir)).drop("masked")
+
+
 def op2_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read_documents(spark, sf_dir)).drop("redacted")
 
 
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return nnpu_toxicity.score(read_documents(spark, sf_dir), labels)
+
+
+def op4_srs_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return srs_ann.nearest(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode_documents(read_documents(spark, sf_dir))
 
@@ -52,6 +66,7 @@ def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_automaton, op5_chunked_bpe, op6_mixture_pack,
-                                   op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_crf_pii, op2_secret_automaton, op3_nnpu_toxicity, op4_srs_ann, op5_chunked_bpe, op6_mixture_pack,
+    op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality)}
 ORACLE: dict[str, str] = {}
