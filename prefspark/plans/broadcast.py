@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
+from prefspark.session import scratch_path
+
 # A side is broadcast only when it has at most this many rows AND this many (estimated) bytes.
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -34,18 +35,15 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, reuse:
     """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and ``max_bytes``
     estimated bytes, else ``df`` unchanged.
 
-    The check reads at most ``max_rows + 1`` rows in one job, so it stays cheap when the side is
-    large; beyond the bounds Catalyst/AQE pick the join (sort-merge, or broadcast from runtime
-    stats). With ``reuse`` (for sides that are expensive to compute, e.g. aggregates over model
-    outputs) the side is persisted while it is checked, so the join reads the checked rows instead
-    of computing them again; a side found too large is released again.
+    The check is one aggregation to two numbers over the rows' estimated lengths: no row and no
+    text leaves its task. Beyond the bounds Catalyst/AQE pick the join (sort-merge, or broadcast
+    from runtime stats). With ``reuse`` (for sides that are expensive to compute, e.g. aggregates
+    over model outputs) the side is first written to the shared checkpoint folder, so that it is
+    computed once and nothing stays pinned in executor memory.
     """
     if reuse:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    probe = df.limit(max_rows + 1)
-    n, nbytes = probe.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    if n <= max_rows and (nbytes or 0) <= max_bytes:
-        return F.broadcast(df)
-    if reuse:
-        df.unpersist()
-    return df
+        path = scratch_path(df.sparkSession, "side")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    n, nbytes = df.select(_row_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= max_rows and (nbytes or 0) <= max_bytes else df
