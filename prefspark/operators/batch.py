@@ -9,12 +9,18 @@ answers parsed with Spark expressions outside Python; only the model call is Pyt
 Several models: rows are first range-partitioned on (model, dataset, row_id) so that a task sees
 one or two models while every task gets a similar share of rows, even for a dominant model; never
 ``groupBy(model).applyInPandas`` (a whole model's rows in one task).
+
+Model calls are expensive and may sample, so each is made once: a job writes the backend's
+answers to the shared folder (or a caller's ``path``) and everything after reads them from there.
+The number of tasks follows the number of calls, not the bytes of the rows. A NULL text is not sent
+to the backend and a NULL model is not loaded: the row stays, with a NULL answer.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -24,8 +30,10 @@ from pyspark.sql.types import StructField, StructType
 
 from prefspark.functions import templates as T
 from prefspark.functions.text import parse_preference, reward_input
-from prefspark.operators.preferences import explode_generated, strip_response_labels, with_constitution
-from prefspark.session import default_parallelism, ship_package
+from prefspark.operators.preferences import (explode_generated, generation_keys, strip_response_labels,
+                                             with_constitution, with_domain)
+from prefspark.plans.broadcast import small_side
+from prefspark.session import default_parallelism, scratch_path, ship_package
 
 Backend = Callable[[str], Callable[[list[str]], list]]
 
@@ -59,8 +67,8 @@ def stub_policy(model: str = "stub") -> Callable[[list[str]], list[str]]:
 
 
 def stub_reward(model: str = "stub") -> Callable[[list[str]], list[float]]:
-    """A reward in [0, 1] from the text length."""
-    return lambda texts: [(len(t) % 101) / 100.0 for t in texts]
+    """A reward in [0, 1] from the text's length and the last letter of the model's name."""
+    return lambda texts: [((len(t) + ord(model[-1])) % 101) / 100.0 for t in texts]
 
 
 BACKENDS: dict[str, Backend] = {
@@ -98,22 +106,23 @@ def map_batches(df: DataFrame, text_col: str, out_col: str, out_type: str, backe
     def run(batches):
         models: dict[str, Callable] = {}
         for pdf in batches:
-            groups = pdf.groupby(model_col, sort=False) if model_col else [(default_model, pdf)]
+            groups = pdf.groupby(model_col, sort=False, dropna=False) if model_col else [(default_model, pdf)]
             pieces = []
             for model, part in groups:
-                fn = models.get(model)
-                if fn is None:
-                    fn = models[model] = factory(model)
-                texts = part[text_col].tolist()
+                asked = part.loc[part[text_col].notna()] if isinstance(model, str) else part.iloc[:0]
+                if len(asked) and model not in models:
+                    models[model] = factory(model)
+                texts = asked[text_col].tolist()
                 results: list = []
                 for start in range(0, len(texts), batch_size):
                     chunk = texts[start:start + batch_size]
-                    result = list(fn(chunk))
+                    result = list(models[model](chunk))
                     if len(result) != len(chunk):
                         raise ValueError(f"backend returned {len(result)} outputs for {len(chunk)} inputs")
                     results.extend(result)
                 out = part[carry].copy()
-                out[out_col] = pd.Series(results, index=part.index)
+                out[out_col] = pd.Series(results, index=asked.index, dtype=object if not len(results) else None
+                                         ).reindex(part.index)
                 pieces.append(out)
             if pieces:  # one output frame per Arrow batch
                 yield pieces[0] if len(pieces) == 1 else pd.concat(pieces)
@@ -126,56 +135,89 @@ def _parse_type(ddl: str):
     return _parse_datatype_string(ddl)
 
 
+def call_tasks(df: DataFrame, calls_per_task: int) -> int:
+    """Tasks for the calls of ``df``: all cores, and no task with many more than ``calls_per_task``."""
+    return max(default_parallelism(df.sparkSession), math.ceil(df.count() / calls_per_task))
+
+
+def write_once(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run ``df`` once into a table (in the shared folder, or at ``path``) and return the table."""
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ------------------------------------------------------------------ jobs
 
 def judge_preferences(df: DataFrame, constitutions: DataFrame, backend: str | Backend = "stub-judge",
                       template: str = "v1", batch_size: int = 8,
-                      carry: Sequence[str] = ("prompt", "response_1", "response_2")) -> DataFrame:
-    """M1: X5 judge prompt (with J5) -> backend -> X4 parse -> ``preference`` (0, 1 or NULL)."""
-    joined = with_constitution(df, constitutions)
+                      carry: Sequence[str] = ("prompt", "response_1", "response_2"),
+                      num_partitions: int | None = None, path: str | None = None) -> DataFrame:
+    """M1: X5 judge prompt (with J5) -> backend -> X4 parse -> ``preference`` (0, 1 or NULL). A row whose
+    prompt is NULL (a missing response or constitution) is not judged: NULL text and preference."""
+    spread = df.repartition(num_partitions or call_tasks(df, batch_size * 500))
+    joined = with_constitution(spread, constitutions)
     prompts = joined.withColumn("_judge_prompt", T.judge_prompt("constitution", "prompt", "response_1",
                                                                  "response_2", template))
     keep = [c for c in df.columns if c not in carry] + list(carry)
-    answered = map_batches(prompts, "_judge_prompt", "generated_text", "string", backend, batch_size, carry=keep)
+    answered = write_once(map_batches(prompts, "_judge_prompt", "generated_text", "string", backend, batch_size,
+                                      carry=keep), "judged", path)
     return answered.withColumn("preference", parse_preference("generated_text"))
 
 
 def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generator", n: int = 20,
                          batch_size: int = 16, keys: Sequence[str] = ("constitution_id", "context_id", "run_id"),
-                         num_partitions: int | None = None):
+                         num_partitions: int | None = None, path: str | None = None):
     """M2: one generator call per (constitution, context, run); JSON -> rows (X14/P5) -> labels
-    stripped (X1). Returns ``(rows, rejects)``.
+    stripped (X1). Returns ``(rows, rejects)``, both read from the one written table of answers.
 
     Each grid cell is one generator request; a backend receives up to ``batch_size`` requests at
-    once (and may send them concurrently). The grid has few rows but every row is an expensive
-    call, and it inherits the partitioning of
-    the (usually tiny) constitution table; its cells are therefore hash-spread over
-    ``num_partitions`` (default: the cluster's parallelism) before the backend runs.
+    once (and may send them concurrently). ``grid`` holds the keys with ``text`` and ``domain``; the
+    cells are hash-spread by their keys.
     """
-    parts = num_partitions or default_parallelism(grid.sparkSession)
+    parts = num_partitions or call_tasks(grid.select(*keys), batch_size * 250)
     prompts = (grid.repartition(parts, *keys)
                    .withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n))))
-    raw = map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=list(keys))
+    raw = write_once(map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=list(keys)),
+                     "generated", path)
     rows, rejects = explode_generated(raw, "raw", keep=list(keys))
     return strip_response_labels(rows), rejects
 
 
+def generate_from_constitutions(constitutions: DataFrame, backend: str | Backend = "stub-generator", n: int = 20,
+                                runs: int = 200, batch_size: int = 16, num_partitions: int | None = None,
+                                path: str | None = None):
+    """J7 + M2: the cells' keys are spread over the tasks first, and their texts attached there."""
+    keys = ["constitution_id", "context_id", "run_id"]
+    cells = generation_keys(constitutions, runs)
+    cells = cells.repartition(num_partitions or call_tasks(cells, batch_size * 250), *keys)
+    grid = with_domain(with_constitution(cells, constitutions, text_col="text"))
+    prompts = grid.withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n)))
+    raw = write_once(map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=keys),
+                     "generated", path)
+    rows, rejects = explode_generated(raw, "raw", keep=keys)
+    return strip_response_labels(rows), rejects
+
+
 def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend = "stub-policy",
                      batch_size: int = 256, num_partitions: int | None = None,
-                     include_prompt: bool = True) -> DataFrame:
+                     include_prompt: bool = True, path: str | None = None) -> DataFrame:
     """M3: outputs of every model on the prompts of each dataset it is evaluated on (J2 grid).
 
-    ``prompts``: (dataset, row_id, prompt); ``grid``: (model, dataset) - small, broadcast.
+    ``prompts``: (dataset, row_id, prompt); ``grid``: (model, dataset) and, if there, the dataset's
+    ``reward_model``, which is carried along for scoring.
     ``include_prompt=False`` removes the prompt from the front of each output.
     Work is range-partitioned on (model, row_id): partitions hold similar row counts (bounds from a
     sample), a model's rows are contiguous, so a task loads one or two models, and a model with a
     third of all rows is still spread over a third of the tasks.
     """
-    work = prompts.join(F.broadcast(grid.select("model", "dataset").distinct()), "dataset")
-    work = (work.repartitionByRange(num_partitions, "model", "dataset", "row_id") if num_partitions
-            else work.repartitionByRange("model", "dataset", "row_id"))
-    out = map_batches(work, "prompt", "generated_text", "string", backend, batch_size,
-                      carry=["model", "dataset", "row_id", "prompt"], model_col="model")
+    extra = ["reward_model"] if "reward_model" in grid.columns else []
+    work = prompts.join(small_side(grid.select("model", "dataset", *extra).distinct()), "dataset")
+    parts = num_partitions or call_tasks(work.select("model"), batch_size * 40)
+    out = write_once(map_batches(work.repartitionByRange(parts, "model", "dataset", "row_id"), "prompt",
+                                 "generated_text", "string", backend, batch_size,
+                                 carry=["model", "dataset", "row_id", "prompt", *extra], model_col="model"),
+                     "outputs", path)
     if include_prompt:  # like a decoded full sequence: the text starts with the prompt
         return out
     gen, prompt = F.col("generated_text"), F.col("prompt")
@@ -184,11 +226,16 @@ def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend
 
 
 def score_outputs(outputs: DataFrame, backend: str | Backend = "stub-reward", batch_size: int = 256,
-                  reward_model_col: str | None = None) -> DataFrame:
-    """M4: reward of prompt + output (X8) per row, one reward model per ``reward_model_col``."""
+                  reward_model_col: str | None = "reward_model", num_partitions: int | None = None,
+                  path: str | None = None) -> DataFrame:
+    """M4: reward of prompt + output (X8) per row, by the row's own reward model (that of its
+    dataset) where ``outputs`` names one; a row without a reward model keeps a NULL reward."""
     texts = outputs.withColumn("_reward_text", reward_input("prompt", "generated_text"))
+    own = reward_model_col if reward_model_col in outputs.columns else None
+    order = [c for c in (own, "model", "dataset", "row_id") if c]
+    parts = num_partitions or call_tasks(outputs.select("model"), batch_size * 40)
     carry = ["model", "dataset", "row_id"]
-    scored = map_batches(texts, "_reward_text", "reward", "double", backend, batch_size,
-                         carry=carry, model_col=reward_model_col)
+    scored = write_once(map_batches(texts.repartitionByRange(parts, *order), "_reward_text", "reward", "double",
+                                    backend, batch_size, carry=carry, model_col=own), "scores", path)
     # backends return NULL, never NaN (Spark orders NaN above every number)
-    return scored.withColumn("reward", F.nanvl(F.col("reward"), F.lit(None).cast("double")))
+    return scored.select(*carry, F.nanvl(F.col("reward"), F.lit(None).cast("double")).alias("reward"))

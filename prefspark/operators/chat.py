@@ -23,7 +23,8 @@ def _capitalize(c: Column) -> Column:
 
 
 def render_turn(template: str) -> Column:
-    role, text = F.col("role"), F.col("text")
+    # a missing role or text is an empty one: the turn stays
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     if template == "simple":
         return F.concat(_capitalize(role), F.lit(": "), text, F.lit("\n\n"))
     if template == "chatml":

@@ -8,6 +8,8 @@ arbitrarily large and are only aggregated (partial + final) or joined with broad
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,16 +43,20 @@ def group_reward_stats(scores: DataFrame, by: Sequence[str] = ("model", "dataset
 
 def normalize_rewards(scores: DataFrame, by: Sequence[str] = ("model", "dataset"),
                       reward: str = "reward", name: str = "norm_reward") -> DataFrame:
-    """(reward - min) / (max - min) within each group; a constant group gives NULL.
+    """(reward - min) / (max - min) within each group; a constant group gives NULL. Rows with a
+    NULL key form a group like any other.
 
     Group stats (one row per group) are joined back - broadcast when small - instead of a window,
     so a huge group is never gathered into one task.
     """
     stats = group_reward_stats(scores, by, reward).select(*by, "min_reward", "max_reward")
     spread = F.col("max_reward") - F.col("min_reward")
-    return (scores.join(small_side(stats, reuse=True), list(by))
+    keys = {c: f"_by_{c}" for c in by}
+    side = small_side(stats.withColumnsRenamed(keys), reuse=True)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return (scores.join(side, same)
                   .withColumn(name, F.try_divide(F.col(reward) - F.col("min_reward"), spread))
-                  .drop("min_reward", "max_reward"))
+                  .drop("min_reward", "max_reward", *keys.values()))
 
 
 def avg_normalized_reward(scores: DataFrame, by: Sequence[str] = ("model", "dataset"),
@@ -87,11 +93,12 @@ def continual_average(results: DataFrame, model: str = "model", task: str = "tas
                       reward: str = "reward") -> DataFrame:
     """Per model in task order, cumulative count, cumulative sum and their ratio.
 
-    Runs over result tables (one row per model and task), never over raw scores.
+    Runs over result tables (one row per model and task), never over raw scores. A row with a
+    missing reward counts, but has no sum and no average itself; later sums leave it out.
     """
     w = Window.partitionBy(model).orderBy(task).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (results.withColumn("cumulative_count", F.count(F.lit(1)).over(w).cast("long"))
-                   .withColumn("cumulative_sum", F.sum(reward).over(w))
+                   .withColumn("cumulative_sum", F.when(F.col(reward).isNotNull(), F.sum(reward).over(w)))
                    .withColumn("continual_average_reward", F.col("cumulative_sum") / F.col("cumulative_count")))
 
 

@@ -405,10 +405,15 @@ def _eval_sql(body: str) -> str:
     return fx.with_sql(["tasks", "scores"], _grid_sql() + body)
 
 
-def _matrix(spark, sf_dir) -> DataFrame:
-    grid = evaluation.continual_grid(_tasks(spark))
-    avgs = evaluation.avg_normalized_reward(fx.scores(spark, sf_dir))
-    return evaluation.continual_matrix(grid, avgs)
+def _matrix(spark, sf_dir, grid_where=None, scores_where=None) -> DataFrame:
+    """The continual matrix; conditions on its cells are applied to the grid and to the raw scores,
+    before anything is aggregated."""
+    grid, scores = evaluation.continual_grid(_tasks(spark)), fx.scores(spark, sf_dir)
+    if grid_where is not None:
+        grid = grid_where(grid)
+    if scores_where is not None:
+        scores = scores_where(scores)
+    return evaluation.continual_matrix(grid, evaluation.avg_normalized_reward(scores))
 
 
 @query("continual_grid", _eval_sql("""
@@ -473,7 +478,8 @@ def q_fmt4(spark, sf_dir):
 @query("continual_average", _eval_sql("""
 , w AS (SELECT model, eval_task AS task, avg_reward AS reward,
           count(*) OVER (PARTITION BY model ORDER BY eval_task ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_count,
-          sum(avg_reward) OVER (PARTITION BY model ORDER BY eval_task ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_sum
+          CASE WHEN avg_reward IS NOT NULL THEN
+            sum(avg_reward) OVER (PARTITION BY model ORDER BY eval_task ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS cumulative_sum
         FROM matrix)
 SELECT model, task, round(reward, 6) AS reward, cumulative_count, round(cumulative_sum, 6) AS cumulative_sum,
        round(cumulative_sum / cumulative_count, 6) AS continual_average_reward FROM w"""))
@@ -492,7 +498,9 @@ SELECT prefix, min(model) AS first_model, round(arg_min(avg_reward, model), 6) A
        round(arg_min(avg_reward, model) * 0.4::DOUBLE, 6) AS drop_point
 FROM p WHERE prefix IS NOT NULL GROUP BY prefix"""))
 def q_first_and_drop(spark, sf_dir):
-    res = _matrix(spark, sf_dir).select("model", F.col("eval_task").alias("task"), F.col("avg_reward").alias("reward"))
+    m = _matrix(spark, sf_dir, lambda g: filters.equals(g, "eval_task", "Constitution 1"),
+                lambda s: filters.equals(s, "dataset", "constitution_1"))
+    res = m.select("model", F.col("eval_task").alias("task"), F.col("avg_reward").alias("reward"))
     out = evaluation.first_and_drop(res, task_value="Constitution 1")
     return out.select("prefix", "first_model", r6("first_reward").alias("first_reward"), r6("drop_point").alias("drop_point"))
 
@@ -526,14 +534,16 @@ def q_count_math(spark, sf_dir):
 @query("equality_filter", _eval_sql(
        "SELECT model, eval_task, round(avg_reward, 6) AS avg_reward FROM matrix WHERE eval_task = 'Constitution 1'"))
 def q_equality_filter(spark, sf_dir):
-    m = _matrix(spark, sf_dir).where(F.col("eval_task") == "Constitution 1")
+    m = _matrix(spark, sf_dir, lambda g: filters.equals(g, "eval_task", "Constitution 1"),
+                lambda s: filters.equals(s, "dataset", "constitution_1"))
     return m.select("model", "eval_task", r6("avg_reward").alias("avg_reward"))
 
 
 @query("prefix_filter", _eval_sql(
        "SELECT model, eval_task, round(avg_reward, 6) AS avg_reward FROM matrix WHERE starts_with(model, 'DPO')"))
 def q_prefix_filter(spark, sf_dir):
-    m = _matrix(spark, sf_dir).where(F.col("model").startswith("DPO"))
+    m = _matrix(spark, sf_dir, lambda g: filters.starts_with(g, "model", "DPO"),
+                lambda s: filters.starts_with(s, "model", "DPO"))
     return m.select("model", "eval_task", r6("avg_reward").alias("avg_reward"))
 
 
@@ -546,7 +556,13 @@ def q_sort_multi(spark, sf_dir):
 @query("source_prefix_scan", "SELECT doc_id, source, n_chars FROM documents WHERE starts_with(source, 'src1')")
 def q_source_prefix_scan(spark, sf_dir):
     """F2 on a scan: StringStartsWith reaches the parquet reader as a pushed filter."""
-    return read_table(spark, sf_dir, "documents").where(F.col("source").startswith("src1")).select("doc_id", "source", "n_chars")
+    return filters.starts_with(read_table(spark, sf_dir, "documents"), "source", "src1").select("doc_id", "source", "n_chars")
+
+
+@query("lang_equality_scan", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de'")
+def q_lang_equality_scan(spark, sf_dir):
+    """F1 on a scan: EqualTo reaches the parquet reader as a pushed filter."""
+    return filters.equals(read_table(spark, sf_dir, "documents"), "lang", "de").select("doc_id", "lang", "n_chars")
 
 
 # ================================================================ arrays / tokens
@@ -583,14 +599,14 @@ EVAL_BATCH = 256  # FIXED VALUE: evaluation batch size
 
 
 @query("pad_to_longest", fx.with_sql(["token_ids"], f"""
-, t AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM token_ids)
+, t AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM token_ids)
 , b AS (SELECT *, row_idx // {EVAL_BATCH} AS batch_id FROM t)
 , m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS batch_len FROM b)
 SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_len AS INTEGER) AS batch_len,
        array_to_string(list_concat(list_transform(range(batch_len - len(ids)), lambda x: 0), ids), ',') AS padded
 FROM m"""))
 def q_pad_to_longest(spark, sf_dir):
-    t = fx.token_ids(spark, sf_dir).select("doc_id", A.truncate_right("ids", MAX_LEN).alias("ids"))
+    t = fx.token_ids(spark, sf_dir).select("doc_id", "ids")
     p = evaluation.pad_to_longest(t, "ids", ["doc_id"], EVAL_BATCH, fx.PAD_ID)
     return p.select("doc_id", "batch_id", "batch_len", F.array_join("padded", ",").alias("padded"))
 
@@ -604,13 +620,27 @@ SELECT c.doc_id AS chosen_id, r.doc_id AS rejected_id, c.n_ids AS chosen_len, r.
 FROM d c JOIN d r ON r.doc_id = c.doc_id + 1
 WHERE greatest(c.n_ids, r.n_ids) <= {TRAIN_MAX_LEN}""")
 def q_length_filter(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    tok = tokenize.tokenize(docs, "text", keys=["doc_id"])
-    c = tok.select(F.col("doc_id").alias("chosen_id"), F.col("input_ids").alias("chosen_ids"))
-    r = tok.select(F.col("doc_id").alias("rejected_id"), F.col("input_ids").alias("rejected_ids"))
-    pairs = c.join(r, F.col("rejected_id") == F.col("chosen_id") + 1)
+    # a pair is kept iff both sides are short enough: lengths are counted and filtered before the join
+    n = X.word_count("text").cast("long")
+    short = (read_table(spark, sf_dir, "documents").select("doc_id", n.alias("n_ids"))
+             .where(F.col("n_ids") <= TRAIN_MAX_LEN))
+    c = short.select(F.col("doc_id").alias("chosen_id"), F.col("n_ids").alias("chosen_len"))
+    r = short.select(F.col("doc_id").alias("rejected_id"), F.col("n_ids").alias("rejected_len"))
+    return c.join(r, F.col("rejected_id") == F.col("chosen_id") + 1).select(
+        "chosen_id", "rejected_id", "chosen_len", "rejected_len")
+
+
+@query("length_filter_ids", fx.with_sql(["token_ids"], f"""
+SELECT c.doc_id AS chosen_id, len(c.ids) AS chosen_len, len(r.ids) AS rejected_len
+FROM token_ids c JOIN token_ids r ON r.doc_id = c.doc_id + 1 WHERE greatest(len(c.ids), len(r.ids)) <= {TRAIN_MAX_LEN}"""))
+def q_length_filter_ids(spark, sf_dir):
+    """F5 on token arrays that are there already."""
+    t = fx.token_ids(spark, sf_dir)
+    pairs = t.select(F.col("doc_id").alias("chosen_id"), F.col("ids").alias("chosen_ids")).join(
+        t.select(F.col("doc_id").alias("rejected_id"), F.col("ids").alias("rejected_ids")),
+        F.col("rejected_id") == F.col("chosen_id") + 1)
     kept = filters.filter_max_length(pairs, TRAIN_MAX_LEN)
-    return kept.select("chosen_id", "rejected_id", F.size("chosen_ids").cast("long").alias("chosen_len"),
+    return kept.select("chosen_id", F.size("chosen_ids").cast("long").alias("chosen_len"),
                        F.size("rejected_ids").cast("long").alias("rejected_len"))
 
 
@@ -623,7 +653,7 @@ def q_eos_penalty(spark, sf_dir):
 
 
 @query("chat_simple", """
-SELECT conv_id, string_agg(upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text || chr(10) || chr(10), '' ORDER BY turn)
+SELECT conv_id, string_agg(upper(left(coalesce(role, ''), 1)) || lower(substr(coalesce(role, ''), 2)) || ': ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn)
        || 'Assistant:' AS chat
 FROM conversations GROUP BY conv_id""")
 def q_chat_simple(spark, sf_dir):
@@ -631,14 +661,14 @@ def q_chat_simple(spark, sf_dir):
 
 
 @query("chat_chatml", """
-SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chat
+SELECT conv_id, string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chat
 FROM conversations GROUP BY conv_id""")
 def q_chat_chatml(spark, sf_dir):
     return chat.render_chat(read_table(spark, sf_dir, "conversations"), "chatml", add_generation_prompt=False)
 
 
 @query("chat_segments", """
-SELECT conv_id, turn, upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text || chr(10) || chr(10) AS segment
+SELECT conv_id, turn, upper(left(coalesce(role, ''), 1)) || lower(substr(coalesce(role, ''), 2)) || ': ' || coalesce(text, '') || chr(10) || chr(10) AS segment
 FROM conversations""")
 def q_chat_segments(spark, sf_dir):
     return chat.render_chat_segments(read_table(spark, sf_dir, "conversations"), "simple")

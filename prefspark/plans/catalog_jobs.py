@@ -25,7 +25,14 @@ from prefspark.sources.text import read_constitutions
 from prefspark.streaming.ingest import ingest_preferences_stream
 
 KEYED_SCHEMA = "conv_id long, turn long, prompt string, response_1 string, response_2 string"
-N_FILES = 16  # drop files per written fixture (file key = conv_id mod 16)
+FILE_CONVERSATIONS = 100  # conversations per drop file of a written fixture: more data, more files
+
+
+def _file_key():
+    return F.floor(F.col("conv_id") / FILE_CONVERSATIONS).cast("int")
+
+
+FILE_KEY_SQL = f"CAST(conv_id // {FILE_CONVERSATIONS} AS INTEGER)"
 
 
 def _labelled_pairs(spark, sf_dir) -> DataFrame:
@@ -43,7 +50,7 @@ SELECT conv_id, turn, prompt, {sql_strip("response_1")} AS response_1, {sql_stri
 def q_csv_roundtrip(spark, sf_dir):
     """K1 (label strip, quoted, escaped) -> S1 (multiLine, explicit schema): exact round trip."""
     path = scratch_path(spark, "csv-roundtrip")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_preferences(src.repartition("file_key"), path, partition_by=["file_key"])
     back = csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA)
     return back.select("conv_id", "turn", "prompt", "response_1", "response_2")
@@ -53,7 +60,7 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_csv_scan(spark, sf_dir):
     """K2 -> S1: plain CSV sink (quoted, escaped, no trimming) read back exactly."""
     path = scratch_path(spark, "csv-scan")
-    src = fx.pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    src = fx.pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_csv(src.repartition("file_key"), path, partition_by=["file_key"])
     return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
         "conv_id", "turn", "prompt", "response_1", "response_2")
@@ -61,46 +68,50 @@ def q_csv_scan(spark, sf_dir):
 
 @query("csv_sink", fx.with_sql(["pairs"], f"""
 SELECT conv_id, turn, prompt,
-       CASE WHEN conv_id % {N_FILES} < {N_FILES // 2} THEN 'v2:' ELSE '' END || {sql_strip("response_1")} AS response_1,
+       CASE WHEN {FILE_KEY_SQL} % 2 = 0 THEN 'v2:' ELSE '' END || {sql_strip("response_1")} AS response_1,
        {sql_strip("response_2")} AS response_2
 FROM pairs"""))
 def q_csv_sink(spark, sf_dir):
     """K1 + K5: all pairs written per file partition, then half of the partitions written again
     with new values; the dynamic overwrite replaces exactly those partitions."""
     path = scratch_path(spark, "csv-sink")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_preferences(src.repartition("file_key"), path, partition_by=["file_key"])
-    second = (src.where(F.col("file_key") < N_FILES // 2)
+    second = (src.where(F.col("file_key") % 2 == 0)
                  .withColumn("response_1", F.concat(F.lit("Response 1: v2:"), F.expr("substring(response_1, 13)"))))
     writers.write_preferences(second.repartition("file_key"), path, mode="overwrite", partition_by=["file_key"])
     return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
         "conv_id", "turn", "prompt", "response_1", "response_2")
 
 
-@query("csv_lineage", fx.with_sql(["pairs"], f"SELECT conv_id, turn, CAST(conv_id % {N_FILES} AS INTEGER) AS file_key FROM pairs"))
+@query("csv_lineage", fx.with_sql(["pairs"], f"SELECT conv_id, turn, {FILE_KEY_SQL} AS file_key FROM pairs"))
 def q_csv_lineage(spark, sf_dir):
     """Keys carried by the file path, not by the rows (partition discovery + ``_metadata``)."""
     path = scratch_path(spark, "csv-lineage")
-    src = fx.pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)).cast("int"))
+    src = fx.pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_csv(src.repartition("file_key"), path, partition_by=["file_key"])
     back = csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA)
-    from_path = F.regexp_extract(F.col("_metadata.file_path"), r"file_key=(\d+)/", 1).cast("int")
-    return back.select("conv_id", "turn", from_path.alias("file_key"))
+    located = csv_src.with_lineage(back, pattern=r"/(file_key)=(\d+)/()").withColumnRenamed("context_id", "path_key")
+    return located.select("conv_id", "turn", F.col("path_key").alias("file_key"))
 
 
-_BAD = f"{sql_unit32(sql_hash('extra', 'conv_id', 'turn'))} < 214748364"
+# one file in ten is bad, and holds a surplus field in every other row (both by hash)
+_BAD = (f"{sql_unit32(sql_hash('badfile', 'file_key'))} < 429496729"
+        f" AND {sql_unit32(sql_hash('extra', 'conv_id', 'turn'))} < 2147483648")
 
 
 @query("csv_tolerant", fx.with_sql(["pairs"], f"""
-, f AS (SELECT *, conv_id % {N_FILES} AS file_key, {_BAD} AS bad FROM pairs)
+, k AS (SELECT *, {FILE_KEY_SQL} AS file_key FROM pairs)
+, f AS (SELECT *, {_BAD} AS bad FROM k)
 , badfiles AS (SELECT DISTINCT file_key FROM f WHERE bad)
 SELECT conv_id, turn, prompt, response_1, response_2 FROM f WHERE file_key NOT IN (SELECT file_key FROM badfiles)"""))
 def q_csv_tolerant(spark, sf_dir):
-    """Files written the reference's way (quotes not escaped); about 5 % of the rows carry one
-    field too many, and every file holding such a row is rejected whole."""
+    """Files written the reference's way (quotes not escaped); about one file in ten holds
+    rows with one field too many, and every such file is rejected whole."""
     path = scratch_path(spark, "csv-tolerant")
-    p = fx.pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
-    bad = hash_unit32(hash_hex("extra", "conv_id", "turn")) < F.lit(214748364)
+    p = fx.pairs(spark, sf_dir).withColumn("file_key", _file_key())
+    bad = ((hash_unit32(hash_hex("badfile", "file_key")) < F.lit(429496729))
+           & (hash_unit32(hash_hex("extra", "conv_id", "turn")) < F.lit(2147483648)))
     q = F.lit('"')
     line = F.concat(q, F.col("conv_id").cast("string"), F.lit('","'), F.col("turn").cast("string"), F.lit('","'),
                     F.col("prompt"), F.lit('","'), F.col("response_1"), F.lit('","'), F.col("response_2"), q,
@@ -187,12 +198,29 @@ FROM x CROSS JOIN range(0, 3) AS i(i) WHERE i.i < x.n""")
 @query("generation_job", _generation_sql())
 def q_generation_job(spark, sf_dir):
     """M2: generation grid (J7) -> generator prompt (X6) -> backend JSON -> rows (X14, P5) -> X1."""
-    from prefspark.operators.preferences import generation_grid
-    grid = generation_grid(fx.constitutions(spark, sf_dir), runs=GEN_RUNS)
-    rows, _rejects = batch.generate_preferences(grid, backend="stub-generator")
+    rows, _rejects = batch.generate_from_constitutions(fx.constitutions(spark, sf_dir), runs=GEN_RUNS)
     return rows
 
 
+def _cut_generator(model: str = "stub"):
+    """The stub generator, with answers cut short where the prompt's hash starts with 0 or 1."""
+    import hashlib as _h
+    whole = batch.stub_generator(model)
+
+    def fn(texts):
+        return [a[:-2] if _h.md5(t.encode()).hexdigest()[0] in "01" else a for t, a in zip(texts, whole(texts))]
+    return fn
+
+
+@query("generation_rejects", _generation_sql().split(", x AS (SELECT")[0] + """
+SELECT constitution_id, CAST(context_id AS INTEGER) AS context_id, run_id FROM g WHERE substr(md5(gp), 1, 1) IN ('0', '1')""")
+def q_generation_rejects(spark, sf_dir):
+    """M2's other result, from the same written answers: cells whose answer does not parse."""
+    _rows, rejects = batch.generate_from_constitutions(fx.constitutions(spark, sf_dir), backend=_cut_generator,
+                                                       runs=GEN_RUNS)
+    return rejects.select("constitution_id", "context_id", "run_id")
+
+
 def _eval_prompts(spark, sf_dir) -> DataFrame:
     """(dataset, row_id, prompt): pair prompts spread over the five datasets."""
     p = fx.pairs(spark, sf_dir)
@@ -210,13 +238,15 @@ def _scores(spark, sf_dir) -> DataFrame:
     return batch.score_outputs(_outputs(spark, sf_dir), backend="stub-reward", batch_size=256)
 
 
+_REWARD_MODELS = ", ".join(f"('{c['dataset']}', '{c['reward_model']}')" for c in fx.task_config())
 _EVAL_PROMPTS_SQL = f"""
 , ep AS (SELECT 'constitution_' || CAST(conv_id % {fx.N_TASKS} + 1 AS VARCHAR) AS dataset, conv_id * 1000 + turn AS row_id, prompt FROM pairs)
-, gm AS (SELECT DISTINCT grid.model, grid.eval_dataset AS dataset FROM grid)
-, outs AS (SELECT gm.model, ep.dataset, ep.row_id, ep.prompt,
+, gm AS (SELECT DISTINCT grid.model, grid.eval_dataset AS dataset, tr.reward_model FROM grid
+         JOIN (SELECT * FROM (VALUES {_REWARD_MODELS}) AS r(dataset, reward_model)) tr ON tr.dataset = grid.eval_dataset)
+, outs AS (SELECT gm.model, gm.reward_model, ep.dataset, ep.row_id, ep.prompt,
              ep.prompt || ' -> ' || gm.model || ' answer of ' || CAST({sql_wc('ep.prompt')} AS VARCHAR) || ' words' AS generated_text
            FROM ep JOIN gm ON gm.dataset = ep.dataset)
-, sc AS (SELECT model, dataset, row_id, (length(prompt || generated_text) % 101) / 100.0 AS reward FROM outs)
+, sc AS (SELECT model, dataset, row_id, ((length(prompt || generated_text) + ascii(right(reward_model, 1))) % 101) / 100.0 AS reward FROM outs)
 , st AS (SELECT model, dataset, count(reward) AS n_scores, min(reward) AS mn, max(reward) AS mx, avg(reward) AS av FROM sc GROUP BY ALL)
 , av2 AS (SELECT model, dataset, (av - mn) / nullif(mx - mn, 0) AS avg_reward FROM st)
 """
@@ -278,7 +308,7 @@ def q_stream_ingest(spark, sf_dir):
     drop = scratch_path(spark, "drop")
     out = scratch_path(spark, "ingested")
     ckpt = scratch_path(spark, "ingest-ckpt")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", F.pmod("conv_id", F.lit(N_FILES)))
+    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_preferences(src.repartition("file_key"), drop, partition_by=["file_key"])
     ingest_preferences_stream(spark, drop, out, ckpt, schema=KEYED_SCHEMA, keep=("conv_id", "turn"))
     return spark.read.parquet(out).select("conv_id", "turn", "prompt", "chosen", "rejected")

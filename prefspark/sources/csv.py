@@ -7,15 +7,17 @@ cells hold line breaks; a multi-line CSV file is not split inside, which suits m
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.plans.broadcast import small_side
 
 PREFERENCE_SCHEMA = "prompt string, response_1 string, response_2 string"
-# What the parser reports for an UNQUOTED empty field (our sink's NULL); a quoted "" stays ''.
-# The sink never writes this character, so no real text is turned into NULL.
-UNQUOTED_EMPTY = "\u0000"
+# What the parser reports for an UNQUOTED empty field (our sink's NULL); a quoted "" stays ''. Made
+# anew in every process, so that no cell of any file holds it.
+UNQUOTED_EMPTY = f"\u0000{uuid.uuid4().hex}"
 
 # FIXED VALUE: layout of the generator's drop directory: {constitution}/{context}_{run}.csv
 REFERENCE_LAYOUT = r"/(\d+)/(\d+)_(\d+)\.csv$"

@@ -71,6 +71,8 @@ def test_hot_group_normalisation_and_judge(spark):
     pairs = spark.createDataFrame([(i, 0 if i < 100 else i % 7, f"p{i}", "a", "b") for i in range(300)],
                                   "conv_id long, constitution_id long, prompt string, response_1 string, response_2 string")
     consts = spark.createDataFrame([(j, f"rule {j}") for j in range(7)], "constitution_id long, text string")
+    from prefspark.operators.preferences import with_constitution
+    joined = plan_text(with_constitution(pairs, consts))
+    assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
     judged = batch.judge_preferences(pairs, consts, batch_size=8)
-    assert "BroadcastHashJoin" in plan_text(judged) and "SortMergeJoin" not in plan_text(judged)
     assert judged.count() == 300
