@@ -59,8 +59,10 @@ def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def cost_report(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[str],
                 in_price: float = INPUT_PRICE_PER_M, out_price: float = OUTPUT_PRICE_PER_M,
-                by: Sequence[str] = ()) -> DataFrame:
-    """Token estimate (words * 100/75) and cost (tokens * price / 1e6) of inputs and outputs."""
+                by: Sequence[str] = (), output_factor: float = 1.0, runs: int = 1) -> DataFrame:
+    """Token estimate (words * 100/75) and cost (tokens * price / 1e6) of inputs and outputs, and
+    their totals: ``weighted_tokens`` = input + output * ``output_factor``, ``run_tokens`` and ``run_cost`` =
+    ``runs`` times the sum of both."""
     in_words = F.sum(row_words(*input_cols)).cast("long")
     out_words = F.sum(row_words(*output_cols)).cast("long")
     agg = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), in_words.alias("input_words"),
@@ -70,7 +72,10 @@ def cost_report(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[
                .withColumn("output_tokens", F.col("output_words").cast("double") * tpw)
                .withColumn("input_cost", F.col("input_tokens") * F.lit(float(in_price)) / F.lit(1e6))
                .withColumn("output_cost", F.col("output_tokens") * F.lit(float(out_price)) / F.lit(1e6))
-               .withColumn("total_cost", F.col("input_cost") + F.col("output_cost")))
+               .withColumn("total_cost", F.col("input_cost") + F.col("output_cost"))
+               .withColumn("weighted_tokens", F.col("input_tokens") + F.col("output_tokens") * F.lit(float(output_factor)))
+               .withColumn("run_tokens", (F.col("input_tokens") + F.col("output_tokens")) * F.lit(float(runs)))
+               .withColumn("run_cost", F.col("total_cost") * F.lit(float(runs))))
 
 
 def neg_log_sigmoid(d: Column) -> Column:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from prefspark.functions.text import hash_hex, hash_unit32
 from prefspark.session import scratch_path
 
+HASH_DIGITS = 64  # hex digits of a row's order: md5 of its key, md5 of the row
+TOP_ROWS = 10_000  # largest tail that is found by a bounded top-n
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | record number
 
 
@@ -116,6 +118,12 @@ def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str =
     keys = _check_keys(df, order_by)
     if n <= 0:  # an empty tail
         return df.withColumn(name, F.lit(head_label))
+    if n > TOP_ROWS:  # a large tail: by position, nothing but partition counts in one task
+        indexed, total = indexed_with_total(df, keys, "_row_idx")
+        return (indexed.crossJoin(F.broadcast(total))
+                .withColumn(name, F.when(F.col("_row_idx") >= F.col("_n_total") - n, F.lit(tail_label))
+                            .otherwise(F.lit(head_label)))
+                .drop("_row_idx", "_n_total"))
     key = F.struct(*[F.col(c) for c in keys])
     # Bounded top-(n+1) (per-partition top-k, then one merge of (n+1) x partitions rows): its n-th
     # row is the threshold; an equal (n+1)-th row would mean a duplicated key at the cut.
@@ -130,15 +138,16 @@ def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str =
     return df.withColumn(name, F.when(key >= thr, F.lit(tail_label)).otherwise(F.lit(head_label)))
 
 
-def _kth_smallest(hashed: DataFrame, keys: list[str], k: int, digits: int = 4,
-                  leaf_rows: int = 100_000, first_hist: DataFrame | None = None):
-    """The k-th (1-based) smallest ``(_h, *keys)`` by radix selection over md5 hex prefixes.
+def _kth_smallest(hashed: DataFrame, k: int, digits: int = 4, leaf_rows: int = 100_000,
+                  first_hist: DataFrame | None = None) -> tuple[str, int, int]:
+    """The k-th (1-based) smallest hash ``_h``, how many rows are below it and how many hold it, by
+    radix selection over hex prefixes.
 
     Each level counts rows per next ``digits`` hex digits inside the current prefix (a partial +
     final aggregation to at most 16^digits rows), finds the bucket holding the k-th row with a
-    running sum over that small histogram, and narrows the prefix. md5 is uniform, so a level
-    shrinks the candidates ~65,536-fold; once a bucket holds at most ``leaf_rows`` rows, the k-th
-    row is taken with a bounded top-k.
+    running sum over that small histogram, and narrows the prefix. Hashes are uniform, so a level
+    shrinks the candidates ~65,536-fold; once a bucket holds at most ``leaf_rows`` rows, they are
+    counted by whole hash. Only copies of one row share a whole hash, and they end in one count.
     """
     prefix, remaining = "", k
     hist = first_hist
@@ -154,18 +163,10 @@ def _kth_smallest(hashed: DataFrame, keys: list[str], k: int, digits: int = 4,
                    .first())
         hist = None
         prefix, remaining = row["_b"], remaining - row["_before"]
+        if len(prefix) >= HASH_DIGITS:
+            return prefix, k - remaining, row["_n"]
         if row["_n"] <= leaf_rows:
-            break
-        if width >= 32:  # one full hash on more than leaf_rows rows: copies of one key
-            raise ValueError(f"{row['_n']} rows share one key; the flip needs a unique key - add a tiebreaker column")
-    leaf = hashed.where(F.col("_h").startswith(prefix)).select(F.struct("_h", *keys).alias("_k"))
-    # The k-th and (k+1)-th rows of the (bounded) leaf: equal ones mean a duplicated key at the cut.
-    top = leaf.orderBy("_k").limit(remaining + 1)
-    edge = (top.withColumn("_rn", F.row_number().over(Window.orderBy("_k")))
-               .where(F.col("_rn") >= remaining).orderBy("_rn").select("_k").collect())
-    if len(edge) > 1 and edge[0][0] == edge[1][0]:
-        raise ValueError("the key is not unique at the flip threshold; add a tiebreaker column")
-    return edge[0][0]
+            digits = HASH_DIGITS - len(prefix)
 
 
 def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int = 42,
@@ -174,14 +175,18 @@ def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int
     """Swap ``chosen``/``rejected`` on a reproducible share of the rows.
 
     exact=True (G1): exactly ``floor(ratio * n)`` rows - those with the smallest
-    ``md5(seed:key)`` - are flipped. exact=False (G2): each row flips when the first 32 bits of
+    ``md5(seed:key)`` - are flipped; rows that share a key go by a hash of the whole row. exact=False (G2): each row flips when the first 32 bits of
     its hash fall below ``ratio * 2^32`` (no counting at all; streamable). With ``where`` (a
     boolean Column) only matching rows take part - ``n`` counts them - and all rows are returned.
     """
     keys = _check_keys(df, key)
     if not 0.0 <= ratio <= 1.0:
         raise ValueError("ratio must be within [0, 1]")
+    # the key's hash, then the whole row's: rows that share a key still have an order, and rows that
+    # share both are copies of one row
     h = hash_hex(seed, *keys)
+    if exact:
+        h = F.concat(h, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     hashed = df.withColumn("_h", h if where is None else F.when(where, h))
     if exact:
         hist = (hashed.where(F.col("_h").isNotNull()).groupBy(F.substring("_h", 1, 4).alias("_b"))
@@ -192,15 +197,26 @@ def flip_preferences(df: DataFrame, ratio: float, key: Sequence[str], seed: int
             hist.unpersist()
             cond = F.lit(False)
         else:
-            thr = _kth_smallest(hashed, keys, k, first_hist=hist)
+            cut, below, held = _kth_smallest(hashed.where(F.col("_h").isNotNull()), k, first_hist=hist)
             hist.unpersist()
-            cond = F.struct("_h", *keys) <= _key_literal(list(thr), ["_h", *keys], hashed)
+            cond = F.col("_h") <= F.lit(cut)
+            if below + held > k:  # the cut falls among copies of one row: only their number counts
+                copy = hashed.where(F.col("_h") == cut).limit(1)
+                copies = df.sparkSession.range(held).select((F.col("id") < k - below).alias("_swap"))
+                return (_swapped(hashed.where(F.col("_h").isNull() | (F.col("_h") != cut)),
+                                 F.coalesce(cond, F.lit(False)), chosen, rejected, flag)
+                        .unionByName(_swapped(copies.crossJoin(F.broadcast(copy)), F.col("_swap"), chosen,
+                                              rejected, flag).drop("_swap")))
     else:
         cond = hash_unit32(F.col("_h")).cast("double") < F.lit(float(ratio) * 4294967296.0)
-    cond = F.col("_h").isNotNull() & F.coalesce(cond, F.lit(False))
+    return _swapped(hashed, F.col("_h").isNotNull() & F.coalesce(cond, F.lit(False)), chosen, rejected, flag)
+
+
+def _swapped(df: DataFrame, cond, chosen: str, rejected: str, flag: str) -> DataFrame:
+    """``df`` with ``flag`` and, where it holds, the two columns exchanged; without the hash."""
     c, r = F.col(chosen), F.col(rejected)
-    return (hashed.withColumn(flag, cond)
-                  .withColumn("_c", F.when(F.col(flag), r).otherwise(c))
-                  .withColumn(rejected, F.when(F.col(flag), c).otherwise(r))
-                  .withColumn(chosen, F.col("_c"))
-                  .drop("_c", "_h"))
+    return (df.withColumn(flag, cond)
+              .withColumn("_c", F.when(F.col(flag), r).otherwise(c))
+              .withColumn(rejected, F.when(F.col(flag), c).otherwise(r))
+              .withColumn(chosen, F.col("_c"))
+              .drop("_c", "_h"))

@@ -288,12 +288,16 @@ def q_total_words(spark, sf_dir):
                output_words * (100.0::DOUBLE / 75.0::DOUBLE) AS output_tokens FROM w)
 SELECT n_rows, input_words, output_words, round(input_tokens, 6) AS input_tokens, round(output_tokens, 6) AS output_tokens,
        round(input_tokens * 0.15::DOUBLE / 1e6, 6) AS input_cost, round(output_tokens * 0.6::DOUBLE / 1e6, 6) AS output_cost,
-       round(input_tokens * 0.15::DOUBLE / 1e6 + output_tokens * 0.6::DOUBLE / 1e6, 6) AS total_cost FROM t"""
+       round(input_tokens * 0.15::DOUBLE / 1e6 + output_tokens * 0.6::DOUBLE / 1e6, 6) AS total_cost,
+       round(input_tokens + output_tokens * 4.0::DOUBLE, 6) AS weighted_tokens,
+       round((input_tokens + output_tokens) * 200.0::DOUBLE, 6) AS run_tokens,
+       round((input_tokens * 0.15::DOUBLE / 1e6 + output_tokens * 0.6::DOUBLE / 1e6) * 200.0::DOUBLE, 6) AS run_cost FROM t"""
        ))
 def q_cost_report(spark, sf_dir):
-    rep = metrics.cost_report(fx.pairs(spark, sf_dir), ["prompt"], ["response_1", "response_2"])
+    rep = metrics.cost_report(fx.pairs(spark, sf_dir), ["prompt"], ["response_1", "response_2"], output_factor=4, runs=200)
     return rep.select("n_rows", "input_words", "output_words",
-                      *[r6(c).alias(c) for c in ("input_tokens", "output_tokens", "input_cost", "output_cost", "total_cost")])
+                      *[r6(c).alias(c) for c in ("input_tokens", "output_tokens", "input_cost", "output_cost", "total_cost",
+                                                 "weighted_tokens", "run_tokens", "run_cost")])
 
 
 @query("reward_eval_metrics", fx.with_sql(["reward_pairs"], """
@@ -685,5 +689,19 @@ def q_tokenize_ws(spark, sf_dir):
     return tok.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+@query("training_loader", fx.with_sql(["split_docs"], f"""
+, t AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id DESC) AS back FROM split_docs WHERE split = 'train')
+SELECT CASE WHEN back <= {TAIL_N} THEN 'eval' ELSE 'train' END AS part,
+       array_to_string(list_transform(regexp_extract_all(text, '\\S+'),
+         lambda w: {sql_unit32('md5(w)')} % {VOCAB}), ',') AS input_ids FROM t"""))
+def q_training_loader(spark, sf_dir):
+    """The training loader's chain: one split is read, its tail held out, both parts tokenised; only the
+    ids are kept."""
+    docs = fx.split_documents(spark, sf_dir).where(F.col("split") == "train").select("doc_id", "text")
+    parts = ranking.tail_split(docs, ["doc_id"], TAIL_N, name="part")
+    tok = tokenize.tokenize(parts, "text", keys=["part"], vocab_size=VOCAB)
+    return tok.select("part", F.array_join("input_ids", ",").alias("input_ids"))
+
+
 # part 2 (sources, sinks, batch-function jobs, stream) registers into the same catalog
 from prefspark.plans import catalog_jobs  # noqa: E402,F401

@@ -25,7 +25,7 @@ from prefspark.sources.text import read_constitutions
 from prefspark.streaming.ingest import ingest_preferences_stream
 
 KEYED_SCHEMA = "conv_id long, turn long, prompt string, response_1 string, response_2 string"
-FILE_CONVERSATIONS = 100  # conversations per drop file of a written fixture: more data, more files
+FILE_CONVERSATIONS = 10  # conversations per drop file of a written fixture: more data, more files
 
 
 def _file_key():

@@ -24,24 +24,35 @@ def clean_preferences(df: DataFrame, keep=("source_file",)) -> DataFrame:
 
 def preference_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None,
                       schema: str = PREFERENCE_SCHEMA) -> DataFrame:
-    reader = (spark.readStream.schema(schema)
-              .option("header", True).option("multiLine", True)
+    """New files' rows, with ``source_file`` and ``too_many`` (more fields than the schema has)."""
+    reader = (spark.readStream.schema(f"{schema}, _extra string, _corrupt string")
+              .option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt")
               .option("quote", '"').option("escape", '"').option("nullValue", UNQUOTED_EMPTY))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(in_dir).withColumn("source_file", F.col("_metadata.file_path"))
+    # as in the batch reader: a regular row is one field short of the wide schema
+    return (reader.csv(in_dir).withColumn("source_file", F.col("_metadata.file_path"))
+            .withColumn("too_many", F.col("_corrupt").isNull() | F.col("_extra").isNotNull())
+            .drop("_extra", "_corrupt"))
 
 
 def ingest_preferences_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                               flip_ratio: float | None = None, flip_key=("source_file", "prompt"),
                               seed: int = 42, max_files_per_trigger: int | None = None,
                               schema: str = PREFERENCE_SCHEMA, keep=("source_file",)) -> None:
-    """Append the cleaned rows of all new files under ``in_dir`` to Parquet at ``out_dir``."""
-    stream = preference_stream(spark, in_dir, max_files_per_trigger, schema)
-    cleaned = clean_preferences(stream, keep=tuple(dict.fromkeys(tuple(keep) + ("source_file",))))
-    if flip_ratio is not None:
-        cleaned = flip_preferences(cleaned, flip_ratio, list(flip_key), seed=seed, exact=False)
-    q = (cleaned.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    """Write the cleaned rows of all new files under ``in_dir`` to Parquet at ``out_dir``, one folder
+    per micro-batch (``batch=n``; a repeated batch replaces its own folder). A file is read within
+    one batch; one with a surplus field in any row is rejected whole, like the batch reader does."""
+    columns = tuple(dict.fromkeys(tuple(keep) + ("source_file",)))
+
+    def write(rows: DataFrame, number: int) -> None:
+        bad = rows.where("too_many").select("source_file").distinct()
+        cleaned = clean_preferences(rows.join(bad, "source_file", "left_anti"), keep=columns)
+        if flip_ratio is not None:
+            cleaned = flip_preferences(cleaned, flip_ratio, list(flip_key), seed=seed, exact=False)
+        cleaned.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+
+    q = (preference_stream(spark, in_dir, max_files_per_trigger, schema).writeStream
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
