@@ -1,7 +1,7 @@
 """M6: a pairwise (Bradley-Terry) linear reward model with Spark ML.
 
 Both sides are hashed into term-frequency vectors; the model is fitted on difference vectors
-x_chosen - x_rejected, mirrored as (+d, 1) and (-d, 0) so that both classes exist; logistic
+x_chosen - x_rejected, each as (+d, 1) or (-d, 0) by a hash so that both classes exist; logistic
 regression without intercept gives w, and the reward of a text is w . x. Training is distributed
 (L-BFGS over partitions); only the weight vector (``num_features`` doubles) reaches the driver.
 """
@@ -47,20 +47,17 @@ def fit_pairwise_reward(pairs: DataFrame, chosen: str = "chosen", rejected: str
     fc = _featurize(pairs.select(chosen, rejected), chosen, "_c", num_features)
     both = _featurize(fc, rejected, "_r", num_features)
     d = F.zip_with(vector_to_array("_c"), vector_to_array("_r"), lambda a, b: a - b)
-    # both halves of the mirrored set read the differences: compute them once
-    diff = both.select(d.alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
-    n = diff.count()
-    mirrored = (diff.select(array_to_vector("d").alias("features"), F.lit(1.0).alias("label"))
-                .unionByName(diff.select(array_to_vector(F.transform("d", lambda v: -v)).alias("features"),
-                                         F.lit(0.0).alias("label"))))
-    # every L-BFGS iteration is one pass over all partitions: size them to the data (never more
-    # partitions than the input has; large inputs keep theirs)
-    target = max(1, math.ceil(2 * n / ROWS_PER_TASK))
-    if mirrored.rdd.getNumPartitions() > target:
-        mirrored = mirrored.coalesce(target)
+    # (+d, 1) and (-d, 0) have the same loss: each pair is one row whose sign is a hash's, so that both
+    # classes exist and half the rows of a mirrored set give the same objective
+    diff = both.select(d.alias("d")).withColumn("up", F.pmod(F.xxhash64("d"), F.lit(2)) == 0)
+    signed = diff.select(array_to_vector(F.when(F.col("up"), F.col("d")).otherwise(F.transform("d", lambda v: -v)))
+                         .alias("features"), F.col("up").cast("double").alias("label"))
+    signed = signed.persist(StorageLevel.MEMORY_AND_DISK)
+    # every L-BFGS iteration is one pass over all partitions: few for few rows (a large input keeps its own)
+    rows = signed.coalesce(max(1, math.ceil(signed.count() / ROWS_PER_TASK)))
     lr = LogisticRegression(fitIntercept=False, maxIter=max_iter, regParam=reg, standardization=False)
-    model = lr.fit(mirrored)
-    diff.unpersist()
+    model = lr.fit(rows)
+    signed.unpersist()
     return PairwiseRewardModel([float(v) for v in model.coefficients.toArray()], num_features)
 
 

@@ -232,7 +232,7 @@ def q_generation_grid(spark, sf_dir):
 
 @query("path_name", "SELECT page_id, replace(url, '/', '_') AS path FROM pages")
 def q_path_name(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", X.path_name("url").alias("path"))
+    return read_table(spark, sf_dir, "pages", text=False).select("page_id", X.path_name("url").alias("path"))
 
 
 @query("reward_input_concat", fx.with_sql(["pairs"],
@@ -271,7 +271,7 @@ SELECT column_name, dtype, non_null, n_rows FROM (
   UNION ALL SELECT 'source', 'string', count(source), count(*) FROM documents
   UNION ALL SELECT 'n_chars', 'bigint', count(n_chars), count(*) FROM documents)""")
 def q_profile(spark, sf_dir):
-    return metrics.profile(read_table(spark, sf_dir, "documents"))
+    return metrics.profile(read_table(spark, sf_dir, "documents", text=False))
 
 
 @query("total_words", fx.with_sql(["pairs"], f"""
@@ -340,7 +340,7 @@ TAIL_N = 100  # FIXED VALUE: hold-out rows
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <= {TAIL_N} THEN 'eval' ELSE 'train' END AS split
 FROM documents""")
 def q_tail_split(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    docs = read_table(spark, sf_dir, "documents", text=False).select("doc_id")
     return ranking.tail_split(docs, ["doc_id"], TAIL_N)
 
 
@@ -357,7 +357,7 @@ N_CHUNKS = 4
 
 @query("chunk_split", f"SELECT doc_id, CAST(ntile({N_CHUNKS}) OVER (ORDER BY doc_id) AS BIGINT) AS chunk FROM documents")
 def q_chunk_split(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    docs = read_table(spark, sf_dir, "documents", text=False).select("doc_id")
     return ranking.split_chunks(docs, ["doc_id"], N_CHUNKS).select("doc_id", "chunk")
 
 
@@ -368,7 +368,7 @@ SELECT l.row_idx, l.conv_id, l.turn, l.prompt, r.doc_id, r.lang FROM l JOIN r ON
        ))
 def q_zip_join(spark, sf_dir):
     left = fx.pairs(spark, sf_dir).select("conv_id", "turn", "prompt")
-    right = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    right = read_table(spark, sf_dir, "documents", text=False).select("doc_id", "lang")
     return evaluation.zip_join(left, right, ["conv_id", "turn"], ["doc_id"])
 
 
@@ -560,13 +560,13 @@ def q_sort_multi(spark, sf_dir):
 @query("source_prefix_scan", "SELECT doc_id, source, n_chars FROM documents WHERE starts_with(source, 'src1')")
 def q_source_prefix_scan(spark, sf_dir):
     """F2 on a scan: StringStartsWith reaches the parquet reader as a pushed filter."""
-    return filters.starts_with(read_table(spark, sf_dir, "documents"), "source", "src1").select("doc_id", "source", "n_chars")
+    return filters.starts_with(read_table(spark, sf_dir, "documents", text=False), "source", "src1").select("doc_id", "source", "n_chars")
 
 
 @query("lang_equality_scan", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de'")
 def q_lang_equality_scan(spark, sf_dir):
     """F1 on a scan: EqualTo reaches the parquet reader as a pushed filter."""
-    return filters.equals(read_table(spark, sf_dir, "documents"), "lang", "de").select("doc_id", "lang", "n_chars")
+    return filters.equals(read_table(spark, sf_dir, "documents", text=False), "lang", "de").select("doc_id", "lang", "n_chars")
 
 
 # ================================================================ arrays / tokens

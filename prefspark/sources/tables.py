@@ -31,9 +31,10 @@ def spread(df: DataFrame, min_partitions: int | None = None, by: str | None = No
     return df.repartition(target, by) if by else df.repartition(target)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; column pruning and filters reach the parquet scan."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, text: bool = True) -> DataFrame:
+    """Read one table; column pruning and filters reach the parquet scan. ``text=False`` for work that
+    does not touch the long texts: the scan then stays as it is, without a shuffle."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, by=TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spread(df, by=TEXT_TABLES[name]) if text and name in TEXT_TABLES else df

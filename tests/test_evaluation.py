@@ -8,6 +8,7 @@ from prefspark.plans import fixtures as fx
 from prefspark.sources.literal import results_df, tasks_df
 
 # Published rows (task, model, average normalised reward), as the reference tabulates them.
+# The published result rows, in their order.
 PUBLISHED = [
     {"Task": "Constitution 1", "Model": "DPO-1", "Reward": 0.3823},
     {"Task": "DPO-Continual", "Model": "DPO-2", "Reward": 0.3799},
