@@ -67,7 +67,7 @@ def test_estimate_equals_a_plain_concentration(spark):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [*ODD_ROWS, *corpus(60)]
+    rows = [*ODD_ROWS, *[(i + 1000, t, lang, s) for i, t, lang, s in corpus(60)]]
     out = mcd_quality.judge(frame(spark, rows, extra=True)).collect()
     assert len(out) == len(rows)
     by_id = {}
