@@ -165,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     other = bounded_sample(learn.select("doc_id").distinct(), "doc_id", MAX_UNLABELLED).withColumn(
         "toxic", F.lit(False))
     chosen = some.union(other).limit(2 * (MAX_POSITIVE + MAX_UNLABELLED))
-    sample = learn.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(
+    # one text an id, however often it occurs; a toxic text may be in both samples
+    texts = learn.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = texts.select("toxic", "text").mapInPandas(
         _gram_rows, "toxic boolean, ids array<int>").toPandas()
     sample["ids"] = sample["ids"].map(lambda x: np.asarray(x, np.int32))
     positive = sample.loc[sample["toxic"], "ids"].tolist()

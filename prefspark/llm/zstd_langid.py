@@ -50,6 +50,7 @@ def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
               .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     rows = (usable.select("lang", "doc_id", "text")
             .join(F.broadcast(chosen.limit(DOCS_PER_LANGUAGE * MAX_LANGUAGES)), ["lang", "doc_id"], "left_semi")
+            .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # one text an id, however often it occurs
             .orderBy("lang", F.xxhash64("doc_id"), "text").toLocalIterator())
     content: dict[str, bytearray] = {}
     for row in rows:
