@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from prefspark.llm.common import prepare, save, text_or_empty
 
@@ -103,7 +104,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                 [batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
                 names=["d", *(c.split()[0] for c in BASE_SCHEMA.split(", "))])
 
-    schema = f"d {structs.schema['d'].dataType.simpleString()}, {BASE_SCHEMA}"
+    schema = StructType([StructField("d", structs.schema["d"].dataType), *StructType.fromDDL(BASE_SCHEMA).fields])
     return structs.mapInArrow(rows, schema)
 
 
