@@ -8,8 +8,10 @@ linked, and of each component the first line in table order stays. Equal lines (
 64-bit hashes) need no candidates. Lines of fewer than ``MIN_WORDS`` words always stay.
 
 Only distinct lines are compared. A band value with up to ``SMALL_BUCKET`` distinct lines gives all
-its pairs. In a larger one every line is compared with one representative, and each line that is
-unlike it with all the others: lines like the representative are connected through it.
+its pairs. In a larger one every line is compared with ``REPRESENTATIVES`` of its lines; each line that
+this leaves apart from most of its bucket then meets all lines it is not connected with, in
+blocks that give links only. Every candidate pair is so compared or connected, and pairs of a hot
+group are not listed.
 
 Texts are never moved to find candidates, only narrow rows; the texts of candidates are fetched
 in a second pass. Two filters of a fixed size (``FILTER_BITS`` bits, whatever the input)
@@ -35,7 +37,10 @@ SHINGLE_CHARS = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
 MIN_WORDS = 5
-SMALL_BUCKET = 32
+SMALL_BUCKET = 4
+REPRESENTATIVES = 2
+BLOCK_LINES = 1000
+PAIRS_AT_A_TIME = 200
 FILTER_BITS = 1 << 25
 BLOCK_CHARS = 1 << 18  # characters hashed at a time
 KEYS = [f"k{b}" for b in range(BANDS)]
@@ -102,12 +107,20 @@ def _block(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def jaccard(a: str, b: str) -> float:
-    x = {a[k:k + SHINGLE_CHARS] for k in range(len(a) - SHINGLE_CHARS + 1)}
-    y = {b[k:k + SHINGLE_CHARS] for k in range(len(b) - SHINGLE_CHARS + 1)}
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
-        return 0.0
-    both = len(x & y)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line as sorted numbers, equal numbers for equal shingles. Eight
+    Latin-1 characters are the eight bytes of a number; other lines' shingles are counted through."""
+    try:
+        packed = [line.encode("latin-1") for line in lines]
+    except UnicodeEncodeError:
+        number: dict[str, int] = {}
+        return [np.unique(np.array([number.setdefault(line[k:k + SHINGLE_CHARS], len(number))
+                                    for k in range(len(line) - SHINGLE_CHARS + 1)], np.uint64)) for line in lines]
+    return [np.unique(np.ndarray((len(line) - SHINGLE_CHARS + 1,), "<u8", line, 0, (1,))) for line in packed]
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
@@ -187,8 +200,12 @@ def _pairs(frames):
 
 def _alike(frames, similarity: float):
     for pdf in frames:
-        near = [jaccard(x, y) >= similarity for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-        yield pdf.loc[np.array(near, bool), ["a", "b"]]
+        for begin in range(0, len(pdf), PAIRS_AT_A_TIME):  # a few hundred lines' shingles in memory
+            part = pdf.iloc[begin:begin + PAIRS_AT_A_TIME]
+            lines = dict(zip(part["a"], part["x"], strict=True)) | dict(zip(part["b"], part["y"], strict=True))
+            sets = dict(zip(lines, shingle_sets(list(lines.values())), strict=True))
+            near = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(part["a"], part["b"], strict=True)]
+            yield part.loc[np.array(near, bool), ["a", "b"]]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -198,34 +215,120 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         lambda it: _alike(it, similarity), "a long, b long"), "line-links")
 
 
-def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between ids of different lines that are alike."""
+def classes(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the component of each line that is like another, different one."""
     spark = docs.sparkSession
     keys = lines.select("lid", F.explode(F.array(*KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
     passing = spark.sparkContext.broadcast(_filter_of(shared, "key"))
     member = save(lines.select("lid", *KEYS).mapInPandas(
         lambda it: _candidate_rows(it, passing.value), "key long, lid long").distinct(), "line-members")
-    sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("least")).where("n > 1")
+    hashed = [F.min_by("lid", F.xxhash64("lid", F.lit(j))) for j in range(REPRESENTATIVES)]
+    sizes = (member.groupBy("key").agg(F.count("*").alias("n"), F.array(*hashed).alias("some"))
+             .where("n > 1"))
     member = save(member.join(sizes, "key"), "line-buckets")
     few = (member.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("lid").alias("lids"))
            .mapInPandas(_pairs, "a long, b long"))
-    star = member.where((F.col("n") > SMALL_BUCKET) & (F.col("lid") > F.col("least"))).select(
-        "key", F.col("least").alias("a"), F.col("lid").alias("b"))
-    pairs = save(few.union(star.select("a", "b")).distinct(), "line-pairs")
+    large = member.where(F.col("n") > SMALL_BUCKET).select("key", "lid", "some")
+    star = large.select("lid", F.explode("some").alias("to")).where("lid <> to").select(
+        F.least("lid", "to").alias("a"), F.greatest("lid", "to").alias("b"))
+    pairs = save(few.union(star).distinct(), "line-pairs")
     wanted = spark.sparkContext.broadcast(_filter_of(
         pairs.select(F.explode(F.array("a", "b")).alias("lid")), "lid"))
     texts = save(docs.select("text").mapInPandas(lambda it: _texts_of(it, wanted.value), "lid long, line string")
                  .groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
     found = _verified(pairs, texts, similarity)
-    # lines of large buckets that are unlike the representative: with all the others there
-    unlike = save(star.join(found, ["a", "b"], "left_anti").select("key", F.col("b").alias("own")), "line-unlike")
-    if unlike.isEmpty():
-        return found
-    others = (unlike.join(member.select("key", "lid"), "key").where("own <> lid")
-              .select(F.least("own", "lid").alias("a"), F.greatest("own", "lid").alias("b")).distinct()
-              .join(pairs, ["a", "b"], "left_anti"))
-    return found.union(_verified(others, texts, similarity))
+    roots = components(found, "line-edges")
+    # large buckets: whatever is not yet connected with most of its bucket meets all of the rest
+    size = member.where(F.col("n") > SMALL_BUCKET).select("key", "lid", "n")
+    placed = save(size.join(roots, size["lid"] == roots["node"], "left").select(
+        "key", "lid", "n", F.coalesce("root", "lid").alias("root")), "line-placed")
+    most = (placed.groupBy("key", "root").agg(F.count("*").alias("same"))
+            .groupBy("key").agg(F.max_by("root", F.struct("same", "root")).alias("most"),
+                                F.sum("same").alias("all"), F.max("same").alias("in_most")))
+    rest = save(placed.join(most, "key").where("root <> most").select(
+        "key", "lid", "n", "root", F.ceil((F.col("all") - F.col("in_most")) / BLOCK_LINES).alias("chunks")),
+        "line-rest")
+    if rest.isEmpty():
+        return roots
+    more = _between_blocks(placed, rest, texts, similarity)
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known.union(more), "line-edges")
+
+
+def _between_blocks(placed: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between lines of ``rest`` and lines of their buckets that are not in their component.
+
+    A bucket is dealt into blocks of about ``BLOCK_LINES`` lines, and so are its lines in ``rest``; every two
+    blocks meet in a task of their own, which counts common shingles and gives links only.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_LINES).cast("int")
+    chunks = rest.groupBy("key").agg(F.max("chunks").cast("int").alias("chunks"))
+    dealt = lambda of, parts: F.pmod(F.xxhash64(of), parts).cast("int")
+    members = (placed.join(chunks, "key").withColumn("block", dealt("lid", blocks))
+               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+               .join(texts, "lid").select("key", "block", "chunk", "lid", "root", "line"))
+    asked = (rest.withColumn("chunk", dealt("lid", F.col("chunks")))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .join(texts, "lid").select("key", "block", "chunk", "lid", "root", "line"))
+    together = ["key", "block", "chunk"]
+    asked = asked.withColumnsRenamed({c: f"asked_{c}" for c in asked.columns})  # both sides hold ``texts``
+    return save(asked.groupBy(*[f"asked_{c}" for c in together]).cogroup(members.groupBy(*together)).applyInPandas(
+        lambda x, y: _block_links(x, y, similarity), "a long, b long"), "line-more")
+
+
+class _Common:
+    """Counts of the shingles that a line has in common with each of some lines. Shingles that many
+    lines hold (over one in ``HEAVY``: ``HEAVY`` times a line's shingles at most) are columns of a
+    matrix; the others have lists of their holders."""
+
+    HEAVY = 8
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        owner = np.repeat(np.arange(self.n), [len(x) for x in sets])
+        self.vocabulary, of, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.heavy = held * self.HEAVY > self.n
+        self.column = np.cumsum(self.heavy) - 1
+        self.matrix = np.zeros((int(self.heavy.sum()), self.n), np.float32)
+        often = self.heavy[of]
+        self.matrix[self.column[of[often]], owner[often]] = 1
+        order = np.argsort(of, kind="stable")
+        self.holders, self.held, self.first = owner[order], held, np.cumsum(held) - held
+
+    def counts(self, asked: list[np.ndarray]) -> np.ndarray:
+        rows = np.zeros((len(asked), len(self.matrix)), np.float32)
+        rest = np.zeros((len(asked), self.n), np.int64)
+        for k, own in enumerate(asked):
+            at = np.searchsorted(self.vocabulary, own)
+            at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == own]
+            rows[k, self.column[at[self.heavy[at]]]] = 1
+            few = at[~self.heavy[at]]
+            if len(few):
+                size = self.held[few]
+                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                rest[k] = np.bincount(self.holders[np.repeat(self.first[few], size) + inside], minlength=self.n)
+        return np.rint(rows @ self.matrix).astype(np.int64) + rest
+
+
+def _block_links(asked: pd.DataFrame, members: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """For each asked line, a link to one alike line of each other component among ``members``."""
+    a, b = [], []
+    if len(asked) and len(members):
+        sets = shingle_sets([*members["line"], *asked["asked_line"]])
+        own, theirs = sets[len(members):], sets[:len(members)]
+        common, sizes = _Common(theirs), np.array([len(x) for x in theirs])
+        lids, roots = members["lid"].to_numpy(np.int64), members["root"].to_numpy(np.int64)
+        asked_lids, asked_roots = asked["asked_lid"].to_numpy(np.int64), asked["asked_root"].to_numpy(np.int64)
+        for begin in range(0, len(own), 128):
+            counts = common.counts(own[begin:begin + 128])
+            for k, both in enumerate(counts, begin):
+                alike = both / (len(own[k]) + sizes - both) >= similarity
+                near = np.flatnonzero(alike & (roots != asked_roots[k]))
+                first = near[np.unique(roots[near], return_index=True)[1]]
+                a += [asked_lids[k]] * len(first)
+                b += lids[first].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def removed_lines(placed: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -233,7 +336,7 @@ def removed_lines(placed: DataFrame, row: str, similarity: float = SIMILARITY) -
     ``row`` is a long column that tells the rows apart and orders them."""
     prepare(placed.sparkSession)
     lines = save(placed.select(F.col(row).alias("row"), "text").mapInPandas(_signed_rows, SIGNED), "line-keys")
-    roots = components(links(lines, placed, similarity), "line-edges")
+    roots = classes(lines, placed, similarity)
     place = F.struct("row", "line")
     rooted = lines.select("row", "line", "lid").join(roots, lines["lid"] == roots["node"], "left").select(
         "row", "line", F.coalesce("root", "lid").alias("root"))
@@ -270,7 +373,8 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, count: str = "n_remov
         own += "_"
     placed = docs.withColumn(own, F.monotonically_increasing_id())
     gone = removed_lines(placed, own, similarity).withColumnsRenamed({"row": own, "gone": count})
-    joined = placed.join(gone, own, "left").select(*[F.col(f"`{c}`") for c in docs.columns], count)
+    # always by exchange: the texts' side is never small, and one plan at every size behaves alike
+    joined = placed.join(gone.hint("merge"), own, "left").select(*[F.col(f"`{c}`") for c in docs.columns], count)
     text_at, gone_at = docs.columns.index("text"), len(docs.columns)
     schema = StructType([*docs.schema.fields, StructField(count, LongType())])
     return joined.mapInArrow(lambda it: _cleaned(it, text_at, gone_at), schema)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from prefspark.llm import line_minhash as lm
@@ -7,6 +8,23 @@ from prefspark.llm.graph import components
 from llm_fixtures import ODD_ROWS, frame, written
 
 
+def plain_jaccard(a, b):
+    x, y = ({s[k:k + lm.SHINGLE_CHARS] for k in range(len(s) - lm.SHINGLE_CHARS + 1)} for s in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_jaccard_and_common_counts():
+    rng = random.Random(9)
+    for letters in ("ab", "abü", "abü日"):
+        lines = ["".join(rng.choices(letters, k=rng.randint(8, 60))) for _ in range(60)]
+        sets = lm.shingle_sets(lines)
+        common = lm._Common(sets[:40]).counts(sets[40:])
+        for i in range(40, 60):
+            for j in range(40):
+                assert lm.jaccard(sets[i], sets[j]) == plain_jaccard(lines[i], lines[j])
+                assert common[i - 40, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def brute(rows, similarity=lm.SIMILARITY):
     """Texts without the lines that go; rows in table order."""
     places = [(k, n, lm.normalised(line)) for k, text in enumerate(rows) if text is not None
@@ -22,7 +40,7 @@ def brute(rows, similarity=lm.SIMILARITY):
 
     for i, a in enumerate(lines):
         for b in lines[i + 1:]:
-            if lm.jaccard(lm.shingles(a), lm.shingles(b)) >= similarity:
+            if plain_jaccard(a, b) >= similarity:
                 parent[find(a)] = find(b)
     seen, gone = set(), {}
     for k, n, line in places:
