@@ -35,6 +35,7 @@ WINDOW_TOKENS = 64 * MAX_TOKENS
 FRACTION_BITS = 16
 MAX_SOURCES = 10_000
 END_ID = 0
+FRAME_BYTES = 8 << 20  # ids handed on at a time
 ENCODED = "part int, queue string, doc_id long, doc_tokens long, queue_start long, ids binary"
 PIECES = ("doc_id long, start long, length long, sequence_id long, offset long, doc_tokens long, "
           "window long, source string, ids binary")
@@ -106,8 +107,9 @@ def _encode(frames, json_path: str, ranks_path: str):
     encoder = byte_pieces(json_path, ranks_path)
     end = np.array([END_ID], "<u4").tobytes()
     part, given = TaskContext.get().partitionId(), {}
+    names = [c.split()[0] for c in ENCODED.split(", ")]
     for pdf in frames:
-        rows = []
+        rows, held = [], 0
         for doc_id, text, source in zip(pdf["doc_id"], pdf["text"], pdf["source"], strict=True):
             ids = encoder.encode(text_or_empty(text)) + end
             # the queue's name: null and the empty string stay apart
@@ -115,8 +117,11 @@ def _encode(frames, json_path: str, ranks_path: str):
             n, start = len(ids) // 4, given.get(queue, 0)
             given[queue] = start + n
             rows.append((part, queue, doc_id, n, start, ids))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENCODED.split(", ")]).astype(
-            {"doc_id": "Int64"})
+            held += len(ids)
+            if held > FRAME_BYTES:
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
 def _cut(frames, schedule: Schedule, max_tokens: int):
@@ -131,7 +136,7 @@ def _cut(frames, schedule: Schedule, max_tokens: int):
                     index[queue], int(start), int(n), max_tokens):
                 rows.append((doc_id, low, length, sequence, offset, n, window, source,
                              ids[4 * low:4 * (low + length)]))
-            if len(rows) > 20_000:
+            if len(rows) > 2_000:
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                 rows = []
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})

@@ -15,7 +15,7 @@ import json
 import os
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -42,8 +42,15 @@ class _Pieces:
     """Ids of a text; subclasses encode plain text."""
 
     def __init__(self, path: str):
-        self.library = _library(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.model = json.load(file)
+        self.special = [t["content"] for t in self.model["added_tokens"]]
+
+    @cached_property
+    def library(self):
+        """Loaded only where a text needs it: it takes more memory than all the rest."""
+        return _library(self.path)
 
     def library_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -71,6 +78,7 @@ class BytePieces(_Pieces):
 
     def __init__(self, json_path: str, ranks_path: str):
         super().__init__(json_path)
+        del self.model
         import public_tokenizers
         import tiktoken
 
@@ -93,20 +101,20 @@ class WordPieces(_Pieces):
         import regex
         import tiktoken
 
-        model = json.load(open(json_path, encoding="utf-8"))["model"]
+        vocabulary = self.model["model"]["vocab"]
         letters = _byte_letters()
         special = set(self.special)
         ranks = {}
-        for token, number in model["vocab"].items():
+        for token, number in vocabulary.items():
             if token not in special:
                 end = token.endswith("</w>")
                 ranks[bytes(letters[c] for c in (token[:-4] if end else token)) + b" " * end] = number
         self.ranks = tiktoken.Encoding("ends", pat_str="[^ ]+ ", mergeable_ranks=ranks,
                                        special_tokens={})
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.tokens = {i: self.library.id_to_token(i)
-                       for i in range(self.library.get_vocab_size(with_added_tokens=True))}
-
+        self.tokens = {number: token for token, number in vocabulary.items()}
+        self.tokens |= {t["id"]: t["content"] for t in self.model["added_tokens"]}
+        del self.model
 
     def plain_ids(self, text):
         words = self.words.findall(text.lower())  # plain characters: lower case is per character
