@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from prefspark.llm.common import bounded_sample, held_out, prepare, text_or_empty
 
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 24_000
+MAX_POSITIVE = 3_000
+MAX_UNLABELLED = 9_000
 GRAM = 5
 GRAM_BITS = 21
 MIN_POSITIVE, MIN_SHARE = 4, 0.005  # toxic training texts that must have a 5-gram
@@ -99,7 +99,7 @@ class _Rows:
         self.n, self.width = len(texts), len(grams)
         sizes = [len(t) for t in texts]
         flat = place[np.concatenate([np.zeros(0, np.int32), *texts])]
-        row = np.repeat(np.arange(self.n), sizes)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         self.row, self.column = row[flat >= 0], flat[flat >= 0]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 def _gram_rows(frames):
     for pdf in frames:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "ids": [gram_ids(text_or_empty(t)) for t in pdf["text"]]})
+        yield pd.DataFrame({"toxic": pdf["toxic"], "ids": [gram_ids(text_or_empty(t)).tobytes() for t in pdf["text"]]})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # one text an id, however often it occurs; a toxic text may be in both samples
     texts = learn.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = texts.select("toxic", "text").mapInPandas(
-        _gram_rows, "toxic boolean, ids array<int>").toPandas()
-    sample["ids"] = sample["ids"].map(lambda x: np.asarray(x, np.int32))
+        _gram_rows, "toxic boolean, ids binary").toPandas()
+    sample["ids"] = sample["ids"].map(lambda x: np.frombuffer(x, np.int32))
     positive = sample.loc[sample["toxic"], "ids"].tolist()
     unlabelled = sample.loc[~sample["toxic"], "ids"].tolist()
     if not positive or not unlabelled:
