@@ -18,12 +18,12 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import held_out, prepare, text_or_empty
 
-DOCS_PER_LANGUAGE = 400  # training rows taken per language, by smallest hash of their id
+DOCS_PER_LANGUAGE = 400  # training rows taken per language, about, by a hash of their id
 DICT_BYTES = 48 * 1024  # dictionary size per language
 SEGMENT_CHARS = 3000
 LEVEL = 12
@@ -39,17 +39,18 @@ def letters(text: str) -> str:
 
 def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
     """language -> (training rows, dictionary content), learned from rows that are not held out.
-    At most ``DOCS_PER_LANGUAGE`` whole texts of each language are read to the driver."""
+    About ``DOCS_PER_LANGUAGE`` whole texts of each of the ``MAX_LANGUAGES`` commonest languages are read
+    to the driver."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                         & ~held_out(F.col("doc_id")))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids are ranked first (narrow, cut to the limit on every mapper); their texts are fetched after
-    chosen = (usable.select("lang", "doc_id").withColumn("rank", F.row_number().over(by_hash))
-              .where(F.col("rank") <= DOCS_PER_LANGUAGE).select("lang", "doc_id").distinct())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    rows = (usable.select("lang", "doc_id", "text")
-            .join(F.broadcast(chosen.limit(DOCS_PER_LANGUAGE * MAX_LANGUAGES)), ["lang", "doc_id"], "left_semi")
+    # each language's share of hashes that gives about its number of rows: a filter, no ranking
+    bounds = docs.sparkSession.createDataFrame(
+        [(lang, min(1 << 30, DOCS_PER_LANGUAGE * (1 << 30) // n)) for lang, n in counts.items()],
+        "lang string, bound long")
+    chance = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30))
+    rows = (usable.select("lang", "doc_id", "text").join(F.broadcast(bounds), "lang").where(chance < F.col("bound"))
             .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # one text an id, however often it occurs
             .orderBy("lang", F.xxhash64("doc_id"), "text").toLocalIterator())
     content: dict[str, bytearray] = {}
