@@ -5,7 +5,8 @@ Lines (split at line feeds) are compared trimmed and lower-cased, by their sets
 two lines of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS (98.6 % at 0.8, 99.7 % at
 0.85, over 99.99 % at 0.95). Candidates whose exact Jaccard similarity is at least ``SIMILARITY`` are
 linked, and of each component the first line in table order stays. Equal lines (equal
-64-bit hashes) need no candidates. Lines of fewer than ``MIN_WORDS`` words always stay.
+64-bit hashes) need no candidates. A line shorter than a shingle is one shingle, so it is like its
+equals only and gets no signature. Blank lines hold nothing that could repeat and stay.
 
 Only distinct lines are compared. A band value with up to ``SMALL_BUCKET`` distinct lines gives all
 its pairs. In a larger one every line is compared with ``REPRESENTATIVES`` of its lines; each line that
@@ -36,7 +37,6 @@ from prefspark.llm.graph import components
 SHINGLE_CHARS = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
-MIN_WORDS = 5
 SMALL_BUCKET = 4
 REPRESENTATIVES = 2
 BLOCK_LINES = 1000
@@ -57,8 +57,8 @@ def normalised(line: str) -> str:
 
 
 def eligible(line: str) -> bool:
-    """Whether a normalised line takes part: it has ``MIN_WORDS`` words and a whole shingle."""
-    return len(line) >= SHINGLE_CHARS and len(line.split(None, MIN_WORDS - 1)) >= MIN_WORDS
+    """Whether a normalised line takes part: every line that is not blank."""
+    return line != ""
 
 
 def line_id(line: str) -> int:
@@ -144,21 +144,23 @@ def _signed_rows(frames):
 
 
 def _signed_frame(rows, numbers, lines) -> pd.DataFrame:
-    keys = signatures(lines)
+    whole = np.array([len(line) >= SHINGLE_CHARS for line in lines], bool)  # the others have no keys
+    keys = np.zeros((len(lines), BANDS), np.int64)
+    keys[whole] = signatures([line for line in lines if len(line) >= SHINGLE_CHARS])
     frame = {"row": np.array(rows, np.int64), "line": np.array(numbers, np.int32),
              "lid": np.array([line_id(line) for line in lines], np.int64)}
-    return pd.DataFrame(frame | {k: keys[:, b] for b, k in enumerate(KEYS)})
+    return pd.DataFrame(frame | {k: pd.arrays.IntegerArray(keys[:, b].copy(), ~whole) for b, k in enumerate(KEYS)})
 
 
 def _texts_of(frames, wanted: np.ndarray):
-    """(lid, line) of lines that pass the filter, once per batch."""
+    """(lid, line) of lines with signatures that pass the filter, once per batch."""
     for pdf in frames:
         found = {}
         for text in pdf["text"]:
             if isinstance(text, str):
                 for line in text.split("\n"):
                     line = normalised(line)
-                    if eligible(line):
+                    if len(line) >= SHINGLE_CHARS:
                         lid = line_id(line)
                         if wanted[lid % FILTER_BITS >> 3] >> (lid & 7) & 1:
                             found[lid] = line
@@ -218,6 +220,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def classes(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): the component of each line that is like another, different one."""
     spark = docs.sparkSession
+    lines = lines.where(F.col(KEYS[0]).isNotNull())
     keys = lines.select("lid", F.explode(F.array(*KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
     passing = spark.sparkContext.broadcast(_filter_of(shared, "key"))

@@ -119,3 +119,44 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_lines_and_scripts_without_blanks(spark, tmp_path):
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    passages = ["".join(rng.choices(signs, k=rng.randint(60, 300))) for _ in range(12)]
+    short = ["}", "Read more", "the end", "THE END ", "Home", "一二三", "Terms of service", "a b c d", "exactly8"]
+    texts = []
+    for _ in range(60):
+        lines = ["", "  ", *rng.choices(short, k=3)]
+        line = rng.choice(passages)
+        if rng.random() < 0.3:
+            line = line[:-1] + "終"
+        texts.append("\n".join(rng.sample([*lines, line], k=len(lines) + 1)))
+
+    def like(a, b):
+        x, y = ({s[k:k + 8] for k in range(max(len(s) - 7, 1))} for s in (a, b))
+        return len(x & y) / len(x | y) >= 0.8
+
+    distinct = sorted({line.strip().lower() for text in texts for line in text.split("\n")} - {""})
+    group = {x: {x} for x in distinct}
+    for a in distinct:
+        for b in distinct:
+            if group[a] is not group[b] and like(a, b):
+                group[a] |= group[b]
+                for x in group[a]:
+                    group[x] = group[a]
+    seen, want = set(), []
+    for text in texts:
+        stay = []
+        for line in text.split("\n"):
+            plain = line.strip().lower()
+            if plain not in seen:
+                stay.append(line)
+            if plain:
+                seen |= group[plain]
+        want.append("\n".join(stay))
+    docs = written(spark, tmp_path, frame(spark, [(k, t, "zh", "s") for k, t in enumerate(texts)], partitions=1)
+                   .coalesce(1).orderBy("doc_id"))
+    out = {r["doc_id"]: r["text"] for r in lm.dedup(docs).collect()}
+    assert [out[k] for k in range(len(texts))] == want
