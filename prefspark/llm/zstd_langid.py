@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from prefspark.llm.common import held_out, prepare, text_or_empty
 
-DOCS_PER_LANGUAGE = 400  # training rows taken per language, about, by a hash of their id
+DOCS_PER_LANGUAGE = 400  # training ids taken per language, about, by a hash
 DICT_BYTES = 48 * 1024  # dictionary size per language
+EXCERPT_BYTES = DICT_BYTES // 8  # of one text, at most
 SEGMENT_CHARS = 3000
 LEVEL = 12
 MIN_MARGIN = 0.02  # of the best size
-MAX_LANGUAGES = 500
 SCHEMA = ("doc_id long, held_out boolean, lang_pred string, score double, reliable boolean")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -38,28 +38,38 @@ def letters(text: str) -> str:
 
 
 def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
-    """language -> (training rows, dictionary content), learned from rows that are not held out.
-    About ``DOCS_PER_LANGUAGE`` whole texts of each of the ``MAX_LANGUAGES`` commonest languages are read
-    to the driver."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
-                        & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    # each language's share of hashes that gives about its number of rows: a filter, no ranking
+    """language -> (training rows, dictionary content), learned from rows that are not held out and
+    have a letter. Excerpts of about ``DOCS_PER_LANGUAGE`` texts of each language pass the driver; every
+    language with a training row gets a dictionary."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    per_id = usable.groupBy("lang", "doc_id").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: (r["n"], r["ids"]) for r in
+              per_id.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()}
+    # each language's share of hashes that gives about its number of ids: a filter, no ranking
     bounds = docs.sparkSession.createDataFrame(
-        [(lang, min(1 << 30, DOCS_PER_LANGUAGE * (1 << 30) // n)) for lang, n in counts.items()],
+        [(lang, min(1 << 30, DOCS_PER_LANGUAGE * (1 << 30) // ids)) for lang, (_, ids) in counts.items()],
         "lang string, bound long")
     chance = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30))
+    # what letters() keeps, so that the start of a text without letters does not use up its excerpt
+    kept = F.trim(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "))
     rows = (usable.select("lang", "doc_id", "text").join(F.broadcast(bounds), "lang").where(chance < F.col("bound"))
+            .select("lang", "doc_id", F.substring(kept, 1, EXCERPT_BYTES).alias("text"))
             .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # one text an id, however often it occurs
             .orderBy("lang", F.xxhash64("doc_id"), "text").toLocalIterator())
     content: dict[str, bytearray] = {}
     for row in rows:
         own = content.setdefault(row["lang"], bytearray())
-        data = letters(row["text"]).encode()
-        if len(data) <= DICT_BYTES // 8 and len(own) + len(data) < DICT_BYTES:
+        data = excerpt(letters(row["text"]), min(EXCERPT_BYTES, DICT_BYTES - 1 - len(own)))
+        if data:
             own += data + b" "
-    return {lang: (counts.get(lang, 0), bytes(data)) for lang, data in content.items() if data}
+    if missing := [lang for lang in counts if not content.get(lang)]:
+        raise RuntimeError(f"no training text was sampled for {sorted(missing)[:20]}")
+    return {lang: (counts[lang][0], bytes(data)) for lang, data in content.items()}
+
+
+def excerpt(text: str, room: int) -> bytes:
+    """The start of ``text`` in at most ``room`` bytes, without a cut character."""
+    return text[:room].encode()[:room].decode(errors="ignore").encode()
 
 
 @lru_cache(maxsize=2)

@@ -55,3 +55,27 @@ def test_narrow_margins_are_not_reliable():
     ordered = tuple((k, n, c) for k, (n, c) in model.items())
     lang, _, reliable = zstd_langid.classify("the same words here again", zstd_langid._compressors(ordered))
     assert lang == "a" and not reliable
+
+
+def test_every_language_gets_a_dictionary(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def text(first, size, words):
+        return " ".join("".join(chr(first + rng.randrange(size)) for _ in range(6)) for _ in range(words))
+
+    rows = [(k, text(0x4E00, 40, 1500), "zh", "s") for k in range(8)]  # longer than an excerpt, all of them
+    rows += [(100 + k, "7 " * 9000 + text(0x430, 20, 3000), "ru", "s") for k in range(8)]
+    once = text(0x61, 20, 60)
+    rows += [(200 + k % 4, once, "en", "s") for k in range(3000)]  # many rows, few ids
+    rows += [(1000 + 20 * k + j, text(0x3B1, 20, 3), f"x{k:03}", "s") for k in range(510) for j in range(4)]
+    docs = frame(spark, rows)
+    trained = {r[2] for r in docs.where(~zstd_langid.held_out(docs["doc_id"])).collect()}
+    model = zstd_langid.train(docs)
+    assert set(model) == trained and {"zh", "ru", "en"} <= trained and len(trained) > 500
+    assert all(0 < len(content) <= zstd_langid.DICT_BYTES for _, content in model.values())
+    few = {lang: model[lang] for lang in ("zh", "ru", "en")}
+    found = zstd_langid.identify(docs.where(docs["lang"].isin(*few)), few)
+    assert {r["lang_pred"] for r in found.where("doc_id < 8").collect()} == {"zh"}
+    assert {r["lang_pred"] for r in found.where("doc_id >= 100 and doc_id < 108").collect()} == {"ru"}
