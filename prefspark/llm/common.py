@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prefspark.session import scratch_path, ship_package
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
+FILE_ROWS_BITS = 40  # of a row's number: its place in its file
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,23 @@ def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a long column that tells its rows apart, and that column's name: the number of a
+    row's file, by path, and its row in it. Unlike ids of partitions, these stay the same in every
+    scan, however the files are split. ``docs`` must be the read of Parquet files."""
+    own = "__row"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    path, place = f"{own}path", f"{own}file"
+    meta = docs.metadataColumn("_metadata")
+    files = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(
+        [(name, k << FILE_ROWS_BITS) for k, name in enumerate(files)], f"{path} string, {place} long")
+    found = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(own))
+    return found.join(F.broadcast(numbers), path).select(
+        *[F.col(f"`{c}`") for c in docs.columns], (F.col(place) + F.col(own)).alias(own)), own
+
+
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in the Python workers."""
     ship_package(spark)

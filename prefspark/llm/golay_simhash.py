@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import prepare, save, text_or_empty
+from prefspark.llm.common import placed_rows, prepare, save, text_or_empty
 from prefspark.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -193,12 +193,10 @@ def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: in
     """One row of each component, with all columns of ``docs`` and nothing else: the one with the
     smallest doc_id (nulls last), and of equal ones the first in the table.
 
-    ``docs`` must be the read of a written table: rows are told apart by their place in it.
+    ``docs`` must be the read of a written Parquet table: rows are told apart by their place in its
+    files.
     """
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
-    placed = docs.withColumn(own, F.monotonically_increasing_id())
+    placed, own = placed_rows(docs)
     # rank rows by doc_id without moving their texts: one number per (doc_id, place)
     found = near_duplicates(placed, shingle_words, max_bits, own)
     ids = placed.select(own, F.col("doc_id").alias("__id"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from prefspark.llm.common import prepare, save
+from prefspark.llm.common import placed_rows, prepare, save
 from prefspark.llm.graph import components
 
 SHINGLE_CHARS = 8
@@ -369,12 +369,9 @@ def _cleaned(batches, text_at: int, gone_at: int):
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, count: str = "n_removed") -> DataFrame:
     """``docs`` with all its columns, ``text`` without the lines that go, and how many those are in
-    the column ``count``. ``docs`` must be the read of a written table: rows are known by
-    their place in it."""
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
-    placed = docs.withColumn(own, F.monotonically_increasing_id())
+    the column ``count``. ``docs`` must be the read of a written Parquet table: rows are known by
+    their place in its files."""
+    placed, own = placed_rows(docs)
     gone = removed_lines(placed, own, similarity).withColumnsRenamed({"row": own, "gone": count})
     # always by exchange: the texts' side is never small, and one plan at every size behaves alike
     joined = placed.join(gone.hint("merge"), own, "left").select(*[F.col(f"`{c}`") for c in docs.columns], count)

@@ -160,3 +160,34 @@ def test_short_lines_and_scripts_without_blanks(spark, tmp_path):
                    .coalesce(1).orderBy("doc_id"))
     out = {r["doc_id"]: r["text"] for r in lm.dedup(docs).collect()}
     assert [out[k] for k in range(len(texts))] == want
+
+
+def test_splits_may_change_between_passes(spark, tmp_path, monkeypatch):
+    from prefspark.llm import golay_simhash
+
+    line = "line %d of document %d which says something of its own"
+    rows = [(k, "\n".join([*(line % (j, k % 20 if j == 2 else k) * 2 for j in range(k % 4 + 1)), "shared by all of the documents"]),
+             "en", "s") for k in range(60)]
+    rows += [(k % 7, "repeated text of some documents, word for word " * 5, "en", "s") for k in range(30)]
+    docs = written(spark, tmp_path, frame(spark, rows, partitions=9))
+    least = "spark.sql.files.minPartitionNum"
+
+    def results():
+        spark.conf.set(least, "1")
+        lines = sorted((r["doc_id"], r["text"]) for r in lm.drop_repeated_lines(docs).collect())
+        spark.conf.set(least, "1")
+        return lines, sorted((r["doc_id"], r["text"]) for r in golay_simhash.keep_first(docs).collect())
+
+    def moved(call):
+        def run(*args, **kwargs):
+            spark.conf.set(least, "500")
+            return call(*args, **kwargs)
+        return run
+
+    try:
+        want = results()
+        monkeypatch.setattr(lm, "classes", moved(lm.classes))
+        monkeypatch.setattr(golay_simhash, "components", moved(golay_simhash.components))
+        assert results() == want
+    finally:
+        spark.conf.unset(least)
