@@ -11,7 +11,10 @@ given ``(quantum * w) >> FRACTION_BITS`` tokens: the state at any window is know
 No state has to be handed from window to window or partition to partition, and each
 document finds its own windows, offsets and cuts from its place in its queue: a prefix sum over
 per-partition token counts. Only one row per (partition, source) is summed; the driver holds one
-row per source (``MAX_SOURCES`` at most; a mixture is a finite list).
+row per queue. Where there are more sources than ``QUEUES``, the largest and those with a target have
+queues of their own and all others share one: its quantum is the sum of theirs, and it is served
+in table order of partitions, by source in each. A caller may set ``MAX_SOURCES`` to
+refuse more sources than that.
 
 Nulls: a null text is the empty document (its end id only), a null source is a queue of its own;
 repeated rows are packed as often as they occur, whatever their doc_id. An empty table gives no
@@ -33,7 +36,10 @@ from prefspark.llm.pieces import byte_pieces, tokenizer_path
 MAX_TOKENS = 1024
 WINDOW_TOKENS = 64 * MAX_TOKENS
 FRACTION_BITS = 16
-MAX_SOURCES = 10_000
+MAX_SOURCES: int | None = None
+QUEUES = 2_000  # own queues of sources without a target, at most
+SHARED = "*"  # the queue of all others; the names of own queues begin with = or -
+BLOCK_CELLS = 1 << 20  # windows times queues looked at together
 END_ID = 0
 FRAME_BYTES = 8 << 20  # ids handed on at a time
 ENCODED = "part int, queue string, doc_id long, doc_tokens long, queue_start long, ids binary"
@@ -77,6 +83,12 @@ class Schedule:
         grown = self.credit[k] + self.quantum[k] * (windows - self.begin[k])[:, None]
         return np.minimum(grown >> FRACTION_BITS, self.totals)
 
+    def given_by(self, queue: int, windows: np.ndarray) -> np.ndarray:
+        """Tokens of one queue before each window."""
+        k = np.searchsorted(self.begin, windows, "right") - 1
+        grown = self.credit[k, queue] + self.quantum[k, queue] * (windows - self.begin[k])
+        return np.minimum(grown >> FRACTION_BITS, self.totals[queue])
+
     def window_of(self, queue: int, position: int) -> int:
         """The window in which a queue gives its token ``position``."""
         need = (position + 1) << FRACTION_BITS
@@ -88,16 +100,25 @@ class Schedule:
         """Where tokens start .. start + count of a queue go: (from, length, sequence, offset,
         window) for each cut piece; ``from`` counts from 0 within these tokens."""
         first, last = self.window_of(queue, start), self.window_of(queue, start + count - 1)
-        windows = np.arange(first, last + 2)
-        given = self.given(windows)
-        before = given[:-1].sum(axis=1) + (given[1:, :queue] - given[:-1, :queue]).sum(axis=1)
-        for k in range(last - first + 1):
-            low = max(start, int(given[k, queue]))
-            high = min(start + count, int(given[k + 1, queue]))
-            at = int(before[k]) + low - int(given[k, queue])
+        for begin in range(first, last + 1, BLOCK_CELLS):
+            windows = np.arange(begin, min(begin + BLOCK_CELLS, last + 1) + 1)
+            own = self.given_by(queue, windows)
+            giving = np.flatnonzero(own[1:] > own[:-1])  # a small queue gives nothing in most windows
+            step = max(BLOCK_CELLS // len(self.names), 1)
+            for at in range(0, len(giving), step):
+                part = giving[at:at + step]
+                yield from self._cut(queue, start, count, max_tokens, windows[part], own[part], own[part + 1])
+
+    def _cut(self, queue: int, start: int, count: int, max_tokens: int, windows, given, after):
+        # tokens of all queues before the window, and of the queues before this one in it
+        before = self.given(windows)[:, queue:].sum(axis=1) + self.given(windows + 1)[:, :queue].sum(axis=1)
+        for k, window in enumerate(windows.tolist()):
+            low = max(start, int(given[k]))
+            high = min(start + count, int(after[k]))
+            at = int(before[k]) + low - int(given[k])
             while low < high:
                 n = min(high - low, max_tokens - at % max_tokens)
-                yield low - start, n, at // max_tokens, at % max_tokens, first + k
+                yield low - start, n, at // max_tokens, at % max_tokens, window
                 low, at = low + n, at + n
 
 
@@ -129,11 +150,11 @@ def _cut(frames, schedule: Schedule, max_tokens: int):
     names = [c.split()[0] for c in PIECES.split(", ")]
     for pdf in frames:
         rows = []
-        for queue, doc_id, n, start, ids in zip(pdf["queue"], pdf["doc_id"], pdf["doc_tokens"],
-                                                pdf["start"], pdf["ids"], strict=True):
+        for queue, served, doc_id, n, start, ids in zip(pdf["queue"], pdf["served"], pdf["doc_id"],
+                                                        pdf["doc_tokens"], pdf["start"], pdf["ids"], strict=True):
             source = queue[1:] if queue[0] == "=" else None
             for low, length, sequence, offset, window in schedule.place(
-                    index[queue], int(start), int(n), max_tokens):
+                    index[served], int(start), int(n), max_tokens):
                 rows.append((doc_id, low, length, sequence, offset, n, window, source,
                              ids[4 * low:4 * (low + length)]))
             if len(rows) > 2_000:
@@ -155,20 +176,36 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, max_tokens: i
     encoded = save(docs.select("doc_id", "text", "source").mapInPandas(
         lambda it: _encode(it, json_path, ranks_path), ENCODED), "pack-ids", "zstd")
     sums = save(encoded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens")), "pack-sums")
-    totals = {r["queue"]: r["tokens"] for r in
-              sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
+    sources = save(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), "pack-sources")
+    n_sources, n_tokens = sources.agg(F.count("*"), F.sum("tokens")).first()
+    if MAX_SOURCES is not None and n_sources > MAX_SOURCES:
         raise ValueError(f"a mixture has at most {MAX_SOURCES} sources")
     named = {"=" + k: v for k, v in targets.items()} if targets else None
-    schedule = Schedule(totals, named, window_tokens)
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    top = sources.orderBy(F.desc("tokens"), "queue").limit(QUEUES)
+    if named and n_sources > QUEUES:
+        wanted = spark.createDataFrame([(k,) for k in named], "queue string")
+        top = top.union(sources.join(F.broadcast(wanted), "queue", "left_semi").select(*sources.columns))
+    totals = {r["queue"]: r["tokens"] for r in top.collect()}
+    served = F.col("queue")
+    if n_sources > len(totals):
+        own = spark.createDataFrame([(k, k) for k in totals], "queue string, served string")
+        sums = sums.join(F.broadcast(own), "queue", "left")
+        served = F.coalesce("served", F.lit(SHARED))
+        totals[SHARED] = n_tokens - sum(totals.values())
+    schedule = spark.sparkContext.broadcast(Schedule(totals, named, window_tokens))
+    # a queue's tokens before each partition, and in it before each of its sources
+    each = sums.select("queue", "part", "tokens", served.alias("served"))
+    parts = each.groupBy("served", "part").agg(F.sum("tokens").alias("tokens"))
+    earlier = Window.partitionBy("served").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("served", "part").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("served", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("earlier"))
+    each = each.select("queue", "part", "served", F.coalesce(F.sum("tokens").over(inside), F.lit(0)).alias("inside"))
     # written, so that the planner knows its size and sends it to every executor only if it is small
-    bases = save(sums.select("queue", "part",
-                             F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")),
-                 "pack-bases")
+    bases = save(each.join(parts, ["served", "part"]).select(
+        "queue", "part", "served", (F.col("earlier") + F.col("inside")).alias("base")), "pack-bases")
     places = encoded.join(bases, ["queue", "part"]).select(
-        "queue", "doc_id", "doc_tokens", (F.col("base") + F.col("queue_start")).alias("start"), "ids")
-    return places.mapInPandas(lambda it: _cut(it, schedule, max_tokens), PIECES)
+        "queue", "served", "doc_id", "doc_tokens", (F.col("base") + F.col("queue_start")).alias("start"), "ids")
+    return places.mapInPandas(lambda it: _cut(it, schedule.value, max_tokens), PIECES)
 
 
 def padded_length(tokens: int, max_tokens: int = MAX_TOKENS) -> int:

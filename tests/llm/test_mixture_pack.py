@@ -91,3 +91,21 @@ def test_edges(spark):
             mixture_pack.pack(frame(spark, [(1, "a", "en", "x"), (2, "b", "en", "y")])).count()
         finally:
             mixture_pack.MAX_SOURCES = limit
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixture_pack, "QUEUES", 3)
+    monkeypatch.setattr(mixture_pack, "BLOCK_CELLS", 16)
+    rows = [(k, "some words of a text " * (k % 5 + 1), "en", f"s{k}" if k >= 200 else "ab"[k % 2]) for k in range(10_210)]
+    rows += [(k, "rare", "en", "wanted") for k in (20_000, 20_001)]
+    for targets in (None, {"wanted": 0.5, "a": 0.5}):
+        pieces = mixture_pack.pack(frame(spark, rows), targets, window_tokens=512).collect()
+        at, given = 0, {}
+        for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["sequence_id"] * 1024 + r["offset"] == at
+            at += r["length"]
+            given[r["doc_id"]] = given.get(r["doc_id"], 0) + r["length"]
+        assert given == {r["doc_id"]: r["doc_tokens"] for r in pieces} and len(given) == len(rows)
+        assert {(r["doc_id"], r["source"]) for r in pieces} == {(i, s) for i, _, _, s in rows}
+        if targets:
+            assert {r["window"] for r in pieces if r["source"] == "wanted"} == {0}
