@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.llm import (chunked_bpe, crf_pii, golay_simhash, line_minhash, mcd_quality,
-                           mixture_pack, nnpu_toxicity, secret_scan, srs_ann, zstd_langid)
+                           mixture_pack, nnpu_toxicity, secret_scan, srs_ann, target_resample, zstd_langid)
 from prefspark.llm.common import read_documents
+from prefspark.llm.oracles import OP13_SQL
 
 
 def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,12 @@ def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(read_documents(spark, sf_dir))
 
 
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return target_resample.resample(read_documents(spark, sf_dir), target).drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_crf_pii, op2_secret_automaton, op3_nnpu_toxicity, op4_srs_ann, op5_chunked_bpe, op6_mixture_pack,
-    op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality)}
-ORACLE: dict[str, str] = {}
+    op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality, op13_target_resample)}
+ORACLE: dict[str, str] = {"op13_target_resample": OP13_SQL}
