@@ -17,15 +17,24 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
     """Write ``df`` to a fresh table in the shared checkpoint folder and read it back: cuts the
-    lineage and survives the loss of executors."""
+    lineage and survives the loss of executors. ``path``: a ``scratch_path`` to use, for ``remove``."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``save`` wrote to ``path``, once nothing reads it any more."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # a session without a JVM of its own: the table stays in the scratch folder
+        return
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def placed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a long column that tells its rows apart, and that column's name: the number of a
     row's file, by path, and its row in it. Unlike ids of partitions, these stay the same in every

@@ -43,3 +43,41 @@ placed AS (SELECT doc_id, n_features, weight, weight + noise AS score, n_feature
 SELECT doc_id, n_features, weight, score,
        CASE WHEN long_enough AND place <= floor(10 * big_n / 100) THEN place END AS rank FROM placed
 """
+
+
+def _op11_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Plain k-means, round by round: all distances, the nearest entry, floored means."""
+    ctes = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label,
+                          list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS x
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x
+                   FROM v, range(4) AS parts(part)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM v),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN first USING (r) WHERE entry < {entries})"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""
+a{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'e': entry}}) AS best FROM (
+    SELECT r, p.part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p JOIN c{k} ON p.part = c{k}.part) GROUP BY r, part)""")
+        if k < rounds:
+            ctes.append(f"""
+m{k} AS (SELECT part, entry, list(mean ORDER BY pos) AS c FROM (
+    SELECT part, entry, pos, floor(sum(val) / count(*)::DOUBLE)::BIGINT AS mean FROM (
+        SELECT p.part, best.e AS entry, unnest(x) AS val, generate_subscripts(x, 1) AS pos FROM p JOIN a{k} USING (r, part))
+    GROUP BY part, entry, pos) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry))""")
+    ctes.append(f"""
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT r, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY part) AS code,
+                 sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+summed AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN coded USING (r) GROUP BY label)""")
+    return "WITH " + ",".join(ctes) + """
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM v JOIN coded USING (r) JOIN summed ON v.label IS NOT DISTINCT FROM summed.label, digest
+"""
+
+
+OP11_SQL = _op11_sql()

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.llm import (chunked_bpe, crf_pii, golay_simhash, line_minhash, mcd_quality,
-                           mixture_pack, nnpu_toxicity, secret_scan, srs_ann, target_resample, zstd_langid)
+                           mixture_pack, nnpu_toxicity, secret_scan, srs_ann, target_resample, vector_codes,
+                           zstd_langid)
 from prefspark.llm.common import read_documents
-from prefspark.llm.oracles import OP13_SQL
+from prefspark.llm.oracles import OP11_SQL, OP13_SQL
 
 
 def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,17 @@ def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(read_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    coded, codebooks = vector_codes.learn(vectors, label_col="label")
+    columns = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
+    if coded is None:
+        return spark.createDataFrame([], columns)
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
+
+
 def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return target_resample.resample(read_documents(spark, sf_dir), target).drop("n_words")
@@ -74,5 +86,6 @@ def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_crf_pii, op2_secret_automaton, op3_nnpu_toxicity, op4_srs_ann, op5_chunked_bpe, op6_mixture_pack,
-    op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality, op13_target_resample)}
-ORACLE: dict[str, str] = {"op13_target_resample": OP13_SQL}
+    op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality, op11_vector_codes,
+    op13_target_resample)}
+ORACLE: dict[str, str] = {"op11_vector_codes": OP11_SQL, "op13_target_resample": OP13_SQL}
