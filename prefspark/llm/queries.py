@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import (chunked_bpe, crf_pii, golay_simhash, line_minhash, mcd_quality,
+from prefspark.llm import (chunked_bpe, crf_pii, golay_simhash, html_text, line_minhash, mcd_quality,
                            mixture_pack, nnpu_toxicity, secret_scan, srs_ann, target_resample, vector_codes,
                            zstd_langid)
 from prefspark.llm.common import read_documents
@@ -79,6 +79,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return target_resample.resample(read_documents(spark, sf_dir), target).drop("n_words")
@@ -87,5 +91,5 @@ def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_crf_pii, op2_secret_automaton, op3_nnpu_toxicity, op4_srs_ann, op5_chunked_bpe, op6_mixture_pack,
     op7_zstd_langid, op8_line_minhash, op9_golay_simhash, op10_mcd_quality, op11_vector_codes,
-    op13_target_resample)}
+    op12_html_text, op13_target_resample)}
 ORACLE: dict[str, str] = {"op11_vector_codes": OP11_SQL, "op13_target_resample": OP13_SQL}
