@@ -50,8 +50,7 @@ SELECT conv_id, turn, prompt, {sql_strip("response_1")} AS response_1, {sql_stri
 def q_csv_roundtrip(spark, sf_dir):
     """K1 (label strip, quoted, escaped) -> S1 (multiLine, explicit schema): exact round trip."""
     path = scratch_path(spark, "csv-roundtrip")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
-    writers.write_preferences(src.repartition("file_key"), path, partition_by=["file_key"])
+    writers.write_preferences(_labelled_pairs(spark, sf_dir), path)
     back = csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA)
     return back.select("conv_id", "turn", "prompt", "response_1", "response_2")
 
@@ -60,26 +59,25 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_csv_scan(spark, sf_dir):
     """K2 -> S1: plain CSV sink (quoted, escaped, no trimming) read back exactly."""
     path = scratch_path(spark, "csv-scan")
-    src = fx.pairs(spark, sf_dir).withColumn("file_key", _file_key())
-    writers.write_csv(src.repartition("file_key"), path, partition_by=["file_key"])
+    writers.write_csv(fx.pairs(spark, sf_dir), path)
     return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
         "conv_id", "turn", "prompt", "response_1", "response_2")
 
 
 @query("csv_sink", fx.with_sql(["pairs"], f"""
 SELECT conv_id, turn, prompt,
-       CASE WHEN {FILE_KEY_SQL} % 2 = 0 THEN 'v2:' ELSE '' END || {sql_strip("response_1")} AS response_1,
+       CASE WHEN conv_id % 2 = 0 THEN 'v2:' ELSE '' END || {sql_strip("response_1")} AS response_1,
        {sql_strip("response_2")} AS response_2
 FROM pairs"""))
 def q_csv_sink(spark, sf_dir):
-    """K1 + K5: all pairs written per file partition, then half of the partitions written again
+    """K1 + K5: all pairs written into eight folders, then half of the partitions written again
     with new values; the dynamic overwrite replaces exactly those partitions."""
     path = scratch_path(spark, "csv-sink")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
-    writers.write_preferences(src.repartition("file_key"), path, partition_by=["file_key"])
-    second = (src.where(F.col("file_key") % 2 == 0)
+    src = _labelled_pairs(spark, sf_dir).withColumn("folder", F.pmod("conv_id", F.lit(8)))
+    writers.write_preferences(src, path, partition_by=["folder"])
+    second = (src.where(F.col("folder") % 2 == 0)
                  .withColumn("response_1", F.concat(F.lit("Response 1: v2:"), F.expr("substring(response_1, 13)"))))
-    writers.write_preferences(second.repartition("file_key"), path, mode="overwrite", partition_by=["file_key"])
+    writers.write_preferences(second, path, mode="overwrite", partition_by=["folder"])
     return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA).select(
         "conv_id", "turn", "prompt", "response_1", "response_2")
 
@@ -90,11 +88,44 @@ def q_csv_lineage(spark, sf_dir):
     path = scratch_path(spark, "csv-lineage")
     src = fx.pairs(spark, sf_dir).withColumn("file_key", _file_key())
     writers.write_csv(src.repartition("file_key"), path, partition_by=["file_key"])
-    back = csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA)
+    back = csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA, path_col="file_path")
     located = csv_src.with_lineage(back, pattern=r"/(file_key)=(\d+)/()").withColumnRenamed("context_id", "path_key")
     return located.select("conv_id", "turn", F.col("path_key").alias("file_key"))
 
 
+def _drop_of_three_layouts(spark, sf_dir, path: str) -> None:
+    """Pairs in files of three layouts: as they are, reordered, and without a column but with another one."""
+    p = _labelled_pairs(spark, sf_dir)
+    for layout, columns in enumerate((["conv_id", "turn", "prompt", "response_1", "response_2"],
+                                      ["response_2", "turn", "prompt", "conv_id", "response_1"],
+                                      ["note", "response_1", "conv_id", "prompt", "turn"])):
+        own = p.where(F.pmod("conv_id", F.lit(3)) == layout).withColumn(
+            "note", F.concat(F.lit("turn, "), F.col("turn").cast("string")))
+        writers.write_csv(own.select(*columns), f"{path}/layout={layout}")
+
+
+@query("csv_by_name", fx.with_sql(["pairs"], """
+SELECT conv_id, turn, prompt, 'Response 1: ' || response_1 AS response_1,
+       CASE WHEN conv_id % 3 < 2 THEN 'Response 2: ' || response_2 END AS response_2,
+       CASE WHEN conv_id % 3 = 2 THEN 'turn, ' || CAST(turn AS VARCHAR) END AS note FROM pairs"""))
+def q_csv_by_name(spark, sf_dir):
+    """S1 + U1: files with reordered, missing and additional columns are united by header name."""
+    path = scratch_path(spark, "csv-by-name")
+    _drop_of_three_layouts(spark, sf_dir, path)
+    return csv_src.read_preferences(spark, path, schema=KEYED_SCHEMA, additional=True).drop("layout")
+
+
+@query("stream_by_name", fx.with_sql(["pairs"], f"""
+SELECT conv_id, turn, prompt, {sql_strip("response_1")} AS chosen,
+       CASE WHEN conv_id % 3 < 2 THEN {sql_strip("response_2")} END AS rejected FROM pairs"""))
+def q_stream_by_name(spark, sf_dir):
+    """T1 + U1: the same files through the stream."""
+    drop, out, ckpt = (scratch_path(spark, name) for name in ("drop-by-name", "ingested", "ingest-ckpt"))
+    _drop_of_three_layouts(spark, sf_dir, drop)
+    ingest_preferences_stream(spark, drop, out, ckpt, schema=KEYED_SCHEMA, keep=("conv_id", "turn"))
+    return spark.read.parquet(out).select("conv_id", "turn", "prompt", "chosen", "rejected")
+
+
 # one file in ten is bad, and holds a surplus field in every other row (both by hash)
 _BAD = (f"{sql_unit32(sql_hash('badfile', 'file_key'))} < 429496729"
         f" AND {sql_unit32(sql_hash('extra', 'conv_id', 'turn'))} < 2147483648")
@@ -308,7 +339,6 @@ def q_stream_ingest(spark, sf_dir):
     drop = scratch_path(spark, "drop")
     out = scratch_path(spark, "ingested")
     ckpt = scratch_path(spark, "ingest-ckpt")
-    src = _labelled_pairs(spark, sf_dir).withColumn("file_key", _file_key())
-    writers.write_preferences(src.repartition("file_key"), drop, partition_by=["file_key"])
+    writers.write_preferences(_labelled_pairs(spark, sf_dir), drop)
     ingest_preferences_stream(spark, drop, out, ckpt, schema=KEYED_SCHEMA, keep=("conv_id", "turn"))
     return spark.read.parquet(out).select("conv_id", "turn", "prompt", "chosen", "rejected")
