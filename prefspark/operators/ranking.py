@@ -5,7 +5,8 @@
   sorted partition and position are stamped and written once to a table in the shared checkpoint
   folder (lineage cut, survives lost executors); rows per partition are counted (one row per
   partition), turned into running offsets and broadcast back. Only the offset table - one row
-  per partition - ever sits in one task.
+  per partition - ever sits in one task. Copies of one row sort as one run (row, count), whose
+  positions are a range that is dealt over tasks again.
 * ``tail_split`` (W6) needs only the n-th largest key: a bounded top-n, no global index.
 * ``flip_preferences`` (G1) needs only the k-th smallest hash: it is found by a radix selection on
   md5 prefixes (histograms with at most 16^4 buckets per level), so flipping is a narrow projection
@@ -19,10 +20,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from prefspark.functions.text import hash_hex, hash_unit32
-from prefspark.session import scratch_path
+from prefspark.plans.broadcast import small_side
+from prefspark.session import default_parallelism, scratch_path
 
+RUN_ROWS = 10_000  # from this many equal rows on, they are indexed as one run; a task expands as many at a time
 HASH_DIGITS = 64  # hex digits of a row's order: md5 of its key, md5 of the row
 TOP_ROWS = 10_000  # largest tail that is found by a bounded top-n
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | record number
@@ -38,6 +42,38 @@ def _check_keys(df: DataFrame, order_by: Sequence[str]) -> list[str]:
     return keys
 
 
+def _ties(df: DataFrame) -> list:
+    """Tiebreakers after the keys: 128 bits of hash of the whole row, so that rows sharing a key value are
+    split over range partitions by their content, and only copies of one row are equal."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*columns).alias("_tie"), F.xxhash64(F.lit(1), *columns).alias("_tie2")]
+
+
+def _runs(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` with its ties and a count ``_copies``, and whether any count is above 1: a row that occurs ``RUN_ROWS``
+    times or more comes once with its count, every other one as often as it occurs, with 1.
+
+    Which rows those are comes from one partial aggregation over their hashes, and they are collapsed by
+    another one: a row that holds a third of the table costs each task one group."""
+    tied = df.select("*", *_ties(df))
+    path = scratch_path(df.sparkSession, "row-runs")
+    tied.groupBy("_tie", "_tie2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= RUN_ROWS).write.parquet(path)
+    many = df.sparkSession.read.parquet(path)
+    if many.isEmpty():
+        return tied.withColumn("_copies", F.lit(1).cast("long")), False
+    side = small_side(many)
+    found = tied.join(side, ["_tie", "_tie2"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "_tie", "_tie2", "_n")
+    grouped = found.where(F.col("_n").isNotNull()).groupBy("_tie", "_tie2")
+    if any(isinstance(f.dataType, MapType) for f in df.schema.fields):  # maps cannot be grouped by
+        whole = grouped.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"), F.count(F.lit(1)).alias("_copies"))
+        runs = whole.select("_row.*", "_tie", "_tie2", "_copies")
+    else:
+        runs = (found.where(F.col("_n").isNotNull())
+                .groupBy(*[F.col(f"`{c}`") for c in df.columns], "_tie", "_tie2").agg(F.count(F.lit(1)).alias("_copies")))
+    single = found.where(F.col("_n").isNull()).drop("_n").withColumn("_copies", F.lit(1).cast("long"))
+    return single.unionByName(runs), True
+
+
 def indexed_with_total(df: DataFrame, order_by: Sequence[str], name: str = "row_idx"):
     """(df + 0-based ``name``, one-row DataFrame ``_n_total``); see module doc for the plan."""
     keys = _check_keys(df, order_by)
@@ -46,32 +82,48 @@ def indexed_with_total(df: DataFrame, order_by: Sequence[str], name: str = "row_
     # stamped and written ONCE to a table in the shared checkpoint folder. The stamps travel with
     # the rows, so counting and indexing read the same facts however the table is split on read,
     # and a retried write task re-sorts the same shuffle block into the same stamps.
-    # Tiebreaker after the keys: a hash of the whole row, so rows sharing a key value are still
-    # split over range partitions by their content. Deterministic on purpose (a random salt could
-    # move rows between partitions when a lost map task is recomputed after others committed).
-    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
+    # The order is deterministic on purpose (a random salt could move rows between partitions when a
+    # lost map task is recomputed after others committed).
+    rows, runs = _runs(df)
     path = scratch_path(spark, "row-index")
-    (df.select("*", tie).orderBy(*keys, "_tie")
-       .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie")
-       .write.parquet(path))
+    (rows.orderBy(*keys, "_tie", "_tie2").withColumn("_mono", F.monotonically_increasing_id())
+         .drop("_tie", "_tie2").write.parquet(path))
     pinned = spark.read.parquet(path)
     tagged = (pinned.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
                     .withColumn("_local", F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
                     .drop("_mono"))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    counts = tagged.groupBy("_part").agg(F.sum("_copies").alias("_n"))
     offsets = counts.select(
         "_part",
         F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("_n_total"))
-    out = (tagged.join(F.broadcast(offsets), "_part")
-                 .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
-                 .drop("_part", "_local", "_offset"))
-    return out, total
+    placed = tagged.join(F.broadcast(offsets), "_part")
+    at = F.col("_offset") + F.col("_local")
+    if not runs:
+        return placed.withColumn(name, at.cast("long")).drop("_part", "_local", "_offset", "_copies"), total
+    # a run before a row in its partition takes its further copies' places, too
+    ahead = (tagged.where(F.col("_copies") > 1).groupBy("_part")
+             .agg(F.collect_list(F.struct("_local", (F.col("_copies") - 1).alias("more"))).alias("_ahead")))
+    before = F.aggregate(F.filter(F.coalesce("_ahead", F.array()), lambda r: r["_local"] < F.col("_local")),
+                         F.lit(0).cast("long"), lambda total, r: total + r["more"])
+    placed = (placed.join(small_side(ahead), "_part", "left").withColumn(name, (at + before).cast("long"))
+              .drop("_part", "_local", "_offset", "_ahead"))
+    single = placed.where(F.col("_copies") == 1).drop("_copies")
+    # a run's positions are a range: dealt over the tasks in stretches, and written out there
+    last = F.col("_copies") - 1
+    dealt = (placed.where(F.col("_copies") > 1)
+             .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN_ROWS).cast("long"))))
+             .repartition(default_parallelism(spark), name, "_from"))
+    stretch = F.sequence(F.col("_from"), F.least(F.col("_from") + RUN_ROWS - 1, last))
+    copies = (dealt.withColumn("_k", F.explode(stretch)).withColumn(name, F.col(name) + F.col("_k"))
+              .drop("_copies", "_from", "_k"))
+    return single.unionByName(copies), total
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_idx") -> DataFrame:
-    """Global 0-based position of every row in ``order_by`` order (keys must be unique)."""
+    """Global 0-based position of every row in ``order_by`` order; rows that share a key go by a hash of the
+    whole row, copies of one row take consecutive positions."""
     return indexed_with_total(df, order_by, name)[0]
 
 
@@ -103,39 +155,38 @@ def split_chunks(df: DataFrame, order_by: Sequence[str], k: int, name: str = "ch
             .drop("_n_total"))
 
 
-def _key_literal(values, keys: list[str], df: DataFrame):
-    """A struct literal of ``values`` typed like ``df``'s ``keys`` (for lexicographic comparison)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, c in zip(values, keys)])
-
-
 def tail_split(df: DataFrame, order_by: Sequence[str], n: int = 100, name: str = "split",
                tail_label: str = "eval", head_label: str = "train") -> DataFrame:
     """The last ``n`` rows in key order are ``tail_label``, the rest ``head_label``.
 
-    With fewer than ``n`` rows every row is in the tail (the reference would fail there).
+    Rows that share a key go by a hash of the whole row; if the cut falls among copies of one row, only
+    their number counts. With fewer than ``n`` rows every row is in the tail (the reference would fail
+    there). The result is the same whether the cut is found by a bounded top-n or, for more than
+    ``TOP_ROWS`` rows, by position.
     """
     keys = _check_keys(df, order_by)
     if n <= 0:  # an empty tail
         return df.withColumn(name, F.lit(head_label))
+    label = lambda tail: F.when(tail, F.lit(tail_label)).otherwise(F.lit(head_label))
     if n > TOP_ROWS:  # a large tail: by position, nothing but partition counts in one task
         indexed, total = indexed_with_total(df, keys, "_row_idx")
         return (indexed.crossJoin(F.broadcast(total))
-                .withColumn(name, F.when(F.col("_row_idx") >= F.col("_n_total") - n, F.lit(tail_label))
-                            .otherwise(F.lit(head_label)))
-                .drop("_row_idx", "_n_total"))
-    key = F.struct(*[F.col(c) for c in keys])
-    # Bounded top-(n+1) (per-partition top-k, then one merge of (n+1) x partitions rows): its n-th
-    # row is the threshold; an equal (n+1)-th row would mean a duplicated key at the cut.
-    top = df.select(key.alias("_k")).orderBy(F.col("_k").desc()).limit(n + 1)
-    edge = (top.withColumn("_rn", F.row_number().over(Window.orderBy(F.col("_k").desc())))
-               .where(F.col("_rn") >= n).orderBy("_rn").select("_k").collect())
-    if not edge:  # fewer than n rows: all in the tail
+                .withColumn(name, label(F.col("_row_idx") >= F.col("_n_total") - n)).drop("_row_idx", "_n_total"))
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], *_ties(df))
+    # bounded top-n: per-partition top-k, then one merge of n x partitions keys; its last row is the cut
+    top = df.select(key.alias("_k")).orderBy(F.col("_k").desc()).limit(n)
+    cut = top.agg(F.min("_k").alias("_k"), F.count(F.lit(1)).alias("_n")).first()
+    if cut["_n"] < n:  # fewer than n rows: all in the tail
         return df.withColumn(name, F.lit(tail_label))
-    if len(edge) > 1 and edge[0][0] == edge[1][0]:
-        raise ValueError("the order key is not unique at the hold-out boundary; add a tiebreaker column")
-    thr = _key_literal(list(edge[0][0]), keys, df)
-    return df.withColumn(name, F.when(key >= thr, F.lit(tail_label)).otherwise(F.lit(head_label)))
+    at = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                    for v, f in zip(cut["_k"], top.schema["_k"].dataType.fields, strict=True)])
+    above, held = df.agg(F.count_if(key > at), F.count_if(key == at)).first()
+    if above + held == n:
+        return df.withColumn(name, label(key >= at))
+    copy = df.where(key == at).limit(1)
+    copies = df.sparkSession.range(held).select((F.col("id") < n - above).alias("_tail"))
+    return (df.where(key != at).withColumn(name, label(key > at))
+            .unionByName(copies.crossJoin(F.broadcast(copy)).withColumn(name, label(F.col("_tail"))).drop("_tail")))
 
 
 def _kth_smallest(hashed: DataFrame, k: int, digits: int = 4, leaf_rows: int = 100_000,

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from prefspark.functions._util import as_col
 from prefspark.functions.text import hash_unit32, words
@@ -28,23 +29,25 @@ def tokenize(df: DataFrame, text_col: str, keys: Sequence[str] = (), vocab_size:
     """Drop all source columns except ``keys`` and add ``input_ids`` (array<int>).
 
     ``tokenizer`` is a *factory*: it is called once per partition inside the worker and returns a
-    function from a list of texts to a list of id lists (same length).
+    function from a list of texts to a list of id lists (same length). A NULL text is not sent to it and
+    keeps NULL ids, as with the built-in tokenizer.
     """
     if tokenizer is None:
         return df.select(*keys, whitespace_token_ids(text_col, vocab_size).alias("input_ids"))
 
     ship_package(df.sparkSession)
-    key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
-    schema = ", ".join(key_fields + ["input_ids array<int>"])
+    schema = StructType([*df.select(*keys).schema.fields, StructField("input_ids", ArrayType(IntegerType()))])
 
     def run(batches):
         encode = tokenizer()
         for pdf in batches:
-            ids = encode(pdf[text_col].tolist())
-            if len(ids) != len(pdf):
+            asked = pdf[text_col][pdf[text_col].notna()]
+            ids = encode(asked.tolist()) if len(asked) else []
+            if len(ids) != len(asked):
                 raise ValueError("tokenizer returned a different number of rows")
             out = pdf[list(keys)].copy()
-            out["input_ids"] = pd.Series([list(map(int, x)) for x in ids], index=pdf.index, dtype=object)
+            found = pd.Series([list(map(int, x)) for x in ids], index=asked.index, dtype=object)
+            out["input_ids"] = found.reindex(pdf.index).where(pdf[text_col].notna(), None)
             yield out
 
-    return df.select(*keys, text_col).mapInPandas(run, schema)
+    return df.select(*keys, *([] if text_col in keys else [text_col])).mapInPandas(run, schema)

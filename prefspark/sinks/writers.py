@@ -39,17 +39,26 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     _writer(df, mode, partition_by).parquet(path)
 
 
+def clustered(df: DataFrame, folders: Sequence[str]) -> DataFrame:
+    """``df`` rebalanced by its folders before a partitioned write: small folders come together in one task and
+    large ones are split by bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so that the number of files of a
+    folder follows its size and not the number of tasks."""
+    return df.hint("rebalance", *folders)
+
+
 def write_outputs(df: DataFrame, base: str, mode: str = "overwrite") -> None:
     """K3: one folder per (model, dataset), names made path-safe ('/' -> '_'); later reads of a
     single (model, dataset) prune to that folder."""
+    folders = ("model_dir", "dataset_dir")
     out = (df.withColumn("model_dir", path_name("model"))
              .withColumn("dataset_dir", path_name("dataset")))
-    write_parquet(out, base, mode, ("model_dir", "dataset_dir"))
+    write_parquet(clustered(out, folders), base, mode, folders)
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4: named evaluation metrics as JSON lines (one small file)."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """K4: named evaluation metrics as JSON lines. Metrics are made by aggregates and come in one file by
+    themselves; a larger frame is written in as many files as it has tasks."""
+    df.write.mode(mode).json(path)
 
 
 def metrics_long(df: DataFrame) -> DataFrame:

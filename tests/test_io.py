@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from prefspark.sinks import writers
 from prefspark.sources import csv as csv_src
 from prefspark.sources.datasets import read_dataset
@@ -96,6 +98,26 @@ def test_partitioned_overwrite_is_dynamic(spark, tmp_dir):
     assert sorted((r["model"], r["row_id"]) for r in back.collect()) == [("org/m1", 2), ("org/m2", 1)]
 
 
+def test_files_of_a_folder_follow_its_size(spark, tmp_dir):
+    """200 tasks hold rows of every folder; small folders get one file, the large one as many as its bytes need."""
+    path = os.path.join(tmp_dir, "outs")
+    df = spark.range(0, 40_000, 1, 200).select(
+        F.when(F.col("id") % 2 == 0, "big/model").otherwise(F.concat(F.lit("m"), (F.col("id") % 9).cast("string"))).alias("model"),
+        F.lit("d").alias("dataset"), F.col("id").alias("row_id"),
+        F.sha2(F.col("id").cast("string"), 512).alias("generated_text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "600k")
+        writers.write_outputs(df, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {d: len([f for _, _, fs in os.walk(os.path.join(path, d)) for f in fs if f.endswith(".parquet")])
+             for d in os.listdir(path) if d.startswith("model_dir=")}
+    big = files.pop("model_dir=big_model")
+    assert len(files) == 9 and max(files.values()) <= 2 and 2 <= big <= 20
+    assert spark.read.parquet(path).count() == 40_000
+
+
 def test_metrics_sink(spark, tmp_dir):
     df = spark.createDataFrame([(0.5, 1.25)], "accuracy double, loss double")
     path = os.path.join(tmp_dir, "m")

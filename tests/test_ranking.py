@@ -50,11 +50,10 @@ def test_flip_matches_global_hash_rank(spark):
 
 def test_radix_selection_descends_levels(spark):
     """With a tiny leaf size the selection has to narrow the prefix over several levels."""
-    base = _pairs(spark, 500).withColumn("_h", F.md5(F.concat_ws(":", F.lit("9"), "k", "i")))
+    base = _pairs(spark, 500).withColumn("_h", F.concat(F.md5(F.concat_ws(":", "k", "i")), F.md5("prompt")))
+    order = sorted(r["_h"] for r in base.collect())
     for k in (1, 137, 500):
-        got = ranking._kth_smallest(base, ["k", "i"], k, digits=1, leaf_rows=3)
-        want = sorted((r["_h"], r["k"], r["i"]) for r in base.collect())[k - 1]
-        assert tuple(got) == want
+        assert ranking._kth_smallest(base, k, digits=1, leaf_rows=3) == (order[k - 1], k - 1, 1)
 
 
 def test_approx_flip_share(spark):
@@ -115,19 +114,74 @@ def test_row_index_with_copies_of_one_key(spark):
     assert sorted(r["row_idx"] for r in out if r["k"] == 0) == list(range(200))
 
 
-def test_flip_refuses_duplicated_keys(spark):
+def test_flip_among_copies_counts_them(spark):
     rows = [(1, 1, "p", "c", "r")] * 50
     df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string")
-    with pytest.raises(ValueError, match="unique"):
-        ranking.flip_preferences(df, 0.5, ["k", "i"])
-
-
-def test_tail_split_refuses_tie_at_boundary(spark):
-    rows = [(1, 1, "p", "c", "r")] * 3 + [(i, i, "p", "c", "r") for i in range(2, 10)]
-    df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string")
-    with pytest.raises(ValueError, match="not unique"):
-        ranking.tail_split(df, ["k", "i"], 9)
-    assert ranking.tail_split(df, ["k", "i"], 8).where("split = 'eval'").count() == 8
+    out = ranking.flip_preferences(df, 0.5, ["k", "i"]).collect()
+    assert len(out) == 50 and sorted((r["chosen"], r["flipped"]) for r in out) == [("c", False)] * 25 + [("r", True)] * 25
+
+
+COPIES = [(1, 1, "p", "c", "r")] * 30 + [(i, i, f"p{i}", "c", "r") for i in range(2, 10)] + [(5, 5, f"q{j}", "c", None) for j in range(20)]
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 7, 24, 25, 29, 40, 57, 58, 90])
+def test_tail_split_among_equal_keys_is_one_result(spark, monkeypatch, n):
+    """Ties go by the row, copies by number; a bounded top-n and the way by position agree."""
+    df = spark.createDataFrame(COPIES, "k long, i long, prompt string, chosen string, rejected string").repartition(5)
+    results = []
+    for top_rows in (10_000, 0):
+        monkeypatch.setattr(ranking, "TOP_ROWS", top_rows)
+        out = ranking.tail_split(df, ["k"], n).collect()
+        assert sorted(map(str, (r[:5] for r in out))) == sorted(map(str, COPIES))
+        results.append(sorted(str(r) for r in out))
+        assert sum(r["split"] == "eval" for r in out) == min(n, len(COPIES))
+    assert results[0] == results[1]
+
+
+def _spread(df):
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("maps", [False, True])
+def test_row_index_of_runs(spark, monkeypatch, maps):
+    """A third of the rows are copies of one row, others occur 60 times: equal to ``row_number`` on the
+    distinct rows, copies in a row, and no task with more than its share."""
+    monkeypatch.setattr(ranking, "RUN_ROWS", 50)
+    rows = ([(7, 3, "hot", "c", "r")] * 1000 + [(k, 1, "warm", "c", "r") for k in (2, 7, 900) for _ in range(60)]
+            + [(i % 40, i, f"p{i}", "c", "r") for i in range(1900)] + [(None, None, None, None, None)] * 51)
+    df = spark.createDataFrame(rows, "k long, i long, prompt string, chosen string, rejected string").repartition(8)
+    if maps:
+        df = df.withColumn("m", F.create_map(F.lit("a"), "i"))
+        spark.conf.set("spark.sql.legacy.allowHashOnMapType", "true")
+    try:
+        indexed, total = ranking.indexed_with_total(df, ["k", "i"])
+        out = indexed.collect()
+        spread = _spread(indexed.where("prompt = 'hot'"))
+    finally:
+        spark.conf.unset("spark.sql.legacy.allowHashOnMapType")
+    assert sorted(r["row_idx"] for r in out) == list(range(len(rows))) and total.first()[0] == len(rows)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or 0)
+    assert [key(r) for r in sorted(out, key=lambda r: r["row_idx"])] == sorted(map(key, rows))
+    places = sorted(r["row_idx"] for r in out if r["prompt"] == "hot")
+    assert places == list(range(places[0], places[0] + 1000))
+    assert spread < 0.45  # 20 stretches of 50 copies, dealt by hash over 8 tasks
+
+
+def test_row_index_without_runs_has_no_further_join(spark):
+    text = plan_text(ranking.with_row_index(_pairs(spark, 50), ["k", "i"]))
+    assert text.count("Join") == 1 and "Generate" not in text
+
+
+@pytest.mark.parametrize("n", [10, 1000, 1024])
+def test_batches_chunks_and_tail_over_runs(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "RUN_ROWS", 50)
+    df = spark.createDataFrame([(1, "same")] * 700 + [(k, f"p{k}") for k in range(324)], "k long, prompt string")
+    batches = ranking.assign_batches(df, ["k"], 8).groupBy("batch_id").count().collect()
+    assert len(batches) == 128 and {r["count"] for r in batches} == {8}
+    chunks = ranking.split_chunks(df, ["k"], 3).groupBy("chunk").count().orderBy("chunk").collect()
+    assert [r["count"] for r in chunks] == [342, 341, 341]
+    assert ranking.tail_split(df, ["k"], n).where("split = 'eval'").count() == n
 
 
 @pytest.mark.parametrize("parts", [1, 4, 13])

@@ -97,3 +97,16 @@ def test_truncate_and_pad_like_python(spark, arrays, n):
         assert row["p"] == [0] * max(n - len(a), 0) + a
         assert row["e"] == (1.0 if 7 in a else 0.0)
         assert (row["m"] is None) if not a else abs(row["m"] - sum(a) / len(a)) < 1e-9
+
+
+def test_tokenize_keeps_null_texts_on_both_paths(spark):
+    from prefspark.operators.tokenize import tokenize
+    _lengths = lambda: lambda texts: [[len(w) for w in t.split()] for t in texts]
+    df = spark.createDataFrame([(1, "a bb"), (2, None), (3, ""), (None, "ccc")], "`odd key` long, text string")
+    for extra in (df, df.where("text is null")):
+        by_backend = {r[0]: r[1] for r in tokenize(extra, "text", ["odd key"], tokenizer=_lengths).collect()}
+        built_in = {r[0]: r[1] for r in tokenize(extra, "text", ["odd key"]).collect()}
+        assert by_backend.keys() == built_in.keys() and by_backend[2] is None and built_in[2] is None
+    assert by_backend == {2: None}
+    assert {r[0]: r[1] for r in tokenize(df, "text", ["odd key"], tokenizer=_lengths).collect()} == {
+        1: [1, 2], 2: None, 3: [], None: [3]}
