@@ -14,6 +14,9 @@ Model calls are expensive and may sample, so each is made once: a job writes the
 answers to the shared folder (or a caller's ``path``) and everything after reads them from there.
 The number of tasks follows the number of calls, not the bytes of the rows. A NULL text is not sent
 to the backend and a NULL model is not loaded: the row stays, with a NULL answer.
+
+With ``ledger`` (a folder), a job's answers are kept there by request: equal requests are sent once, and a
+job that broke goes on where it was (see ``ledger``).
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql.types import StructField, StructType
 
 from prefspark.functions import templates as T
 from prefspark.functions.text import parse_preference, reward_input
+from prefspark.operators.ledger import answered
 from prefspark.operators.preferences import (explode_generated, generation_keys, strip_response_labels,
                                              with_constitution, with_domain)
 from prefspark.plans.broadcast import small_side
@@ -91,8 +95,12 @@ def resolve_backend(backend: str | Backend) -> Backend:
 
 def map_batches(df: DataFrame, text_col: str, out_col: str, out_type: str, backend: str | Backend,
                 batch_size: int, carry: Sequence[str] = (), model_col: str | None = None,
-                default_model: str = "default") -> DataFrame:
-    """Run ``backend`` over ``text_col`` in batches; output = ``carry`` columns + ``out_col``."""
+                default_model: str = "default", window: int = 1) -> DataFrame:
+    """Run ``backend`` over ``text_col`` in batches; output = ``carry`` columns + ``out_col``.
+
+    Rows that do not fill a batch wait for the next Arrow frame, so every call of a task and model has
+    ``batch_size`` texts but its last one. With ``window`` above 1, that many batches are gathered and
+    dealt by text length, so that texts of a batch are padded to less."""
     factory = resolve_backend(backend)
     ship_package(df.sparkSession)
     carry = list(carry)
@@ -102,30 +110,51 @@ def map_batches(df: DataFrame, text_col: str, out_col: str, out_type: str, backe
     fields = [f for f in in_df.schema.fields if f.name in carry]
     out_schema = StructType([StructField(f.name, f.dataType, f.nullable) for f in fields]
                             + [StructField(out_col, _parse_type(out_type), True)])
+    gathered = batch_size * max(window, 1)
 
-    def run(batches):
+    def run(frames):
         models: dict[str, Callable] = {}
-        for pdf in batches:
+        waiting: dict[str, pd.DataFrame] = {}  # of each model: rows that do not fill their batches yet
+
+        def results(model, rows):
+            if model not in models:
+                models[model] = factory(model)
+            texts = rows[text_col].tolist()
+            order = sorted(range(len(texts)), key=lambda k: len(texts[k])) if window > 1 else range(len(texts))
+            found: list = [None] * len(texts)
+            for start in range(0, len(texts), batch_size):
+                chunk = order[start:start + batch_size]
+                result = list(models[model]([texts[k] for k in chunk]))
+                if len(result) != len(chunk):
+                    raise ValueError(f"backend returned {len(result)} outputs for {len(chunk)} inputs")
+                for k, answer in zip(chunk, result):
+                    found[k] = answer
+            return found
+
+        def answered(model, rows):
+            out = rows[carry].copy()
+            out[out_col] = pd.Series(results(model, rows), index=rows.index)
+            return out
+
+        for pdf in frames:
+            pdf = pdf.reset_index(drop=True)
             groups = pdf.groupby(model_col, sort=False, dropna=False) if model_col else [(default_model, pdf)]
-            pieces = []
             for model, part in groups:
-                asked = part.loc[part[text_col].notna()] if isinstance(model, str) else part.iloc[:0]
-                if len(asked) and model not in models:
-                    models[model] = factory(model)
-                texts = asked[text_col].tolist()
-                results: list = []
-                for start in range(0, len(texts), batch_size):
-                    chunk = texts[start:start + batch_size]
-                    result = list(models[model](chunk))
-                    if len(result) != len(chunk):
-                        raise ValueError(f"backend returned {len(result)} outputs for {len(chunk)} inputs")
-                    results.extend(result)
-                out = part[carry].copy()
-                out[out_col] = pd.Series(results, index=asked.index, dtype=object if not len(results) else None
-                                         ).reindex(part.index)
-                pieces.append(out)
-            if pieces:  # one output frame per Arrow batch
-                yield pieces[0] if len(pieces) == 1 else pd.concat(pieces)
+                sent = part[text_col].notna() if isinstance(model, str) else pd.Series(False, index=part.index)
+                if not sent.all():
+                    out = part.loc[~sent, carry].copy()
+                    out[out_col] = pd.Series([None] * len(out), index=out.index, dtype=object)
+                    yield out
+                rows = part.loc[sent]
+                if model in waiting:
+                    rows = pd.concat([waiting.pop(model), rows], ignore_index=True)
+                full = len(rows) - len(rows) % gathered
+                if full:
+                    yield answered(model, rows.iloc[:full])
+                if len(rows) > full:
+                    waiting[model] = rows.iloc[full:]
+        for model, rows in waiting.items():
+            yield answered(model, rows)
 
     return in_df.mapInPandas(run, out_schema)
 
@@ -147,12 +176,30 @@ def write_once(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def call_once(df: DataFrame, text_col: str, out_col: str, out_type: str, backend: str | Backend, batch_size: int,
+              carry: Sequence[str], name: str, path: str | None = None, ledger: str | None = None,
+              model_col: str | None = None, per: Sequence[str] = ()) -> DataFrame:
+    """``carry`` and the backend's answers as a written table; through ``ledger`` if there is one, where rows that
+    agree in text, model and the columns ``per`` are one request."""
+    if ledger is None:
+        return write_once(map_batches(df, text_col, out_col, out_type, backend, batch_size, carry, model_col), name, path)
+    named = backend if isinstance(backend, str) else getattr(backend, "__qualname__", type(backend).__qualname__)
+    model = F.col(f"`{model_col}`") if model_col else F.lit(named)
+
+    def call(requests: DataFrame) -> DataFrame:
+        return map_batches(requests, "text", "answer", out_type, backend, batch_size, carry=["request"],
+                           model_col="model" if model_col else None).select("request", "answer")
+    found = answered(df, text_col, out_col, out_type, call, batch_size, ledger, model, per)
+    return write_once(found.select(*[F.col(f"`{c}`") for c in carry], out_col), name, path)
+
+
 # ------------------------------------------------------------------ jobs
 
 def judge_preferences(df: DataFrame, constitutions: DataFrame, backend: str | Backend = "stub-judge",
                       template: str = "v1", batch_size: int = 8,
                       carry: Sequence[str] = ("prompt", "response_1", "response_2"),
-                      num_partitions: int | None = None, path: str | None = None) -> DataFrame:
+                      num_partitions: int | None = None, path: str | None = None,
+                      ledger: str | None = None) -> DataFrame:
     """M1: X5 judge prompt (with J5) -> backend -> X4 parse -> ``preference`` (0, 1 or NULL). A row whose
     prompt is NULL (a missing response or constitution) is not judged: NULL text and preference."""
     spread = df.repartition(num_partitions or call_tasks(df, batch_size * 500))
@@ -160,48 +207,50 @@ def judge_preferences(df: DataFrame, constitutions: DataFrame, backend: str | Ba
     prompts = joined.withColumn("_judge_prompt", T.judge_prompt("constitution", "prompt", "response_1",
                                                                  "response_2", template))
     keep = [c for c in df.columns if c not in carry] + list(carry)
-    answered = write_once(map_batches(prompts, "_judge_prompt", "generated_text", "string", backend, batch_size,
-                                      carry=keep), "judged", path)
-    return answered.withColumn("preference", parse_preference("generated_text"))
+    judged = call_once(prompts, "_judge_prompt", "generated_text", "string", backend, batch_size, keep, "judged",
+                       path, ledger)
+    return judged.withColumn("preference", parse_preference("generated_text"))
 
 
 def generate_preferences(grid: DataFrame, backend: str | Backend = "stub-generator", n: int = 20,
                          batch_size: int = 16, keys: Sequence[str] = ("constitution_id", "context_id", "run_id"),
-                         num_partitions: int | None = None, path: str | None = None):
+                         num_partitions: int | None = None, path: str | None = None,
+                         ledger: str | None = None):
     """M2: one generator call per (constitution, context, run); JSON -> rows (X14/P5) -> labels
     stripped (X1). Returns ``(rows, rejects)``, both read from the one written table of answers.
 
     Each grid cell is one generator request; a backend receives up to ``batch_size`` requests at
     once (and may send them concurrently). ``grid`` holds the keys with ``text`` and ``domain``; the
-    cells are hash-spread by their keys.
+    cells are hash-spread by their keys. In a ledger, cells of equal prompts are requests of their own.
     """
     parts = num_partitions or call_tasks(grid.select(*keys), batch_size * 250)
     prompts = (grid.repartition(parts, *keys)
                    .withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n))))
-    raw = write_once(map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=list(keys)),
-                     "generated", path)
+    raw = call_once(prompts, "_gen_prompt", "raw", "string", backend, batch_size, list(keys), "generated", path,
+                    ledger, per=keys)
     rows, rejects = explode_generated(raw, "raw", keep=list(keys))
     return strip_response_labels(rows), rejects
 
 
 def generate_from_constitutions(constitutions: DataFrame, backend: str | Backend = "stub-generator", n: int = 20,
                                 runs: int = 200, batch_size: int = 16, num_partitions: int | None = None,
-                                path: str | None = None):
+                                path: str | None = None, ledger: str | None = None):
     """J7 + M2: the cells' keys are spread over the tasks first, and their texts attached there."""
     keys = ["constitution_id", "context_id", "run_id"]
     cells = generation_keys(constitutions, runs)
     cells = cells.repartition(num_partitions or call_tasks(cells, batch_size * 250), *keys)
     grid = with_domain(with_constitution(cells, constitutions, text_col="text"))
     prompts = grid.withColumn("_gen_prompt", T.generator_prompt("text", "domain", F.lit(n)))
-    raw = write_once(map_batches(prompts, "_gen_prompt", "raw", "string", backend, batch_size, carry=keys),
-                     "generated", path)
+    raw = call_once(prompts, "_gen_prompt", "raw", "string", backend, batch_size, keys, "generated", path, ledger,
+                    per=keys)
     rows, rejects = explode_generated(raw, "raw", keep=keys)
     return strip_response_labels(rows), rejects
 
 
 def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend = "stub-policy",
                      batch_size: int = 256, num_partitions: int | None = None,
-                     include_prompt: bool = True, path: str | None = None) -> DataFrame:
+                     include_prompt: bool = True, path: str | None = None,
+                     ledger: str | None = None) -> DataFrame:
     """M3: outputs of every model on the prompts of each dataset it is evaluated on (J2 grid).
 
     ``prompts``: (dataset, row_id, prompt); ``grid``: (model, dataset) and, if there, the dataset's
@@ -214,10 +263,9 @@ def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend
     extra = ["reward_model"] if "reward_model" in grid.columns else []
     work = prompts.join(small_side(grid.select("model", "dataset", *extra).distinct()), "dataset")
     parts = num_partitions or call_tasks(work.select("model"), batch_size * 40)
-    out = write_once(map_batches(work.repartitionByRange(parts, "model", "dataset", "row_id"), "prompt",
-                                 "generated_text", "string", backend, batch_size,
-                                 carry=["model", "dataset", "row_id", "prompt", *extra], model_col="model"),
-                     "outputs", path)
+    out = call_once(work.repartitionByRange(parts, "model", "dataset", "row_id"), "prompt", "generated_text", "string",
+                    backend, batch_size, ["model", "dataset", "row_id", "prompt", *extra], "outputs", path, ledger,
+                    model_col="model")
     if include_prompt:  # like a decoded full sequence: the text starts with the prompt
         return out
     gen, prompt = F.col("generated_text"), F.col("prompt")
@@ -227,7 +275,7 @@ def generate_outputs(prompts: DataFrame, grid: DataFrame, backend: str | Backend
 
 def score_outputs(outputs: DataFrame, backend: str | Backend = "stub-reward", batch_size: int = 256,
                   reward_model_col: str | None = "reward_model", num_partitions: int | None = None,
-                  path: str | None = None) -> DataFrame:
+                  path: str | None = None, ledger: str | None = None) -> DataFrame:
     """M4: reward of prompt + output (X8) per row, by the row's own reward model (that of its
     dataset) where ``outputs`` names one; a row without a reward model keeps a NULL reward."""
     texts = outputs.withColumn("_reward_text", reward_input("prompt", "generated_text"))
@@ -235,7 +283,7 @@ def score_outputs(outputs: DataFrame, backend: str | Backend = "stub-reward", ba
     order = [c for c in (own, "model", "dataset", "row_id") if c]
     parts = num_partitions or call_tasks(outputs.select("model"), batch_size * 40)
     carry = ["model", "dataset", "row_id"]
-    scored = write_once(map_batches(texts.repartitionByRange(parts, *order), "_reward_text", "reward", "double",
-                                    backend, batch_size, carry=carry, model_col=own), "scores", path)
+    scored = call_once(texts.repartitionByRange(parts, *order), "_reward_text", "reward", "double", backend, batch_size,
+                       carry, "scores", path, ledger, model_col=own)
     # backends return NULL, never NaN (Spark orders NaN above every number)
     return scored.select(*carry, F.nanvl(F.col("reward"), F.lit(None).cast("double")).alias("reward"))

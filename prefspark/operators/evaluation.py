@@ -136,3 +136,23 @@ def pad_to_longest(df: DataFrame, ids: str, order_by: Sequence[str], batch_size:
     longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
     return (batched.withColumn("batch_len", longest.cast("int"))
                    .withColumn(name, pad_left(ids, F.col("batch_len"), pad_id)))
+
+
+def padding_cost(df: DataFrame, length: str, order_by: Sequence[str], batch_size: int, window: int = 32) -> DataFrame:
+    """What batches cost in padding, as they come and dealt by length.
+
+    (way, n_batches, n_tokens, n_padding): every text of a batch is padded to its longest. ``as_they_come`` are the
+    batches in key order; ``by_length`` deals the texts of every ``window`` consecutive batches by length first, as
+    ``map_batches(.., window=..)`` does. Windows are ``window * batch_size`` rows; NULL lengths count as 0."""
+    batched = assign_batches(df.select(*order_by, F.coalesce(F.col(length), F.lit(0)).cast("long").alias("_len")),
+                             order_by, batch_size)
+    group = F.floor(F.col("batch_id") / F.lit(window)).cast("long")
+    place = F.row_number().over(Window.partitionBy("_window").orderBy("_len", "row_idx")) - 1
+    dealt = batched.withColumn("_window", group).select(
+        "_len", "batch_id", (F.col("_window") * window + F.floor(place / F.lit(batch_size))).cast("long").alias("dealt"))
+    both = dealt.select("_len", F.explode(F.create_map(F.lit("as_they_come"), "batch_id", F.lit("by_length"), "dealt"))
+                        .alias("way", "batch"))
+    batches = both.groupBy("way", "batch").agg(F.max("_len").alias("longest"), F.sum("_len").alias("tokens"),
+                                               F.count(F.lit(1)).alias("rows"))
+    return batches.groupBy("way").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("tokens").alias("n_tokens"),
+                                      F.sum(F.col("longest") * F.col("rows") - F.col("tokens")).alias("n_padding"))

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions import templates as T
-from prefspark.functions.text import hash_hex, hash_unit32
-from prefspark.operators import batch, evaluation, metrics, reward_model, tokenize
+from prefspark.functions.text import hash_hex, hash_unit32, word_count
+from prefspark.operators import batch, evaluation, grid_state, metrics, reward_model, tokenize
 from prefspark.plans import fixtures as fx
-from prefspark.plans.catalog import (ORACLE, _grid_sql, _tasks, query, r6, sql_hash, sql_strip, sql_unit32,
-                                     sql_wc)
+from prefspark.plans.catalog import (FLIP_RATIO, JUDGE_BATCH, ORACLE, _grid_sql, _tasks, query, r6, sql_hash, sql_strip,
+                                     sql_unit32, sql_wc)
 from prefspark.session import scratch_path
 from prefspark.sinks import writers
 from prefspark.sources import csv as csv_src
@@ -23,6 +23,7 @@ from prefspark.sources.datasets import read_dataset
 from prefspark.sources.tables import read_table
 from prefspark.sources.text import read_constitutions
 from prefspark.streaming.ingest import ingest_preferences_stream
+from prefspark.streaming.judged import judge_stream
 
 KEYED_SCHEMA = "conv_id long, turn long, prompt string, response_1 string, response_2 string"
 FILE_CONVERSATIONS = 10  # conversations per drop file of a written fixture: more data, more files
@@ -209,6 +210,33 @@ def q_judge_job(spark, sf_dir):
                                    backend="stub-judge", template="v1", batch_size=8)
 
 
+@query("judge_resume", ORACLE["judge_job"])
+def q_judge_resume(spark, sf_dir):
+    """M1 with a ledger: a first run judges half of the pairs, the second all, asking only for what is missing."""
+    ledger = scratch_path(spark, "judge-ledger")
+    pairs, consts = fx.pairs_with_constitution(spark, sf_dir), fx.constitutions(spark, sf_dir)
+    batch.judge_preferences(pairs.where(F.col("conv_id") % 2 == 0), consts, ledger=ledger)
+    return batch.judge_preferences(pairs, consts, ledger=ledger)
+
+
+PADDING_WINDOW = 32  # batches that are dealt by length together
+
+
+@query("padding_cost", f"""
+WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, coalesce({sql_wc("text")}, 0) AS len FROM documents)
+, w AS (SELECT idx, len, idx // {JUDGE_BATCH} AS batch, idx // {JUDGE_BATCH * PADDING_WINDOW} AS win FROM l)
+, d AS (SELECT len, batch, win * {PADDING_WINDOW}
+               + (row_number() OVER (PARTITION BY win ORDER BY len, idx) - 1) // {JUDGE_BATCH} AS dealt FROM w)
+, b AS (SELECT 'as_they_come' AS way, batch, max(len) AS longest, sum(len) AS tokens, count(*) AS n FROM d GROUP BY batch
+        UNION ALL SELECT 'by_length', dealt, max(len), sum(len), count(*) FROM d GROUP BY dealt)
+SELECT way, count(*) AS n_batches, CAST(sum(tokens) AS BIGINT) AS n_tokens,
+       CAST(sum(longest * n - tokens) AS BIGINT) AS n_padding FROM b GROUP BY way""")
+def q_padding_cost(spark, sf_dir):
+    """W7 + W10: tokens and padding of the documents' judge batches, in key order and dealt by length."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("n_words"))
+    return evaluation.padding_cost(docs, "n_words", ["doc_id"], JUDGE_BATCH, PADDING_WINDOW)
+
+
 GEN_RUNS = 200  # FIXED VALUE: runs per (constitution, context), as in the generation grid
 
 
@@ -309,6 +337,15 @@ def q_eval_chain_job(spark, sf_dir):
     return m.withColumn("avg_reward", r6("avg_reward"))
 
 
+@query("grid_increment", ORACLE["eval_chain_job"])
+def q_grid_increment(spark, sf_dir):
+    """S7 + J4 + M3 + M4: the matrix of the first four tasks, then of all: only the fifth's cells are computed then."""
+    state, tasks, prompts = scratch_path(spark, "grid"), _tasks(spark), _eval_prompts(spark, sf_dir)
+    grid_state.refresh(tasks.where(F.col("idx") < fx.N_TASKS - 1), prompts, state)
+    m = grid_state.refresh(tasks, prompts, state)
+    return m.withColumn("avg_reward", r6("avg_reward"))
+
+
 def _md5_tokenizer():
     import hashlib as _h
 
@@ -342,3 +379,19 @@ def q_stream_ingest(spark, sf_dir):
     writers.write_preferences(_labelled_pairs(spark, sf_dir), drop)
     ingest_preferences_stream(spark, drop, out, ckpt, schema=KEYED_SCHEMA, keep=("conv_id", "turn"))
     return spark.read.parquet(out).select("conv_id", "turn", "prompt", "chosen", "rejected")
+
+
+@query("judged_stream", ORACLE["judge_job"].replace(
+    "SELECT conv_id, turn, constitution_id, prompt, response_1, response_2, generated_text,", f"""
+, h AS (SELECT *, {sql_unit32(sql_hash("42", "conv_id", "turn"))} < {FLIP_RATIO}::DOUBLE * 4294967296 AS flipped,
+               {sql_strip("response_1")} AS s1, {sql_strip("response_2")} AS s2 FROM a)
+SELECT conv_id, turn, constitution_id, prompt, CASE WHEN flipped THEN s2 ELSE s1 END AS chosen,
+       CASE WHEN flipped THEN s1 ELSE s2 END AS rejected, flipped, generated_text,""").replace("END AS preference FROM a", "END AS preference FROM h"))
+def q_judged_stream(spark, sf_dir):
+    """T1 + M1 + G2: pairs dropped as files, judged as they arrive with a ledger, cleaned and flipped by hash."""
+    drop, out, ckpt, ledger = (scratch_path(spark, n) for n in ("drop", "judged", "judge-ckpt", "judge-ledger"))
+    writers.write_csv(fx.pairs_with_constitution(spark, sf_dir), drop)
+    judge_stream(spark, drop, fx.constitutions(spark, sf_dir), out, ckpt, ledger,
+                 schema="constitution_id long, " + KEYED_SCHEMA, flip_ratio=FLIP_RATIO, flip_key=("conv_id", "turn"),
+                 keep=("conv_id", "turn", "constitution_id"))
+    return spark.read.parquet(out).drop("batch", "source_file")
