@@ -11,6 +11,7 @@ from prefspark.session import scratch_path, ship_package
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
 FILE_ROWS_BITS = 40  # of a row's number: its place in its file
+PLACE_FILTER_BITS = 1 << 25  # 4 MB
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,37 @@ def placed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
         *[F.col(f"`{c}`") for c in docs.columns], (F.col(place) + F.col(own)).alias(own)), own
 
 
+class Tables:
+    """Scratch tables of one job by name, each deleted once its last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        return save(df, name, path=self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))
+
+
+def split_by_filter(rows: DataFrame, own: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose number ``own`` may be among ``values`` (column ``own``), and those for which it
+    is certainly not. The test is a bit filter of ``PLACE_FILTER_BITS`` bits, whatever the input: what is certain
+    needs no exchange, and the few that are not can be joined exactly."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACE_FILTER_BITS)) + 1  # noqa: E731  (buckets count from 1)
+    bucket, bits = f"{own}bucket", f"{own}bits"
+    filled = save(values.select(F.bitmap_bucket_number(slot(own)).alias(bucket), F.bitmap_bit_position(slot(own)).alias("at"))
+                  .groupBy(bucket).agg(F.bitmap_construct_agg("at").alias(bits)), "filter")
+    at = F.bitmap_bit_position(slot(own))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn(bucket, F.bitmap_bucket_number(slot(own))).join(F.broadcast(filled), bucket, "left")
+    maybe = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return tested.where(maybe).drop(bucket, bits), tested.where(~maybe).drop(bucket, bits)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in the Python workers."""
     ship_package(spark)

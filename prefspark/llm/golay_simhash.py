@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import placed_rows, prepare, save, text_or_empty
+from prefspark.llm.common import placed_rows, prepare, save, split_by_filter, text_or_empty
 from prefspark.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -202,5 +202,11 @@ def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: in
     ids = placed.select(own, F.col("doc_id").alias("__id"))
     best = (found.join(ids, own).groupBy("component_id")
             .agg(F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"),
-                                F.col(own).alias("r")))["r"].alias(own)))
-    return placed.join(save(best.select(own), "golay-kept"), own, "left_semi").select(*docs.columns)
+                                F.col(own).alias("r")))["r"].alias("best"), F.count("*").alias("n"))
+            .where("n > 1").select("component_id", "best"))
+    gone = save(found.join(best, "component_id").where(F.col(own) != F.col("best")).select(own), "golay-gone")
+    maybe, stays = split_by_filter(placed, own, gone)
+    # always by exchange, of the rows that the filter leaves: one plan at every size
+    kept = maybe.join(gone.hint("merge"), own, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).union(stays.select(*columns))
