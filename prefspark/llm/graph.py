@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import save
+from prefspark.llm.common import remove, save
+from prefspark.session import scratch_path
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -38,13 +39,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns ``a``, ``b``; either direction, loops and
     repeats allowed) but the roots; the root is the component's smallest node."""
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, name)
     current = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                   .where("a <> b").distinct(), name)
+                   .where("a <> b").distinct(), name, path=path)
     state = _fingerprint(current)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        current = save(_small_star(_large_star(current)), name)
+        former, path = path, scratch_path(spark, name)
+        current = save(_small_star(_large_star(current)), name, path=path)
+        remove(spark, former)
         state, before = _fingerprint(current), state
         if state == before:
             break

@@ -8,15 +8,18 @@ linked, and of each component the first line in table order stays. Equal lines (
 64-bit hashes) need no candidates. A line shorter than a shingle is one shingle, so it is like its
 equals only and gets no signature. Blank lines hold nothing that could repeat and stay.
 
-Only distinct lines are compared. A band value with up to ``SMALL_BUCKET`` distinct lines gives all
-its pairs. In a larger one every line is compared with ``REPRESENTATIVES`` of its lines; each line that
-this leaves apart from most of its bucket then meets all lines it is not connected with, in
-blocks that give links only. Every candidate pair is so compared or connected, and pairs of a hot
-group are not listed.
+Only distinct lines are compared, and band values with the same lines count once. A band value with up to
+``SMALL_BUCKET`` distinct lines gives all its pairs. One with up to ``MIDDLE_BUCKET`` is compared whole in one
+place, by counting common shingles, and gives links only, one a line at most. In a larger one every line is compared with
+``REPRESENTATIVES`` of its lines; each line that this leaves apart from most of its bucket then meets all
+lines it is not connected with, in blocks that give links only. Every candidate pair is so compared or
+connected, and pairs of a hot group are not listed.
 
 Texts are never moved to find candidates, only narrow rows; the texts of candidates are fetched
 in a second pass. Two filters of a fixed size (``FILTER_BITS`` bits, whatever the input)
-keep band values and lines that cannot matter out of the shuffles; false positives are harmless.
+keep band values and lines that cannot matter out of the shuffles; false positives are harmless. A third one lets
+texts that lose no line pass by the exchange that takes the others to their lost lines. Scratch tables are
+deleted after their last reader.
 
 Null texts stay null and empty ones empty. Repeated rows are rows like any other: lines of the later
 one go. A document all of whose lines go stays, with an empty text. Other columns are kept.
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from prefspark.llm.common import placed_rows, prepare, save
+from prefspark.llm.common import Tables, placed_rows, prepare, save, split_by_filter
 from prefspark.llm.graph import components
 
 SHINGLE_CHARS = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
 SMALL_BUCKET = 4
+MIDDLE_BUCKET = 1000
+DENSE_CELLS = 1 << 22  # shingles times lines of a bucket that are held as one matrix
 REPRESENTATIVES = 2
 BLOCK_LINES = 1000
 PAIRS_AT_A_TIME = 200
@@ -213,54 +218,116 @@ def _alike(frames, similarity: float):
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     x = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"))
     y = texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-    return save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(
-        lambda it: _alike(it, similarity), "a long, b long"), "line-links")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(
+        lambda it: _alike(it, similarity), "a long, b long")
+
+
+def _within(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect the alike lines of each bucket of ``members`` (key, lid)."""
+    held = members.join(texts, "lid").groupBy("key").agg(F.collect_list("lid").alias("lids"),
+                                                          F.collect_list("line").alias("lines"))
+    return held.select("lids", "lines").mapInArrow(lambda it: _bucket_links(it, similarity), "a long, b long")
+
+
+def _bucket_links(batches, similarity: float):
+    import pyarrow as pa
+
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(batch)):
+            lids = np.asarray(batch.column(0)[k].values)
+            least = connected(batch.column(1)[k].as_py(), similarity)
+            moved = np.flatnonzero(least != np.arange(len(least)))
+            a.append(lids[moved])
+            b.append(lids[least[moved]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of every two of some lines."""
+    vocabulary, of = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(vocabulary) * len(sets) > DENSE_CELLS:
+        common = _Common(sets)
+        return np.concatenate([common.counts(sets[k:k + 128]) for k in range(0, len(sets), 128)])
+    holds = np.zeros((len(sets), len(vocabulary)), np.float32)
+    holds[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), of] = 1
+    return np.rint(holds @ holds.T).astype(np.int64)
+
+
+def connected(lines: list[str], similarity: float) -> np.ndarray:
+    """For each line the first one that it is connected with by alike lines."""
+    sets = shingle_sets(lines)
+    sizes, both = np.array([len(x) for x in sets]), common_counts(sets)
+    alike = both / (sizes[:, None] + sizes - both) >= similarity
+    least = np.arange(len(lines))
+    while True:  # every line takes the least number among its alike lines'
+        lower = np.where(alike, least, len(lines)).min(1)
+        if (lower == least).all():
+            return least
+        least = lower
 
 
 def classes(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): the component of each line that is like another, different one."""
     spark = docs.sparkSession
+    tables = Tables(spark)
     lines = lines.where(F.col(KEYS[0]).isNotNull())
     keys = lines.select("lid", F.explode(F.array(*KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
     passing = spark.sparkContext.broadcast(_filter_of(shared, "key"))
-    member = save(lines.select("lid", *KEYS).mapInPandas(
+    member = tables.save(lines.select("lid", *KEYS).mapInPandas(
         lambda it: _candidate_rows(it, passing.value), "key long, lid long").distinct(), "line-members")
+    # of buckets that hold the same lines (by number and two 64-bit sums of hashes) one is looked at
     hashed = [F.min_by("lid", F.xxhash64("lid", F.lit(j))) for j in range(REPRESENTATIVES)]
-    sizes = (member.groupBy("key").agg(F.count("*").alias("n"), F.array(*hashed).alias("some"))
+    sums = [F.bit_xor(F.xxhash64("lid", F.lit(seed))).alias(name) for name, seed in (("x", -1), ("y", -2))]
+    sizes = (member.groupBy("key").agg(F.count("*").alias("n"), *sums, *[h.alias(f"r{j}") for j, h in enumerate(hashed)])
              .where("n > 1"))
-    member = save(member.join(sizes, "key"), "line-buckets")
-    few = (member.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("lid").alias("lids"))
+    once = sizes.groupBy("n", "x", "y", *[f"r{j}" for j in range(REPRESENTATIVES)]).agg(F.min("key").alias("key"))
+    member = tables.save(member.join(once.select("key", "n", F.array(*[f"r{j}" for j in range(REPRESENTATIVES)]).alias("some")),
+                                     "key"), "line-buckets")
+    tables.drop("line-members")
+    n = F.col("n")
+    few = (member.where(n <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("lid").alias("lids"))
            .mapInPandas(_pairs, "a long, b long"))
-    large = member.where(F.col("n") > SMALL_BUCKET).select("key", "lid", "some")
+    middle = member.where((n > SMALL_BUCKET) & (n <= MIDDLE_BUCKET)).select("key", "lid")
+    large = member.where((n > SMALL_BUCKET) & (n > MIDDLE_BUCKET)).select("key", "lid", "some", "n")
     star = large.select("lid", F.explode("some").alias("to")).where("lid <> to").select(
         F.least("lid", "to").alias("a"), F.greatest("lid", "to").alias("b"))
-    pairs = save(few.union(star).distinct(), "line-pairs")
+    pairs = tables.save(few.union(star).distinct(), "line-pairs")
     wanted = spark.sparkContext.broadcast(_filter_of(
-        pairs.select(F.explode(F.array("a", "b")).alias("lid")), "lid"))
-    texts = save(docs.select("text").mapInPandas(lambda it: _texts_of(it, wanted.value), "lid long, line string")
-                 .groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
-    found = _verified(pairs, texts, similarity)
+        pairs.select(F.explode(F.array("a", "b")).alias("lid")).union(middle.select("lid")), "lid"))
+    texts = tables.save(docs.select("text").mapInPandas(lambda it: _texts_of(it, wanted.value), "lid long, line string")
+                        .groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
+    found = tables.save(_verified(pairs, texts, similarity).union(_within(middle, texts, similarity)), "line-links")
+    tables.drop("line-pairs")
     roots = components(found, "line-edges")
+    tables.drop("line-links")
+    if large.isEmpty():
+        tables.drop("line-buckets", "line-texts")
+        return roots
     # large buckets: whatever is not yet connected with most of its bucket meets all of the rest
-    size = member.where(F.col("n") > SMALL_BUCKET).select("key", "lid", "n")
-    placed = save(size.join(roots, size["lid"] == roots["node"], "left").select(
+    placed = tables.save(large.join(roots, large["lid"] == roots["node"], "left").select(
         "key", "lid", "n", F.coalesce("root", "lid").alias("root")), "line-placed")
+    tables.drop("line-buckets")
     most = (placed.groupBy("key", "root").agg(F.count("*").alias("same"))
             .groupBy("key").agg(F.max_by("root", F.struct("same", "root")).alias("most"),
                                 F.sum("same").alias("all"), F.max("same").alias("in_most")))
-    rest = save(placed.join(most, "key").where("root <> most").select(
+    rest = tables.save(placed.join(most, "key").where("root <> most").select(
         "key", "lid", "n", "root", F.ceil((F.col("all") - F.col("in_most")) / BLOCK_LINES).alias("chunks")),
         "line-rest")
-    if rest.isEmpty():
-        return roots
-    more = _between_blocks(placed, rest, texts, similarity)
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(known.union(more), "line-edges")
+    if not rest.isEmpty():
+        more = tables.save(_between_blocks(placed, rest, texts, similarity), "line-more")
+        # roots and what the new links connect: the other nodes follow their roots
+        joined = components(more.select(F.col("asked_root").alias("a"), F.col("root").alias("b")), "line-edges")
+        follow = joined.select(F.col("node").alias("from"), F.col("root").alias("to"))
+        moved = roots.join(follow, roots["root"] == follow["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = save(moved.union(joined.select("node", "root")), "line-roots")
+    tables.drop("line-placed", "line-rest", "line-texts", "line-more")
+    return roots
 
 
 def _between_blocks(placed: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between lines of ``rest`` and lines of their buckets that are not in their component.
+    """Links (asked_root, root) between the components of lines of ``rest`` and those of lines of their buckets.
 
     A bucket is dealt into blocks of about ``BLOCK_LINES`` lines, and so are its lines in ``rest``; every two
     blocks meet in a task of their own, which counts common shingles and gives links only.
@@ -276,8 +343,8 @@ def _between_blocks(placed: DataFrame, rest: DataFrame, texts: DataFrame, simila
              .join(texts, "lid").select("key", "block", "chunk", "lid", "root", "line"))
     together = ["key", "block", "chunk"]
     asked = asked.withColumnsRenamed({c: f"asked_{c}" for c in asked.columns})  # both sides hold ``texts``
-    return save(asked.groupBy(*[f"asked_{c}" for c in together]).cogroup(members.groupBy(*together)).applyInPandas(
-        lambda x, y: _block_links(x, y, similarity), "a long, b long"), "line-more")
+    return asked.groupBy(*[f"asked_{c}" for c in together]).cogroup(members.groupBy(*together)).applyInPandas(
+        lambda x, y: _block_links(x, y, similarity), "asked_root long, root long").distinct()
 
 
 class _Common:
@@ -315,38 +382,39 @@ class _Common:
 
 
 def _block_links(asked: pd.DataFrame, members: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """For each asked line, a link to one alike line of each other component among ``members``."""
+    """For each asked line, the other components among ``members`` that hold a line like it."""
     a, b = [], []
     if len(asked) and len(members):
         sets = shingle_sets([*members["line"], *asked["asked_line"]])
         own, theirs = sets[len(members):], sets[:len(members)]
         common, sizes = _Common(theirs), np.array([len(x) for x in theirs])
-        lids, roots = members["lid"].to_numpy(np.int64), members["root"].to_numpy(np.int64)
-        asked_lids, asked_roots = asked["asked_lid"].to_numpy(np.int64), asked["asked_root"].to_numpy(np.int64)
+        roots, asked_roots = members["root"].to_numpy(np.int64), asked["asked_root"].to_numpy(np.int64)
         for begin in range(0, len(own), 128):
             counts = common.counts(own[begin:begin + 128])
             for k, both in enumerate(counts, begin):
                 alike = both / (len(own[k]) + sizes - both) >= similarity
-                near = np.flatnonzero(alike & (roots != asked_roots[k]))
-                first = near[np.unique(roots[near], return_index=True)[1]]
-                a += [asked_lids[k]] * len(first)
-                b += lids[first].tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                near = np.unique(roots[alike & (roots != asked_roots[k])])
+                a += [asked_roots[k]] * len(near)
+                b += near.tolist()
+    return pd.DataFrame({"asked_root": np.array(a, np.int64), "root": np.array(b, np.int64)})
 
 
 def removed_lines(placed: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
     """(row, gone): the numbers of the lines that go, for each row of ``placed`` that loses some.
     ``row`` is a long column that tells the rows apart and orders them."""
     prepare(placed.sparkSession)
-    lines = save(placed.select(F.col(row).alias("row"), "text").mapInPandas(_signed_rows, SIGNED), "line-keys")
+    tables = Tables(placed.sparkSession)
+    lines = tables.save(placed.select(F.col(row).alias("row"), "text").mapInPandas(_signed_rows, SIGNED), "line-keys")
     roots = classes(lines, placed, similarity)
     place = F.struct("row", "line")
     rooted = lines.select("row", "line", "lid").join(roots, lines["lid"] == roots["node"], "left").select(
         "row", "line", F.coalesce("root", "lid").alias("root"))
     first = (rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("root", "first"))
-    return save(rooted.join(first, "root").where(place != F.col("first"))
+    gone = save(rooted.join(first, "root").where(place != F.col("first"))
                 .groupBy("row").agg(F.collect_list("line").alias("gone")), "line-gone")
+    tables.drop("line-keys")
+    return gone
 
 
 def _cleaned(batches, text_at: int, gone_at: int):
@@ -373,11 +441,14 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, count: str = "n_remov
     their place in its files."""
     placed, own = placed_rows(docs)
     gone = removed_lines(placed, own, similarity).withColumnsRenamed({"row": own, "gone": count})
-    # always by exchange: the texts' side is never small, and one plan at every size behaves alike
-    joined = placed.join(gone.hint("merge"), own, "left").select(*[F.col(f"`{c}`") for c in docs.columns], count)
+    maybe, whole = split_by_filter(placed, own, gone.select(own))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # always by exchange, of the texts that the filter leaves: one plan at every size
+    joined = maybe.join(gone.hint("merge"), own, "left").select(*columns, count)
     text_at, gone_at = docs.columns.index("text"), len(docs.columns)
     schema = StructType([*docs.schema.fields, StructField(count, LongType())])
-    return joined.mapInArrow(lambda it: _cleaned(it, text_at, gone_at), schema)
+    return (joined.mapInArrow(lambda it: _cleaned(it, text_at, gone_at), schema)
+            .union(whole.select(*columns, F.lit(0).cast("long").alias(count))))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

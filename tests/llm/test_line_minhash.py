@@ -67,14 +67,16 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("small", [4, 1])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, small):
+@pytest.mark.parametrize("small, middle", [(4, 1000), (1, 1000), (1, 1), (2, 4)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, small, middle):
     texts = corpus()
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     docs = written(spark, tmp_path, frame(spark, rows, partitions=1).coalesce(1).orderBy("doc_id"))
-    # with 1 every bucket takes the way of large ones, with few representatives and tiny blocks
+    # with 1 and 1 every bucket takes the way of large ones, with few representatives and tiny blocks; with 1 and
+    # 1000 every one is compared whole
     monkeypatch.setattr(lm, "SMALL_BUCKET", small)
-    if small == 1:
+    monkeypatch.setattr(lm, "MIDDLE_BUCKET", middle)
+    if middle < 1000:
         monkeypatch.setattr(lm, "REPRESENTATIVES", 1)
         monkeypatch.setattr(lm, "BLOCK_LINES", 2)
     out = {r["doc_id"]: r["text"] for r in lm.dedup(docs).collect()}
@@ -191,3 +193,30 @@ def test_splits_may_change_between_passes(spark, tmp_path, monkeypatch):
         assert results() == want
     finally:
         spark.conf.unset(least)
+
+
+def test_bucket_is_connected_like_a_graph():
+    rng = random.Random(11)
+    lines = [("".join(rng.choices("abcdef", k=60)))]
+    for _ in range(40):  # chains of changed lines, some in another script
+        base = rng.choice(lines)
+        at = rng.randrange(len(base))
+        lines.append(base[:at] + rng.choice(["x", "é", "語"]) + base[at + 1:])
+    lines = list(dict.fromkeys(lines))
+    sets = lm.shingle_sets(lines)
+    group = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if lm.jaccard(sets[i], sets[j]) >= 0.8 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert lm.connected(lines, 0.8).tolist() == group
+
+
+def test_sparse_and_dense_counts_agree(monkeypatch):
+    rng = random.Random(12)
+    sets = lm.shingle_sets(["".join(rng.choices("ab", k=rng.randint(8, 90))) for _ in range(150)])
+    dense = lm.common_counts(sets)
+    monkeypatch.setattr(lm, "DENSE_CELLS", 0)
+    assert (lm.common_counts(sets) == dense).all()
+    assert all(dense[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(0, 150, 17) for j in range(0, 150, 13))
