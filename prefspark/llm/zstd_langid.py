@@ -2,8 +2,8 @@
 
 Each learned language has a raw-content zstandard dictionary of its training text. A text is
 compressed in segments with every dictionary; the language whose dictionary gives the fewest bytes
-wins. Letters are what is compared: the text is lower-cased and everything but letters becomes one
-blank. Where the best two are closer than ``MIN_MARGIN`` the prediction is rejected (``reliable``
+wins. Letters are what is compared: the text is lower-cased and everything but letters, and marks that
+follow them, becomes one blank. Where the best two are closer than ``MIN_MARGIN`` the prediction is rejected (``reliable``
 false); the best language stays visible.
 
 Null texts and texts without a letter: ``und``, score 0, not reliable. Equal sizes go to the
@@ -18,6 +18,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,15 @@ SEGMENT_CHARS = 3000
 LEVEL = 12
 MIN_MARGIN = 0.02  # of the best size
 SCHEMA = ("doc_id long, held_out boolean, lang_pred string, score double, reliable boolean")
-NO_LETTER = re.compile(r"[\W\d_]+")
+# whatever is neither a letter nor a mark, and marks without a letter before them; numbers are no letters
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+(?:\p{M}+[^\p{L}\p{M}]+)*\p{M}*|\A\p{M}+")
+
+
+NO_ASCII_LETTER = re.compile("[^A-Za-z]+")  # the same for ASCII texts, in half the time
 
 
 def letters(text: str) -> str:
-    return NO_LETTER.sub(" ", text).strip().lower()
+    return (NO_ASCII_LETTER if text.isascii() else NO_LETTER).sub(" ", text).strip().lower()
 
 
 def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
@@ -51,7 +56,7 @@ def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
         "lang string, bound long")
     chance = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30))
     # what letters() keeps, so that the start of a text without letters does not use up its excerpt
-    kept = F.trim(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "))
+    kept = F.trim(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "))
     rows = (usable.select("lang", "doc_id", "text").join(F.broadcast(bounds), "lang").where(chance < F.col("bound"))
             .select("lang", "doc_id", F.substring(kept, 1, EXCERPT_BYTES).alias("text"))
             .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # one text an id, however often it occurs
@@ -59,7 +64,7 @@ def train(docs: DataFrame) -> dict[str, tuple[int, bytes]]:
     content: dict[str, bytearray] = {}
     for row in rows:
         own = content.setdefault(row["lang"], bytearray())
-        data = excerpt(letters(row["text"]), min(EXCERPT_BYTES, DICT_BYTES - 1 - len(own)))
+        data = excerpt(letters(row["text"]), max(0, min(EXCERPT_BYTES, DICT_BYTES - 1 - len(own))))
         if data:
             own += data + b" "
     if missing := [lang for lang in counts if not content.get(lang)]:

@@ -79,3 +79,29 @@ def test_every_language_gets_a_dictionary(spark):
     found = zstd_langid.identify(docs.where(docs["lang"].isin(*few)), few)
     assert {r["lang_pred"] for r in found.where("doc_id < 8").collect()} == {"zh"}
     assert {r["lang_pred"] for r in found.where("doc_id >= 100 and doc_id < 108").collect()} == {"ru"}
+
+
+def test_numbers_are_no_letters_and_marks_stay_with_theirs():
+    assert [letters_of(t) for t in ("²³", "½ ⅷ Ⅳ", "12_3", "\u0301\u0301", " \u0301 1", "--")] == [""] * 6
+    assert letters_of("\u0301Cafe\u0301 2½ \u0301\u0301x_y हिन्दी!") == "cafe\u0301 x y हिन्दी"
+
+
+def letters_of(text):
+    from prefspark.llm.zstd_langid import letters
+    return letters(text)
+
+
+def test_texts_of_numbers_are_undetermined(spark):
+    from prefspark.llm import zstd_langid
+    rows = [(k, t, "en", "s") for k, t in enumerate(["²³", "½", "ⅷ", "\u0301", "", None])]
+    out = zstd_langid.identify(frame(spark, rows), {"en": (5, b"some words of a language " * 40)}).collect()
+    assert {r["lang_pred"] for r in out} == {"und"} and {r["score"] for r in out} == {0.0}
+
+
+def test_no_dictionary_is_larger_than_its_bound(spark):
+    from prefspark.llm import zstd_langid
+    rows = [(k, f"{chr(0x430 + k % 30) * 9}слово {k} " * 700, "ru", "s") for k in range(60)] + [
+        (100 + k, f"word {k} ab " * 900, "en", "s") for k in range(60)]
+    model = zstd_langid.train(frame(spark, rows))
+    assert set(model) == {"ru", "en"}
+    assert all(0.8 * zstd_langid.DICT_BYTES < len(content) <= zstd_langid.DICT_BYTES for _, content in model.values())
