@@ -9,7 +9,8 @@ show up at the next projected distance or beyond with probability under 1 - ``ST
 The index is a kd-tree over the projections. Its upper levels, fitted on a bounded sample
 (``SAMPLE_ROWS`` rows), cut all rows into blocks; the lower levels are built within a block. A query
 searches its own block first and then, with the k-th distance found, only the blocks that the
-stopping test does not rule out. Blocks and chunks of queries meet in tasks of bounded size.
+stopping test does not rule out. Blocks and chunks of queries meet in tasks of bounded size; a block is
+copied once for each ``QUERY_CHUNK`` queries that ask for it, and not at all if none does.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id,
 take no part. Vectors of different lengths are never compared. If an id has several vectors the
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +62,7 @@ def _stop_ratio() -> float:
 STOP_RATIO = _stop_ratio()
 
 
+@lru_cache(maxsize=16)
 def projection(dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, PROJECTIONS))
 
@@ -123,10 +126,14 @@ class Blocks:
 
 
 def _indexed(frames):
-    """Vectors with their projections and lengths."""
+    """Vectors with their projections and lengths; those of one length are projected together."""
     for pdf in frames:
-        points = [(np.asarray(e, float) @ projection(len(e))).tolist() for e in pdf["embedding"]]
-        yield pdf.assign(dim=pdf["embedding"].map(len).astype("int32"), point=points)
+        dims = pdf["embedding"].map(len).to_numpy(dtype="int32")
+        points = np.zeros((len(pdf), PROJECTIONS))
+        for dim in np.unique(dims):
+            own = np.flatnonzero(dims == dim)
+            points[own] = np.stack([np.asarray(pdf["embedding"].iat[i], float) for i in own]) @ projection(int(dim))
+        yield pdf.assign(dim=dims, point=points.tolist())
 
 
 def fit_blocks(index: DataFrame) -> Blocks:
@@ -210,14 +217,21 @@ def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
         {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def _searched(index: DataFrame, queries: DataFrame, n_queries: int, blocks: int, k: int) -> DataFrame:
-    """Results of all (block, query) pairs of ``queries``. Data blocks are repeated for each chunk
-    of queries if there are many."""
-    chunks = max(1, math.ceil(n_queries / (QUERY_CHUNK * max(blocks, 1))))
-    rows = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+def _chunked(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the blocks asked for, once for each ``QUERY_CHUNK`` queries of their block, and the queries
+    dealt to these chunks. A block that no query asks for is not moved."""
+    chunks = F.ceil(F.count("*") / QUERY_CHUNK).cast("int")
+    asked = save(queries.groupBy("block").agg(chunks.alias("chunks")), "ann-asked")
+    rows = index.join(asked, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = queries.join(asked, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+    return rows.drop("chunks"), dealt.drop("chunks")
+
+
+def _searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Results of all (block, query) pairs of ``queries``."""
+    rows, dealt = _chunked(index, queries)
     keys = ["block", "chunk"]
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+    return rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
         lambda r, q: _search_block(r, q, k), FOUND)
 
 
@@ -249,7 +263,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     query_base = "query_id long, embedding array<double>, dim int, point array<double>"
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
     queries = save(asked.mapInPandas(_indexed, query_base), "ann-queries")
-    n_queries = queries.count()
 
     def at_home(frames):
         for pdf in frames:
@@ -269,13 +282,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 {"query_id": "int64", "dim": "int32", "bound": "float64", "block": "int32"})
 
     with_block = query_base + ", bound double, block int"
-    first = save(_searched(index, queries.mapInPandas(at_home, with_block), n_queries, blocks.count, k),
-                 "ann-first")
+    first = save(_searched(index, save(queries.mapInPandas(at_home, with_block), "ann-home"), k), "ann-first")
     # distance of the k-th nearest so far; without k of them there is no bound yet
     bounds = first.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
     open_queries = queries.join(bounds, "query_id", "left").withColumn(
         "bound", F.coalesce("bound", F.lit(float("inf"))))
-    second = _searched(index, save(open_queries.mapInPandas(elsewhere, with_block), "ann-open"),
-                       n_queries * blocks.count, blocks.count, k)
+    second = _searched(index, save(open_queries.mapInPandas(elsewhere, with_block), "ann-open"), k)
     return _nearest(first.union(second), k).select("query_id", "rank", "vec_id", "score")

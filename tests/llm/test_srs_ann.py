@@ -64,6 +64,44 @@ def test_odd_vectors(spark):
     assert srs_ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0, 10).count() == 0
 
 
+def test_index_rows_are_copied_per_asked_chunk_only(spark, monkeypatch):
+    """Many queries and blocks: a block is read once for each chunk of its own queries."""
+    monkeypatch.setattr(srs_ann, "QUERY_CHUNK", 10)
+    index = spark.range(1000).selectExpr("cast(id % 10 as int) as block", "id as vec_id")
+    asked = {0: 95, 3: 10, 7: 1}
+    queries = spark.createDataFrame([(1000 * b + i, b) for b, n in asked.items() for i in range(n)],
+                                    "query_id long, block int")
+    rows, dealt = srs_ann._chunked(index, queries)
+    copies = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert copies == {0: 10 * 100, 3: 100, 7: 100}
+    assert {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count("*").alias("n")).collect()} == asked
+    met = dealt.join(rows, ["block", "chunk"]).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d"))
+    assert {(r["n"], r["d"]) for r in met.collect()} == {(100, 100)}  # each query meets its block's rows once
+
+
+def test_result_does_not_depend_on_chunks_or_clashing_columns(spark, monkeypatch):
+    rows = vectors(600)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    key = lambda d: sorted(map(tuple, srs_ann.nearest(d, F.col("vec_id") % 5 == 0, 4).collect()))
+    monkeypatch.setattr(srs_ann, "BLOCK_ROWS", 100)
+    plain = key(df)
+    monkeypatch.setattr(srs_ann, "QUERY_CHUNK", 7)
+    clashing = df
+    for name in ("ids", "dim", "point", "block", "chunk", "chunks", "bound", "query_id", "score", "rank", "copy", "n"):
+        clashing = clashing.withColumn(name, F.lit("x"))
+    assert key(clashing) == plain
+
+
+def test_projection_in_batches():
+    import pandas as pd
+
+    vectors_ = [[1.0, 2.0], [3.0, 4.0, 5.0], [0.5, -1.0]]
+    out = next(srs_ann._indexed([pd.DataFrame({"embedding": vectors_})]))
+    assert out["dim"].tolist() == [2, 3, 2]
+    for v, p in zip(vectors_, out["point"], strict=True):
+        assert np.allclose(p, np.array(v) @ srs_ann.projection(len(v)))
+
+
 def test_projection_ratio_follows_chi_square():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 40))
