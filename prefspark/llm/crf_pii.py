@@ -114,9 +114,9 @@ def shape(token: str) -> list[str]:
     return out
 
 
-def _kind_of(token: str) -> str:
+def _kind_of(elements: list[str]) -> str:
     """What a neighbour looks like: the sorted set of its shape's elements, without lengths."""
-    return "".join(sorted({e[0] for e in shape(token)}))[:8]
+    return "".join(sorted({e[0] for e in elements}))[:8]
 
 
 def core(token: str) -> tuple[int, int]:
@@ -133,10 +133,11 @@ def core(token: str) -> tuple[int, int]:
 def features(tokens: list[str]) -> list[tuple[str, ...]]:
     """Feature names of each token of a run."""
     bare = [t[slice(*core(t))] for t in tokens]
-    kinds = ["^", *map(_kind_of, bare), "$"]
+    shapes = list(map(shape, bare))
+    kinds = ["^", *map(_kind_of, shapes), "$"]
     out = []
     for k, token in enumerate(bare):
-        s = shape(token[:64])
+        s = shapes[k]
         out.append(("s" + "".join(s), "p" + "".join(s[:2]), "e" + "".join(s[-2:]), "n" + str(min(len(digits(token)), 20)),
                     "k" + kinds[k + 1], "l" + kinds[k], "r" + kinds[k + 2],
                     "a" + ("@." if "." in token.partition("@")[2] else "@" if "@" in token else "")))
@@ -237,6 +238,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+CACHED_SHAPE = 200  # characters of the longest shape whose emissions are kept for the next token like it
+
+
 class Field:
     def __init__(self, names: dict[str, int], weights: np.ndarray, start: np.ndarray, move: np.ndarray):
         self.names, self.weights, self.start, self.move = names, weights, start, move
@@ -248,7 +252,7 @@ class Field:
             row = self.cache.get(found)
             if row is None:
                 row = self.weights[[self.names[f] for f in found if f in self.names]].sum(axis=0)
-                if len(self.cache) < 100_000:
+                if len(self.cache) < 100_000 and len(found[0]) < CACHED_SHAPE:
                     self.cache[found] = row
             out[k] = row
         return out

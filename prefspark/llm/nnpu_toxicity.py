@@ -122,6 +122,20 @@ def choose_grams(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior
     return np.sort(found[np.argsort(-weight, kind="stable")[:MAX_GRAMS]])
 
 
+def risk(theta: np.ndarray, p: _Rows, u: _Rows, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, gradient) of the risk at ``theta`` (weights, then the bias). The risk is the positive part and,
+    where it is not below zero, the negative part; below zero the step climbs the negative part alone."""
+    fp, fu = p.times(theta[:-1]) + theta[-1], u.times(theta[:-1]) + theta[-1]
+    negative = _softplus(fu).mean() - prior * _softplus(fp).mean()
+    down_p, up_p, up_u = -_sigmoid(-fp) / p.n, _sigmoid(fp) / p.n, _sigmoid(fu) / u.n
+    if negative >= 0:
+        on_p, on_u = prior * (down_p - up_p), up_u
+    else:  # climb: the negative part alone, reversed
+        on_p, on_u = prior * up_p, -up_u
+    gradient = np.append(p.back(on_p) + u.back(on_u) + L2 * theta[:-1], on_p.sum() + on_u.sum())
+    return prior * _softplus(-fp).mean(), negative, gradient
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Non-negative risk minimisation with Adam over all sampled rows."""
     grams = choose_grams(positive, unlabelled, prior)
@@ -130,14 +144,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        fp, fu = p.times(theta[:-1]) + theta[-1], u.times(theta[:-1]) + theta[-1]
-        negative = _softplus(fu).mean() - prior * _softplus(fp).mean()
-        down_p, up_p, up_u = -_sigmoid(-fp) / p.n, _sigmoid(fp) / p.n, _sigmoid(fu) / u.n
-        if negative >= 0:
-            on_p, on_u = prior * (down_p - up_p), up_u
-        else:  # climb: the negative part alone, reversed
-            on_p, on_u = prior * up_p, -up_u
-        gradient = np.append(p.back(on_p) + u.back(on_u) + L2 * theta[:-1], on_p.sum() + on_u.sum())
+        gradient = risk(theta, p, u, prior)[2]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient * gradient
         theta -= RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-9)

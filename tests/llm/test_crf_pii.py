@@ -43,6 +43,26 @@ def test_fits_the_labelled_table(field):
     assert right / sum(map(len, found)) > 0.97 and right / sum(len(b) for _, b in table) > 0.97
 
 
+@pytest.mark.xfail(strict=False, reason="measured: precision 0.41, recall 0.30; the field knows the forms it was trained on, see README")
+def test_forms_held_out(monkeypatch):
+    """Precision and recall over forms that the training table did not hold: every fourth of each kind."""
+    forms = crf_pii.FORMS
+    monkeypatch.setattr(crf_pii, "FORMS", {k: [f for i, f in enumerate(v) if i % 4 != 3] for k, v in forms.items()})
+    field = crf_pii.train(crf_pii.labelled())
+    monkeypatch.setattr(crf_pii, "FORMS", {k: [f for i, f in enumerate(v) if i % 4 == 3] for k, v in forms.items()})
+    table = crf_pii.labelled()[:600]
+    found = crf_pii.field_spans([t for t, _ in table], field)
+    right = sum(len(set(a) & set(b)) for a, (_, b) in zip(found, table, strict=True))
+    precision, recall = right / sum(map(len, found)), right / sum(len(b) for _, b in table)
+    print(f"held-out forms: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.9 and recall > 0.7
+
+
+def test_long_tokens_are_read_whole():
+    a, b = "1" + "-x" * 60, "1" + "-x" * 60 + "@w.de"
+    assert crf_pii.features([a])[0][0] != crf_pii.features([b])[0][0]
+
+
 @pytest.mark.parametrize("text,expected", [
     ("call 555-123-4567 now", [("phone", 5, 17)]), ("or (555) 123-4567.", [("phone", 3, 17)]),
     ("card 3782 822463 10005 ok", [("card", 5, 22)]), ("mail josé@correo.es, ok", [("email", 5, 19)]),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from prefspark.llm import nnpu_toxicity as nn
 from llm_fixtures import ODD_ROWS, frame
@@ -54,6 +55,33 @@ def test_negative_part_never_pays(monkeypatch):
     assert np.isfinite(model.weights).all() and np.abs(model.weights).max() < 100
 
 
+@pytest.mark.parametrize("prior,climbs", [(0.1, False), (0.95, True)])
+def test_risk_and_gradient_equal_brute_force(prior, climbs):
+    """The sparse closed form against a dense risk written out, and against its finite differences."""
+    rng = np.random.default_rng(4)
+    grams = np.array([3, 5, 8, 13, 21])
+    draw = lambda n, of: [np.unique(rng.choice(of, 4)).astype(np.int32) for _ in range(n)]
+    positive, unlabelled = draw(20, [3, 5, 8, 99]), draw(60, [3, 13, 21, 77, 78])
+    dense = lambda texts: np.array([[float(g in t) for g in grams] for t in texts])
+    theta = rng.normal(size=6) + np.array([1.0, 1, 1, -2, -2, 0])
+
+    def parts(at):
+        fp, fu = dense(positive) @ at[:-1] + at[-1], dense(unlabelled) @ at[:-1] + at[-1]
+        as_positive = prior * np.mean([np.log(1 + np.exp(-f)) for f in fp])
+        return as_positive, np.mean([np.log(1 + np.exp(f)) for f in fu]) - prior * np.mean([np.log(1 + np.exp(f)) for f in fp])
+
+    p, u = nn._Rows(positive, grams), nn._Rows(unlabelled, grams)
+    got_positive, got_negative, gradient = nn.risk(theta, p, u, prior)
+    assert np.allclose((got_positive, got_negative), parts(theta)) and (got_negative < 0) == climbs
+
+    def goal(at):
+        a, b = parts(at)
+        return (-b if climbs else a + b) + nn.L2 / 2 * (at[:-1] ** 2).sum()
+
+    steps = np.eye(6) * 1e-6
+    assert np.allclose(gradient, [(goal(theta + e) - goal(theta - e)) / 2e-6 for e in steps], atol=1e-6)
+
+
 def test_odd_rows(spark):
     rows, labels = corpus(400)
     rows = [(i + 1000, t, lang, s) for i, t, lang, s in rows]

@@ -31,6 +31,15 @@ def test_odd_rows_pass_through(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = written(spark, tmp_path, stage(spark, docs, SF), name)
         assert out.columns == docs.columns
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    whole = {}
+    for r in packed:
+        whole.setdefault(r["doc_id"], [0, set()])[0] += r["length"]
+        whole[r["doc_id"]][1].add(r["doc_tokens"])
+    assert whole.keys() == {r["doc_id"] for r in docs.collect()}
+    for doc_id, (length, tokens) in whole.items():  # null and empty texts are one end mark; a repeated id counts by row
+        copies = docs.where(docs.doc_id.eqNullSafe(doc_id)).count()
+        assert length == next(iter(tokens)) * copies if len(tokens) == 1 else length >= sum(tokens)
     empty = written(spark, tmp_path, frame(spark, []), "empty")
     for name, stage in corpus_pipeline.STAGES:
         assert written(spark, tmp_path, stage(spark, empty, SF), f"empty-{name}").count() == 0
